@@ -1,11 +1,68 @@
-"""A corpus pipeline of the llm operators (being completed)."""
+"""A corpus pipeline: quality, near duplicates, benchmark leaks, source mix, shards.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``.
+``run`` writes each stage's result to the shared folder and reads it back, as a job that must survive lost executors.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from graphloom.llm.common import written
+from graphloom.llm.decontaminate import decontaminate
+from graphloom.llm.jaccard import near_duplicates
+from graphloom.llm.mixing import mix
+from graphloom.llm.quality import THRESHOLD, score_quality, train
+from graphloom.llm.sharding import shard
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects (score under 0.7) go."""
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model).filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+
+
+def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest id stays.
+
+    Rows without an id stay; a repeated id stays once.
+    """
+    groups = written(near_duplicates(docs, width=5, num=80, den=100))
+    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.unionByName(docs.filter("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="drop")
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as its source's repetition rate says."""
+    return mix(docs)
+
+
+def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard and slot of every row of the mix."""
+    return shard(docs)
+
+
+STAGES = [
+    ("quality classifier", keep_quality),
+    ("n-gram Jaccard join", keep_one_of_near_duplicates),
+    ("benchmark decontamination", drop_leaks),
+    ("mixing sources to target weights", mix_sources),
+    ("sharding", place_in_shards),
+]
+
+#: Trained scores and similarity components over trained scores are not SQL; tests compare with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,6 +6,7 @@ from .dedup import OP10_SQL, op10_exact_dedup
 from .jaccard import OP7_SQL, op7_ngram_jaccard
 from .language import op5_language_id
 from .mixing import OP2_SQL, op2_mixing
+from .pages import op3_html_extraction
 from .quality import op6_quality_classifier
 from .secrets import op9_secret_scan
 from .sharding import OP8_SQL, op8_sharding
@@ -13,6 +14,7 @@ from .sharding import OP8_SQL, op8_sharding
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_mixing": op2_mixing,
+    "op3_html_extraction": op3_html_extraction,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
