@@ -156,11 +156,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"], _POWERS["down"]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """64-bit hash of each white-space separated word of lower-cased (A-Z only) bytes, by prefix sums of a polynomial."""
+_FNV = np.uint64(0x100000001B3)
+
+
+def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and 64-bit hashes of the white-space separated words of lower-cased (A-Z only) bytes.
+
+    Hashes come from prefix sums of a polynomial and do not depend on the place of a word.
+    """
     raw = np.frombuffer(text.lower(), np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.uint64)
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
@@ -177,18 +181,39 @@ def word_hashes(text: bytes) -> np.ndarray:
             s, e = starts[k:j] - lo, ends[k:j] - lo
             out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
             k = j
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+    return starts, np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def shingles_of(texts: list[bytes | None], width: int) -> list[np.ndarray]:
+    """Per text, the sorted distinct hashes of its ``width``-word shingles; fewer words: the whole sequence as one."""
+    out: list[np.ndarray] = []
+    for lo, hi in slices([len(t or b"") + 1 for t in texts], 1 << 18):
+        part = [t or b"" for t in texts[lo:hi]]
+        starts, words = _words(b"\n".join(part))
+        base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
+        first = np.searchsorted(starts, base)
+        n = max(0, len(words) - width + 1)
+        with np.errstate(over="ignore"):
+            h = np.full(n, np.uint64(width), np.uint64)
+            for k in range(width):
+                h = mix(h * _FNV + words[k : k + n])
+        for a, b in zip(first[:-1], first[1:], strict=True):
+            if b - a >= width:
+                found = np.sort(h[a : b - width + 1])
+                fresh = np.empty(len(found), bool)
+                fresh[0] = True
+                np.not_equal(found[1:], found[:-1], out=fresh[1:])
+                out.append(found[fresh])
+            elif b > a:
+                with np.errstate(over="ignore"):
+                    one = np.full(1, np.uint64(b - a), np.uint64)
+                    for w in words[a:b]:
+                        one = mix(one * _FNV + w)
+                out.append(one)
+            else:
+                out.append(np.zeros(0, np.uint64))
+    return out
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
-    """Sorted distinct hashes of the ``width``-word shingles; fewer words: the whole sequence as one; none: empty."""
-    words = word_hashes(text) if text else np.zeros(0, np.uint64)
-    if not len(words):
-        return words
-    width = min(width, len(words)) if len(words) < width else width
-    n = len(words) - width + 1
-    with np.errstate(over="ignore"):
-        h = np.full(n, np.uint64(width), np.uint64)
-        for k in range(width):
-            h = mix(h * np.uint64(0x100000001B3) + words[k : k + n])
-    return np.unique(h)
+    return shingles_of([text], width)[0]

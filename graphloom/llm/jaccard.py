@@ -10,7 +10,7 @@
    around one class; pairs that components then already connect are skipped, buckets inside one component are never
    gathered, and the remaining pairs between components are tried in blocks. No pair that could link components is
    left out, and none is verified twice in a step.
-4. Verification compares whole sets: the texts of one side meet the other side's text once per block of partners.
+4. Pairs pass a finer Hamming bound (128 cells), then verification compares whole sets: the texts of one side meet the other side's text once per block of partners.
 
 Similarity is intersection / union >= num / den over distinct shingles.
 
@@ -29,10 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, mix, shingles, text_bytes
+from .common import Written, mix, shingles_of, text_bytes
 from .components import components
 
 CELLS = 16
+FINE = 128
 SMALL = 32
 BLOCK = 2048
 PARTNERS = 256
@@ -56,8 +57,7 @@ def _heavy(width: int):
 
         total = 0
         for batch in batches:
-            for text in text_bytes(batch.column(0)):
-                found = shingles(text, width)
+            for found in shingles_of(text_bytes(batch.column(0)), width):
                 held.append(found)
                 n += len(found)
                 total += len(found)
@@ -91,11 +91,10 @@ def _profiles(width: int, num: int, den: int, listed):
         values = by_rank[by_value]
         for batch in batches:
             rows = []
-            for text in text_bytes(batch.column(1)):
-                found = shingles(text, width)
+            for found in shingles_of(text_bytes(batch.column(1)), width):
                 n = len(found)
                 if not n:
-                    rows.append((0, b"", b"", b"", b""))
+                    rows.append((0, b"", b"", b"", b"", b""))
                     continue
                 key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 at = np.searchsorted(values, found)
@@ -111,11 +110,14 @@ def _profiles(width: int, num: int, den: int, listed):
                     prefix = np.concatenate([light, rest])
                     flags = np.zeros(len(prefix), np.uint8)
                     flags[len(light) :] = 1
-                cells = np.minimum(np.bincount((mix(found) >> np.uint64(60)).astype(np.int64), minlength=CELLS), 255)
-                rows.append((n, key, prefix.tobytes(), flags.tobytes(), cells.astype(np.uint8).tobytes()))
-            kinds = (pa.int64(), *[pa.binary()] * 4)
-            made = [pa.array([r[k] for r in rows], kinds[k]) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n", "key", "prefix", "flags", "cells"])
+                fine = np.bincount((mix(found) >> np.uint64(57)).astype(np.int64), minlength=FINE)
+                cells = np.minimum(fine.reshape(CELLS, -1).sum(1), 255).astype(np.uint8)
+                fine = np.minimum(fine, 255).astype(np.uint8)
+                rows.append((n, key, prefix.tobytes(), flags.tobytes(), cells.tobytes(), fine.tobytes()))
+            kinds = (pa.int64(), *[pa.binary()] * 5)
+            made = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
+            names = ["doc_id", "n", "key", "prefix", "flags", "cells", "fine"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
 
     return run
 
@@ -294,8 +296,7 @@ def _verified(width: int, num: int, den: int):
         for batch in batches:
             us, vs = [], []
             a, salt, b = (batch.column(k).to_pylist() for k in range(3))
-            for k, text in enumerate(text_bytes(batch.column(3))):
-                found = shingles(text, width)
+            for k, found in enumerate(shingles_of(text_bytes(batch.column(3)), width)):
                 if b[k] is None:
                     now, left = (a[k], salt[k]), found
                     continue
@@ -316,23 +317,38 @@ def _same_set(width: int):
     def run(batches):
         for batch in batches:
             keys = batch.column(1).to_pylist()
-            ok = [
-                hashlib.blake2b(shingles(t, width).tobytes(), digest_size=16).digest() == k
-                for k, t in zip(keys, text_bytes(batch.column(2)), strict=True)
-            ]
+            sets = shingles_of(text_bytes(batch.column(2)), width)
+            ok = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == k for k, x in zip(keys, sets, strict=True)]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield _batch({"cid": kept.column(0), "text": kept.column(2)})
 
     return run
 
 
+def _near(num: int, den: int):
+    """Pairs with sizes and fine cells of both sides: the suffix filter again, over FINE cells."""
+
+    def run(batches):
+        for batch in batches:
+            na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
+            fa, fb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE) for k in (4, 5))
+            need = -((-num * (na + nb)) // (num + den))
+            ok = np.abs(fa.astype(np.int16) - fb.astype(np.int16)).sum(1) <= na + nb - 2 * need
+            kept = batch.filter(pa.array(ok))
+            yield _batch({"a": kept.column(0), "b": kept.column(1)})
+
+    return run
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """The pairs (a, b) of class ids whose sets are similar."""
-    held = Written(pairs.distinct())
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
+    held = Written(near.mapInArrow(_near(num, den), "a long, b long"))
     ids = held.df.select(F.col("a").alias("cid")).union(held.df.select(F.col("b").alias("cid"))).distinct()
     asked = classes.join(ids, "cid").select("cid", "key", "rep")
-    texts = docs.join(asked, docs["doc_id"] == asked["rep"]).select("cid", "key", "text").dropDuplicates(["cid", "text"])
-    texts = Written(texts.mapInArrow(_same_set(width), "cid long, text string").dropDuplicates(["cid"])).df
+    texts = docs.join(asked, docs["doc_id"] == asked["rep"]).dropDuplicates(["doc_id", "cid", "text"])
+    texts = Written(texts.select("cid", "key", "text").mapInArrow(_same_set(width), "cid long, text string")).df
     blocks = held.df.groupBy("a").agg(((F.count(F.lit(1)) + PARTNERS - 1) / PARTNERS).cast("int").alias("k"))
     partners = held.df.join(blocks, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.col("b").alias("cid")
@@ -354,16 +370,16 @@ def near_duplicates(
     profiles = Written(
         docs.mapInArrow(
             _profiles(width, num, den, listed),
-            "doc_id long, n long, key binary, prefix binary, flags binary, cells binary",
+            "doc_id long, n long, key binary, prefix binary, flags binary, cells binary, fine binary",
         )
     ).df
     classes = Written(
         profiles.filter("n > 0")
         .groupBy("key")
-        .agg(*[F.min(x).alias(y) for x, y in (("doc_id", "rep"), ("n", "n"))], *[F.first(x).alias(x) for x in ("prefix", "flags", "cells")])
+        .agg(*[F.min(x).alias(y) for x, y in (("doc_id", "rep"), ("n", "n"))], *[F.first(x).alias(x) for x in ("prefix", "flags", "cells", "fine")])
         .withColumn("cid", F.monotonically_increasing_id())
     ).df
-    ids = classes.select("cid", "key", "rep")
+    ids = classes.select("cid", "key", "rep", "n", "fine")
     postings = classes.filter("rep is not null").select("cid", "n", "prefix", "flags", "cells").mapInArrow(_postings, POSTING)
     dealt = postings.filter("not listed").repartition("h").sortWithinPartitions("h", "n")
     met = Written(dealt.mapInArrow(_small_buckets(num, den), PAIR)).df
@@ -390,7 +406,7 @@ def near_duplicates(
     between = open_rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_block_pairs(num, den), "a long, b long")
     second = _links(between, ids, docs, width, num, den)
     roots = components(first.union(second))
-    named = ids.join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
+    named = ids.select("cid", "key", "rep").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
     return profiles.select("doc_id", "n", "key").join(by_key, "key", "left").select(
