@@ -7,8 +7,8 @@
    16 hash-cell counts. Documents with equal sets form a class; only classes are joined.
 3. Prefix postings meet by shingle. Length, positional and suffix filters (the Hamming bound over the 16 cells) run
    where they meet. Buckets of up to SMALL classes give their pairs at once. Larger or listed ones first try only stars
-   around one class; pairs that components then already connect are skipped, buckets inside one component are never
-   gathered, and the remaining pairs between components are tried in blocks. No pair that could link components is
+   around one class, STARS times with another class; pairs that components then already connect are skipped, buckets
+   inside one component are never gathered, and the remaining pairs between components are tried in blocks. No pair that could link components is
    left out, and none is verified twice in a step.
 4. Pairs pass a finer Hamming bound (128 cells), then verification compares whole sets: the texts of one side meet the other side's text once per block of partners.
 
@@ -37,6 +37,7 @@ FINE = 128
 SMALL = 32
 BLOCK = 2048
 PARTNERS = 256
+STARS = 3
 CHUNK = 1 << 20
 
 
@@ -259,6 +260,7 @@ def _block_pairs(num: int, den: int):
         for table in _grouped(batches, ["h", "x", "y"]):
             h, pos, cid, n, cells = _arrays(table)
             comp, x, y, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("comp", "x", "y", "own"))
+            fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
             new = (np.diff(h, prepend=h[:1] - 1) != 0) | (np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0)
             edges = np.append(np.flatnonzero(new), len(h))
             found = []
@@ -279,7 +281,11 @@ def _block_pairs(num: int, den: int):
                     if not len(other):
                         continue
                     i, j = np.full(len(other), order[m]), order[other]
-                    ok = _may_link(n[i], n[j], pos[i], pos[j], cells[i], cells[j], num, den)
+                    ok = np.flatnonzero(_may_link(n[i], n[j], pos[i], pos[j], cells[i], cells[j], num, den))
+                    i, j = i[ok], j[ok]
+                    need = -((-num * (n[i] + n[j])) // (num + den))
+                    far = np.abs(fine[i].astype(np.int16) - fine[j].astype(np.int16)).sum(1)
+                    ok = far <= n[i] + n[j] - 2 * need
                     found.append(np.sort(np.stack([cid[i[ok]], cid[j[ok]]], 1), 1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
@@ -360,6 +366,13 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, nu
     return Written(both.mapInArrow(_verified(width, num, den), "u long, v long")).df
 
 
+def _labelled(large: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Postings with the component of their class so far."""
+    if roots is None:
+        return large.withColumn("comp", F.col("a"))
+    return large.join(roots, F.col("a") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "a").alias("comp"))
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -387,25 +400,34 @@ def near_duplicates(
     large = met.filter("kind = 1").select(*wide).union(
         postings.filter("listed").select("h", "pos", F.col("cid").alias("a"), "n", "c1", "c2")
     )
-    centre = large.groupBy("h").agg(F.min(F.struct("a", "n", "pos", "c1", "c2")).alias("z"), F.count(F.lit(1)).alias("m"))
-    centre = Written(centre.filter("m > 1").select("h", "m", *[F.col(f"z.{x}").alias(y) for x, y in (("a", "z"), ("n", "zn"), ("pos", "zpos"), ("c1", "z1"), ("c2", "z2"))])).df
-    star = large.join(centre.drop("m"), "h").filter("a <> z").mapInArrow(_star_pairs(num, den), "a long, b long")
-    first = _links(met.filter("kind = 0").select("a", "b").union(star), ids, docs, width, num, den)
-    roots = components(first)
-    comp = F.coalesce(F.col("root"), F.col("a"))
-    labelled = large.join(centre.select("h", "m"), "h").join(roots, F.col("a") == F.col("node"), "left").select(*wide, "m", comp.alias("comp"))
-    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("h")
+    large = Written(large).df
+    links, roots = None, None
+    for turn in range(STARS):
+        row = F.struct("a", "n", "pos", "c1", "c2", "comp")
+        centre = _labelled(large, roots).groupBy("h").agg(
+            F.min(F.struct(F.xxhash64("a", F.lit(turn)), row.alias("z"))).alias("z"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
+        )
+        names = {"a": "z", "n": "zn", "pos": "zpos", "c1": "z1", "c2": "z2", "comp": "zcomp"}
+        centre = centre.filter("lo <> hi").select("h", *[F.col(f"z.z.{x}").alias(y) for x, y in names.items()])
+        star = _labelled(large, roots).join(centre, "h").filter("comp <> zcomp").mapInArrow(_star_pairs(num, den), "a long, b long")
+        found = _links(star if turn else star.union(met.filter("kind = 0").select("a", "b")), ids, docs, width, num, den)
+        links = found if links is None else links.union(found)
+        if turn and found.isEmpty():
+            break
+        roots = components(links)
+    labelled = _labelled(large, roots)
+    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
     blocks = F.ceil(F.col("m") / BLOCK).cast("int")
     open_rows = (
-        labelled.join(mixed, "h")
+        labelled.join(mixed.filter("lo <> hi").select("h", "m"), "h")
+        .join(classes.select(F.col("cid").alias("a"), "fine"), "a")
         .withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        .select("h", "pos", F.col("a").alias("cid"), "n", "c1", "c2", "comp", "x", "y", "own")
+        .select("h", "pos", F.col("a").alias("cid"), "n", "c1", "c2", "comp", "x", "y", "own", "fine")
     )
     between = open_rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_block_pairs(num, den), "a long, b long")
-    second = _links(between, ids, docs, width, num, den)
-    roots = components(first.union(second))
+    roots = components(links.union(_links(between, ids, docs, width, num, den)))
     named = ids.select("cid", "key", "rep").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
