@@ -2,61 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-_WRITTEN: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a local one only where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="graphloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def drop_table(spark: SparkSession, path: str) -> None:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-def _sweep() -> None:
-    for spark, path in _WRITTEN:
-        try:
-            drop_table(spark, path)
-        except Exception:  # noqa: BLE001  the session may be gone at exit
-            return
-
-
-atexit.register(_sweep)
-
-
-class Written:
-    """A table written to the shared folder: cuts lineage and outlives executors."""
-
-    def __init__(self, df: DataFrame):
-        self.spark = df.sparkSession
-        self.path = f"{shared_folder(self.spark)}/graphloom-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(self.path)
-        self.df = self.spark.read.schema(df.schema).parquet(self.path)
-        _WRITTEN.append((self.spark, self.path))
-
-    def drop(self) -> None:
-        drop_table(self.spark, self.path)
-        _WRITTEN[:] = [x for x in _WRITTEN if x[1] != self.path]
-
-
-def written(df: DataFrame) -> DataFrame:
-    return Written(df).df
-
+from ..sources.shared import Written, written  # noqa: F401  used by the operators
 
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""

@@ -314,11 +314,12 @@ def host_of(url: Column) -> Column:
 
 def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """host, path: the content path of each host, from about ``sample`` of its pages chosen by hash."""
-    keyed = pages.select(host_of(F.col("url")).alias("host"), F.col("page_id").cast("string").alias("id"), "html")
-    counts = keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n"))
-    draw = F.conv(F.substring(F.md5(F.coalesce("id", F.lit("")).cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    picked = keyed.withColumn("draw", draw).join(counts, "host").filter(F.col("draw") * F.col("n") < sample)
-    return picked.select("host", "html").groupBy("host").applyInArrow(_inferred, "host string, path string")
+    id_ = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id")
+    keyed = pages.select(host_of(F.col("url")).alias("host"), id_, "html")
+    counts = written(keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    draw = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
+    picked = written(keyed.select("host", "id").join(counts, "host").filter(draw * F.col("n") < sample).select("host", "id").distinct())
+    return keyed.join(picked, ["host", "id"]).select("host", "html").groupBy("host").applyInArrow(_inferred, "host string, path string")
 
 
 def _extracted(batches):
