@@ -35,7 +35,7 @@ from .components import components
 CELLS = 16
 FINE = 128
 SMALL = 32
-BLOCK = 2048
+BLOCK = 384
 PARTNERS = 256
 STARS = 3
 CHUNK = 1 << 20
