@@ -22,6 +22,8 @@ from .rows import FileRows
 
 #: Larger files are not parsed.
 MOST_BYTES = 4 << 20
+#: Source bytes whose rows are sent on together.
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -90,12 +92,17 @@ def _kernel(manifest: str):
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
-                made = extract_file(row["path"], row["language"], row["module_key"], row["content"] or b"", manifest)
-                for part in ("edges",):
-                    for e in made[part]:
-                        e["metadata"] = list(e["metadata"].items())
-                yield pa.RecordBatch.from_pylist([{k: made[k] for k in EXTRACTED.names}], schema=arrow)
+            made: list[dict] = []
+            size = 0
+            for path, language, key, content in zip(*(batch.column(k) for k in range(4)), strict=True):
+                content = content.as_py() or b""
+                made.append(extract_file(path.as_py(), language.as_py(), key.as_py(), content, manifest))
+                size += len(content)
+                if size > CHUNK_BYTES:
+                    yield pa.RecordBatch.from_pylist(made, schema=arrow)
+                    made, size = [], 0
+            if made:
+                yield pa.RecordBatch.from_pylist(made, schema=arrow)
 
     return run
 

@@ -33,6 +33,7 @@ class FileRows:
         self.iface_methods: list[dict] = []
         self.method_arity: list[dict] = []
         self.types: dict[str, str] = {}
+        self.ids: set[str] = set()
         self.error = ""
         self.file_id = self.node("file", path.rsplit("/", 1)[-1], path)
 
@@ -40,7 +41,8 @@ class FileRows:
         qualified = name if qualified is None else qualified
         made = node_id(kind, qualified, self.path)
         end = end or start
-        if not any(n["id"] == made for n in self.nodes[-400:]):  # overloads of one name share an id: the first stays
+        if made not in self.ids:  # overloads of one name share an id: the first stays
+            self.ids.add(made)
             self.nodes.append(
                 dict(
                     id=made, kind=kind, name=name, qualified_name=qualified, file_path=self.path, language=self.language,
@@ -59,7 +61,7 @@ class FileRows:
         return made
 
     def edge(self, source: str, target: str, kind: str = "contains", line: int = 0, col: int = 0) -> None:
-        self.edges.append(dict(source=source, target=target, kind=kind, line=line, col=col, provenance="ast", metadata={}))
+        self.edges.append(dict(source=source, target=target, kind=kind, line=line, col=col, provenance="ast", metadata=[]))
 
     def ref(self, source: str, kind: str, name: str, alias: str = "", at=(0, 0)) -> None:
         if alias == "" and name in self.origins and kind != "imports":

@@ -714,3 +714,39 @@ def debounced_events(spark, sf_dir) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     found = debounce(events.select("event_type", "ts", F.col("user_id").cast("string").alias("path")), "30 minutes", keys=["event_type"])
     return found.select("event_type", F.col("started"), F.size("paths").cast("long").alias("n_paths"), "n_events")
+
+
+# ---- ingest ---------------------------------------------------------------------------------------------------------
+
+
+@query()
+def index_synthetic(spark, sf_dir) -> DataFrame:
+    """Extracts and resolves a synthetic corpus of 20,000 files; one row a kind of edge."""
+    from ..ingest import extract
+    from ..sources.discover import synthetic
+
+    sources = written(synthetic(spark, 20_000))
+    extracted = written(extract.extract(sources))
+    part = lambda name: extract.table(extracted, name)
+    made = resolve.resolve(
+        part("nodes"), part("edges"), part("refs"), part("imports"), part("iface_methods"), part("method_arity"),
+        extract.file_rows(sources, extracted), "bench",
+    )
+    return made.edges.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT 'GET /' || lower(r_name) AS name, lower(r_name) || x || '::route:GET /' || lower(r_name) AS qualified_name, lower(r_name) || x AS file_path, f AS by
+FROM region, (VALUES ('.go', 'gin-route'), ('.py', 'fastapi-route')) v(x, f)""", graph=False)
+def routes_detected(spark, sf_dir) -> DataFrame:
+    """Routes of generated handlers, one file a region and framework."""
+    from ..ingest import extract
+
+    r = spark.read.parquet(f"{sf_dir}/region.parquet").select(F.lower("r_name").alias("r"))
+    go = F.concat(F.lit('package web\n\nfunc Setup(e int) {\n\te.GET("/'), "r", F.lit('", Show)\n}\n\nfunc Show(c int) {}\n'))
+    py = F.concat(F.lit('@app.get("/'), "r", F.lit('")\ndef show():\n    return 1\n'))
+    sources = r.select(F.concat("r", F.lit(".go")).alias("path"), F.lit("go").alias("language"), go.cast("binary").alias("content"))
+    sources = sources.union(r.select(F.concat("r", F.lit(".py")), F.lit("python"), py.cast("binary")))
+    sources = sources.withColumn("module_key", F.col("path"))
+    extracted = written(extract.extract(sources, "gin-gonic/gin fastapi"))
+    nodes, edges = extract.route_graph(extract.table(extracted, "routes"), extract.table(extracted, "nodes"))
+    return nodes.join(edges, F.col("id") == F.col("source")).select("name", "qualified_name", "file_path", F.col("metadata")["synthesizedBy"].alias("by"))
