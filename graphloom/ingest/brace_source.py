@@ -385,7 +385,7 @@ class Parser:
                 if self.d.first_tier:
                     self.out.ref(made, "instantiates", name.split(".")[-1], "", self.at(j))
                 continue
-            if opens and v not in _NO_CALL and before not in self.d.functions and before not in ("new", "func", "fun", "fn", "function"):
+            if opens and (v not in _NO_CALL or before in (".", "->", "::", "?.")) and before not in self.d.functions and before not in ("new", "func", "fun", "fn", "function"):
                 self.call(made, j)
             elif self.d.first_tier and not opens:
                 self.read(made, j, v, before, after)

@@ -50,4 +50,4 @@ def flush_to(bursts: DataFrame, sync: Callable[[set[str]], None], checkpoint: st
                     raise
                 time.sleep(RETRY_SECONDS)
 
-    return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run)
+    return bursts.writeStream.outputMode("append").option("checkpointLocation", checkpoint).foreachBatch(run).start()
