@@ -10,7 +10,8 @@
    around one class, STARS times with another class; pairs that components then already connect are skipped, buckets
    inside one component are never gathered, and the remaining pairs between components are tried in blocks. No pair that could link components is
    left out, and none is verified twice in a step.
-4. Pairs pass a finer Hamming bound (128 cells), then verification compares whole sets: the texts of one side meet the other side's text once per block of partners.
+4. Pairs pass a finer Hamming bound (at least 128 cells, about one for eight shingles); texts are fetched through a
+   filter of at most DOC_BUCKETS hashed ids, so that few of the others move. Verification compares whole sets: the texts of one side meet the other side's text once per block of partners.
 
 Similarity is intersection / union >= num / den over distinct shingles.
 
@@ -33,7 +34,8 @@ from .common import Written, mix, shingles_of, text_bytes
 from .components import components
 
 CELLS = 16
-FINE = 128
+FINE = 7
+DOC_BUCKETS = 1 << 18
 SMALL = 32
 BLOCK = 384
 PARTNERS = 256
@@ -111,7 +113,8 @@ def _profiles(width: int, num: int, den: int, listed):
                     prefix = np.concatenate([light, rest])
                     flags = np.zeros(len(prefix), np.uint8)
                     flags[len(light) :] = 1
-                fine = np.bincount((mix(found) >> np.uint64(57)).astype(np.int64), minlength=FINE)
+                bits = max(FINE, (n // 8).bit_length())  # about eight shingles a cell
+                fine = np.bincount((mix(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
                 cells = np.minimum(fine.reshape(CELLS, -1).sum(1), 255).astype(np.uint8)
                 fine = np.minimum(fine, 255).astype(np.uint8)
                 rows.append((n, key, prefix.tobytes(), flags.tobytes(), cells.tobytes(), fine.tobytes()))
@@ -260,7 +263,7 @@ def _block_pairs(num: int, den: int):
         for table in _grouped(batches, ["h", "x", "y"]):
             h, pos, cid, n, cells = _arrays(table)
             comp, x, y, own = (table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in ("comp", "x", "y", "own"))
-            fine = np.frombuffer(b"".join(table.column("fine").to_pylist()), np.uint8).reshape(-1, FINE)
+            fine = table.column("fine").to_pylist()
             new = (np.diff(h, prepend=h[:1] - 1) != 0) | (np.diff(x, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0)
             edges = np.append(np.flatnonzero(new), len(h))
             found = []
@@ -284,8 +287,7 @@ def _block_pairs(num: int, den: int):
                     ok = np.flatnonzero(_may_link(n[i], n[j], pos[i], pos[j], cells[i], cells[j], num, den))
                     i, j = i[ok], j[ok]
                     need = -((-num * (n[i] + n[j])) // (num + den))
-                    far = np.abs(fine[i].astype(np.int16) - fine[j].astype(np.int16)).sum(1)
-                    ok = far <= n[i] + n[j] - 2 * need
+                    ok = _fine_far(fine, i, j) <= n[i] + n[j] - 2 * need
                     found.append(np.sort(np.stack([cid[i[ok]], cid[j[ok]]], 1), 1))
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
@@ -331,15 +333,34 @@ def _same_set(width: int):
     return run
 
 
+def _fine_far(cells: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Hamming bound of pairs of rows over their fine cells, the longer one folded to the shorter one's number.
+
+    Counts stop at 255 before and after folding, which keeps the bound a bound.
+    """
+    size = np.array([len(c) for c in cells], np.int64)
+    level = np.minimum(size[i], size[j])
+    far = np.zeros(len(i), np.int64)
+    for width in np.unique(level):
+        at = np.flatnonzero(level == width)
+        for part in np.array_split(at, 1 + len(at) * int(width) // (1 << 24)):
+            rows, place = np.unique(np.concatenate([i[part], j[part]]), return_inverse=True)
+            folded = [np.frombuffer(cells[r], np.uint8).reshape(width, -1).sum(1, dtype=np.int64) for r in rows]
+            table = np.minimum(np.array(folded), 255).astype(np.int16)
+            far[part] = np.abs(table[place[: len(part)]] - table[place[len(part) :]]).sum(1)
+    return far
+
+
 def _near(num: int, den: int):
-    """Pairs with sizes and fine cells of both sides: the suffix filter again, over FINE cells."""
+    """Pairs with sizes and fine cells of both sides: the suffix filter again, over the fine cells."""
 
     def run(batches):
         for batch in batches:
             na, nb = (batch.column(k).to_numpy(zero_copy_only=False) for k in (2, 3))
-            fa, fb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, FINE) for k in (4, 5))
+            cells = [*batch.column(4).to_pylist(), *batch.column(5).to_pylist()]
             need = -((-num * (na + nb)) // (num + den))
-            ok = np.abs(fa.astype(np.int16) - fb.astype(np.int16)).sum(1) <= na + nb - 2 * need
+            here = np.arange(len(na))
+            ok = _fine_far(cells, here, here + len(na)) <= na + nb - 2 * need
             kept = batch.filter(pa.array(ok))
             yield _batch({"a": kept.column(0), "b": kept.column(1)})
 
@@ -353,7 +374,10 @@ def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, nu
     held = Written(near.mapInArrow(_near(num, den), "a long, b long"))
     ids = held.df.select(F.col("a").alias("cid")).union(held.df.select(F.col("b").alias("cid"))).distinct()
     asked = classes.join(ids, "cid").select("cid", "key", "rep")
-    texts = docs.join(asked, docs["doc_id"] == asked["rep"]).dropDuplicates(["doc_id", "cid", "text"])
+    bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(DOC_BUCKETS))
+    hit = asked.select(bucket("rep").alias("bucket")).distinct()  # at most DOC_BUCKETS numbers
+    few = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(hit), "bucket", "left_semi").select("doc_id", "text")
+    texts = few.join(asked, few["doc_id"] == asked["rep"]).dropDuplicates(["doc_id", "cid", "text"])
     texts = Written(texts.select("cid", "key", "text").mapInArrow(_same_set(width), "cid long, text string")).df
     blocks = held.df.groupBy("a").agg(((F.count(F.lit(1)) + PARTNERS - 1) / PARTNERS).cast("int").alias("k"))
     partners = held.df.join(blocks, "a").select(
