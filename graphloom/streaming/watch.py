@@ -26,8 +26,10 @@ def debounce(changes: DataFrame, quiet: str = QUIET, keys: list[str] | None = No
     """
     if changes.isStreaming:
         changes = changes.withWatermark("ts", late or quiet)
+    if not keys:  # a stream needs a key beside the window: an empty text that is no literal
+        changes = changes.withColumn("_tree", F.substring("path", 1, 0))
     window = F.session_window("ts", quiet).alias("burst")
-    grouped = changes.groupBy(*(keys or []), window).agg(
+    grouped = changes.groupBy(*(keys or ["_tree"]), window).agg(
         F.sort_array(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("n_events")
     )
     return grouped.select(*(keys or []), F.col("burst.start").alias("started"), F.col("burst.end").alias("ended"), "paths", "n_events")
