@@ -54,3 +54,14 @@ def smallest_cover(counts: DataFrame, sizes: DataFrame, repos: list[str]) -> Dat
         F.count(F.lit(1)).alias("repos"), F.sum("tracked_files").alias("files"), F.sort_array(F.collect_list("repo")).alias("names")
     )
     return described.join(full, "mask").orderBy("repos", "files", "names").limit(1)
+
+
+#: Keys whose values differ between runs.
+VOLATILE = frozenset({"score", "lastIndexed", "dbSizeBytes", "projectPath", "indexPath", "worktreeMismatch", "stale"})
+
+
+def without_volatile(value):
+    """A JSON value without keys that differ between runs, at any depth."""
+    if isinstance(value, dict):
+        return {k: without_volatile(v) for k, v in value.items() if k not in VOLATILE and not k.endswith(("_at", "At"))}
+    return [without_volatile(v) for v in value] if isinstance(value, list) else value

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
+import re
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,23 @@ MOST_REQUEUES = 5
 RETRY_SECONDS = 0.1
 
 
+def quiet_gap(env: Mapping[str, str] = os.environ) -> str:
+    """The debounce gap: two seconds, or the milliseconds that the environment asks for."""
+    asked = env.get("GRAPHLOOM_DEBOUNCE_MS", "")
+    return f"{int(asked)} milliseconds" if asked.isdigit() and int(asked) > 0 else QUIET
+
+
+def why_not_watch(root: str, no_watch: bool = False, force: bool = False, env: Mapping[str, str] = os.environ, wsl: bool = False) -> str:
+    """Reason for not watching a tree, or an empty text. Switching off wins over forcing, forcing over the mount rule."""
+    if no_watch or env.get("GRAPHLOOM_NO_WATCH") == "1":
+        return "watching is switched off"
+    if force or env.get("GRAPHLOOM_FORCE_WATCH") == "1":
+        return ""
+    if wsl and re.match(r"(?i)^/mnt/[a-z](/|$)", root.replace("\\", "/")):
+        return "the tree is on a drive mount on which watching is unreliable"
+    return ""
+
+
 def events(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of change events (path, ts) from a folder of JSON lines that a notifier appends to."""
     return spark.readStream.schema("path string, ts timestamp").json(folder)

@@ -45,6 +45,25 @@ def test_gate_and_cover(spark):
     assert metrics.smallest_cover(counts, sizes, ["r1", "r2", "r3"]).first()["names"] == ["r2"]
 
 
+def test_watch_policy_and_volatile_keys(tmp_path):
+    import subprocess
+
+    from graphloom.sources import worktree
+
+    assert watch.why_not_watch("/x", env={}) == "" and watch.why_not_watch("/x", no_watch=True, force=True, env={})
+    assert watch.why_not_watch("/mnt/c/x", wsl=True, env={}) and not watch.why_not_watch("/mnt/c/x", wsl=True, force=True, env={})
+    assert watch.quiet_gap({}) == watch.QUIET and watch.quiet_gap({"GRAPHLOOM_DEBOUNCE_MS": "50"}) == "50 milliseconds"
+    assert metrics.without_volatile({"a": [{"stale": 1, "b": 2, "created_at": 3}], "score": 1}) == {"a": [{"b": 2}]}
+    main, other = tmp_path / "main", tmp_path / "other"
+    git = lambda *a: subprocess.run(["git", "-C", str(main), "-c", "user.name=t", "-c", "user.email=t@example.com", *a], check=True, capture_output=True)
+    main.mkdir()
+    git("init", "-q")
+    git("commit", "-q", "--allow-empty", "-m", "x")
+    git("worktree", "add", "-q", str(other))
+    assert worktree.mismatch(str(other), str(main)) == (str(other), str(main))
+    assert worktree.mismatch(str(main), str(main)) is None and worktree.mismatch(str(tmp_path), str(main)) is None
+
+
 def test_renderers(spark):
     from graphloom.operators import lookup, status, traverse
 
