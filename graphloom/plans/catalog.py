@@ -474,7 +474,7 @@ def _walk_sql(rounds: int) -> str:
             f"""m{k} AS MATERIALIZED (SELECT base.id, 0.75 * (coalesce(x.s, 0) + CASE WHEN base.d IS NULL THEN p.m ELSE 0 END) + 0.25 * base.r AS m FROM base JOIN m{k - 1} p USING (id)
   LEFT JOIN (SELECT b, sum(m / d) AS s FROM m{k - 1} q JOIN both_ways ON a = q.id JOIN d ON d.a = both_ways.a GROUP BY b) x ON x.b = base.id)"""
         )
-    return f"WITH {', '.join(parts)} SELECT id, round(m, 7)::DOUBLE AS score FROM m{rounds}"
+    return f"WITH {', '.join(parts)} SELECT id, round(floor(m * 1e9 + 0.5) / 1e9, 7)::DOUBLE AS score FROM m{rounds}"
 
 
 @query(_walk_sql(25))
