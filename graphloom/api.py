@@ -184,7 +184,7 @@ class CodeGraph:
             if not exact.isEmpty():
                 return detail.bodies(exact.withColumn("pos", F.lit(1)), self.table("sources")).withColumn("shown", F.lit(True))
         defs = detail.bodies(lookup.narrow(lookup.definitions(self.nodes, symbol), file, line), self.table("sources"))
-        return defs.join(detail.within_budget(defs), "pos").orderBy("pos")
+        return defs.join(detail.within_budget(defs).drop("name"), "pos").orderBy("pos")
 
     def source(self, path: str, first: int = 1, last: int = 0) -> DataFrame:
         """Numbered lines of an indexed file; only paths of the snapshot can be read."""

@@ -24,8 +24,10 @@ def bodies(defs: DataFrame, sources: DataFrame) -> DataFrame:
     return shown.withColumn("body_bytes", F.octet_length("body")).drop("content").orderBy("pos")
 
 
-def within_budget(defs: DataFrame, most: int = MOST_BODIES, most_bytes: int = MOST_BYTES, listed: int = MOST_LISTED) -> DataFrame:
-    """pos, body_bytes, shown, listed: greedy in order; the first always fits, a later smaller one may still fit.
+def within_budget(
+    defs: DataFrame, by: str = "name", most: int = MOST_BODIES, most_bytes: int = MOST_BYTES, listed: int = MOST_LISTED
+) -> DataFrame:
+    """by, pos, shown, listed of each symbol: greedy in order; the first always fits, a later smaller one may still fit.
 
     A fold over the ordered sizes: the choice depends on all earlier ones, so it is no running sum.
     """
@@ -43,5 +45,5 @@ def within_budget(defs: DataFrame, most: int = MOST_BODIES, most_bytes: int = MO
             F.concat(s["out"], F.array(one)).alias("out"),
         )
 
-    folded = defs.groupBy(F.lit(1)).agg(F.sort_array(F.collect_list(item)).alias("items"))  # definitions of one symbol
-    return folded.select(F.explode(F.aggregate("items", zero, step)["out"]).alias("o")).select("o.*")
+    folded = defs.groupBy(by).agg(F.sort_array(F.collect_list(item)).alias("items"))  # two numbers a definition of a symbol
+    return folded.select(by, F.explode(F.aggregate("items", zero, step)["out"]).alias("o")).select(by, "o.*")

@@ -48,16 +48,19 @@ def nested(listed: DataFrame) -> dict:
     return root
 
 
-def numbered(sources: DataFrame, path: str, first: int = 1, last: int = 0) -> DataFrame:
-    """line, text of a source file; a span is clamped into the file; one trailing empty line is dropped."""
+def lines(sources: DataFrame) -> DataFrame:
+    """path, line, text of every source; one trailing empty line is dropped."""
     text = F.col("content").cast("string")
-    lines = F.split(text, "\n", -1)
-    lines = F.when(F.endswith(text, F.lit("\n")), F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines)
-    rows = sources.filter(F.col("path") == path).select(F.posexplode(lines).alias("k", "text"))
-    rows = rows.select((F.col("k") + 1).alias("line"), "text")
+    parts = F.split(text, "\n", -1)
+    parts = F.when(F.endswith(text, F.lit("\n")), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
+    return sources.select("path", F.posexplode(parts).alias("k", "text")).select("path", (F.col("k") + 1).alias("line"), "text")
+
+
+def numbered(sources: DataFrame, path: str, first: int = 1, last: int = 0) -> DataFrame:
+    """line, text of a source file; a span is clamped into the file."""
+    rows = lines(sources.filter(F.col("path") == path)).select("line", "text")
     if first > 1 or last:
-        size = F.count(F.lit(1)).over(Window.partitionBy())
-        rows = rows.withColumn("_n", size)
+        rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))  # one file
         low = F.least(F.lit(max(1, first)), F.col("_n"))
         rows = rows.filter((F.col("line") >= low) & (F.col("line") <= (F.least(F.lit(last), F.col("_n")) if last else F.col("_n"))))
     return rows.select("line", "text").orderBy("line")

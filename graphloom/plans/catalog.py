@@ -219,29 +219,26 @@ def status_counts(spark, sf_dir) -> DataFrame:
     return status.status(nodes, edges, _files(spark, sf_dir))
 
 
-@query("""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS line, unnest(string_split(text, chr(10))) AS t FROM documents WHERE doc_id = 7)
-SELECT (row_number() OVER ())::INT AS line, t AS text FROM d""", graph=False)
+@query("""WITH d AS (SELECT doc_id, CASE WHEN suffix(text, chr(10)) THEN text[:-2] ELSE text END AS text FROM documents), p AS (SELECT doc_id, string_split(text, chr(10)) AS p FROM d)
+SELECT doc_id, k::INT AS line, p[k] AS text FROM p, LATERAL (SELECT unnest(range(1, len(p) + 1)) AS k)""", graph=False)
 def source_numbered(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id = 7")
-    return files.numbered(docs.select(F.lit("d").alias("path"), F.col("text").alias("content")), "d")
+    """Every document as a numbered source."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("path"), F.col("text").alias("content"))
+    return files.lines(docs).withColumnRenamed("path", "doc_id")
 
 
-_SIZES = "d AS (SELECT row_number() OVER (ORDER BY doc_id)::INT AS pos, strlen(text) AS body_bytes FROM documents WHERE doc_id < 60)"
-
-
-def _sizes(spark, sf_dir) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("doc_id < 60")
-    place = F.row_number().over(Window.orderBy("doc_id"))  # the definitions of one symbol
-    return docs.select(place.alias("pos"), F.octet_length("text").cast("long").alias("body_bytes"))
-
-
-@query(f"""WITH RECURSIVE {_SIZES}, f AS (
-  SELECT 1 AS pos, true AS shown, body_bytes AS used, 1 AS n, 0 AS over FROM d WHERE pos = 1
-  UNION ALL SELECT d.pos, f.n < 16 AND f.used + d.body_bytes <= 12000, f.used + CASE WHEN f.n < 16 AND f.used + d.body_bytes <= 12000 THEN d.body_bytes ELSE 0 END,
-    f.n + (f.n < 16 AND f.used + d.body_bytes <= 12000)::INT, f.over + (NOT (f.n < 16 AND f.used + d.body_bytes <= 12000))::INT FROM f JOIN d ON d.pos = f.pos + 1)
-SELECT pos, shown, NOT shown AND over <= 20 AS listed FROM f""", graph=False)
+@query("""WITH RECURSIVE d AS (SELECT source AS name, row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS pos, strlen(text) AS b FROM documents
+), f AS (
+  SELECT name, 1 AS pos, true AS shown, b AS used, 1 AS n, 0 AS over FROM d WHERE pos = 1
+  UNION ALL SELECT d.name, d.pos, f.n < 16 AND f.used + b <= 12000, f.used + CASE WHEN f.n < 16 AND f.used + b <= 12000 THEN b ELSE 0 END,
+    f.n + (f.n < 16 AND f.used + b <= 12000)::INT, f.over + (NOT (f.n < 16 AND f.used + b <= 12000))::INT FROM f JOIN d ON d.name = f.name AND d.pos = f.pos + 1)
+SELECT name, pos, shown, NOT shown AND over <= 20 AS listed FROM f""", graph=False)
 def definition_budget(spark, sf_dir) -> DataFrame:
-    return node_detail.within_budget(_sizes(spark, sf_dir))
+    """Which bodies fit, with sources as symbols and documents as their definitions."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    place = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    sized = docs.select(F.col("source").alias("name"), place.alias("pos"), F.octet_length("text").cast("long").alias("body_bytes"))
+    return node_detail.within_budget(sized)
 
 
 # ---- tokenizers and predicates --------------------------------------------------------------------------------------
