@@ -6,12 +6,14 @@
 2. A second pass gives each document its set size, a 128-bit digest of its set, the prefix of its set in that order and
    16 hash-cell counts. Documents with equal sets form a class; only classes are joined.
 3. Prefix postings meet by shingle. Length, positional and suffix filters (the Hamming bound over the 16 cells) run
-   where they meet. Buckets of up to SMALL classes give their pairs at once. Larger or listed ones first try only stars
-   around one class, STARS times with another class; pairs that components then already connect are skipped, buckets
-   inside one component are never gathered, and the remaining pairs between components are tried in blocks. No pair that could link components is
-   left out, and none is verified twice in a step.
-4. Pairs pass a finer Hamming bound (at least 128 cells, about one for eight shingles); texts are fetched through a
-   filter of at most DOC_BUCKETS hashed ids, so that few of the others move. Verification compares whole sets: the texts of one side meet the other side's text once per block of partners.
+   where they meet. Buckets of up to SMALL classes give their pairs at once. Larger or listed ones first try only a star
+   around one class; pairs that components then already connect are skipped, buckets inside one component are never
+   gathered, and the remaining pairs between components are tried in blocks: the likeliest pairs of each row, then
+   all that are left. No pair that could link
+   components is left out, and none is verified twice in a step.
+4. Pairs pass a finer Hamming bound first (at least 128 cells, about one for eight shingles); texts are fetched through a
+   filter of at most DOC_BUCKETS hashed ids, so that few of the others move. Verification compares whole sets: the
+   texts of one side meet the other side's text once per block of partners.
 
 Similarity is intersection / union >= num / den over distinct shingles.
 
@@ -39,7 +41,8 @@ DOC_BUCKETS = 1 << 18
 SMALL = 32
 BLOCK = 384
 PARTNERS = 256
-STARS = 3
+NEAREST = 4
+LIKELY = 1
 CHUNK = 1 << 20
 
 
@@ -256,8 +259,57 @@ def _star_pairs(num: int, den: int):
     return run
 
 
-def _block_pairs(num: int, den: int):
-    """Rows sorted by (h, x, y): pairs between components inside each block of at most two times BLOCK rows."""
+def _first_of(*keys: np.ndarray) -> np.ndarray:
+    """Marks the first row of each run of equal keys."""
+    fresh = np.ones(len(keys[0]), bool)
+    fresh[1:] = np.logical_or.reduce([np.diff(k) != 0 for k in keys])
+    return fresh
+
+
+def _runs(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and length of each run of equal keys."""
+    start = np.flatnonzero(_first_of(key))
+    return start, np.diff(np.append(start, len(key)))
+
+
+def _block_pairs(num: int, den: int, best: bool):
+    """Rows sorted by (h, x, y): pairs between components inside each block of at most two times BLOCK rows.
+
+    best: only the likeliest pairs of each row, by the Hamming bound, one a component and NEAREST at most; else all that
+    may link.
+    """
+
+    def block(h, pos, cid, n, cells, fine, comp, side, split):
+        order = np.argsort(n, kind="stable")
+        sizes, labels = n[order], comp[order]
+        values, place, counts = np.unique(labels, return_inverse=True, return_counts=True)
+        if len(values) < 2:
+            return None
+        small = place != np.argmax(counts)
+        minor = np.flatnonzero(small)
+        left = np.searchsorted(sizes * den, sizes[minor] * num, "left")
+        many = np.searchsorted(sizes * num, sizes[minor] * den, "right") - left
+        i = np.repeat(minor, many)
+        j = np.repeat(left - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        keep = (labels[i] != labels[j]) & (~small[j] | (i < j))
+        if split:
+            keep &= side[order][i] != side[order][j]
+        i, j = order[i[keep]], order[j[keep]]
+        ok = np.flatnonzero(_may_link(n[i], n[j], pos[i], pos[j], cells[i], cells[j], num, den))
+        i, j = i[ok], j[ok]
+        far = _fine_far(fine, i, j)
+        ok = np.flatnonzero(far <= n[i] + n[j] - 2 * -((-num * (n[i] + n[j])) // (num + den)))
+        i, j, far = i[ok], j[ok], far[ok]
+        if best and len(i):
+            row, other, to = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([comp[j], comp[i]])
+            far = np.concatenate([far, far])
+            turn = np.lexsort((far, to, row))
+            turn = turn[_first_of(row[turn], to[turn])]
+            turn = turn[np.lexsort((far[turn], row[turn]))]
+            place = np.arange(len(turn)) - np.repeat(*_runs(row[turn]))
+            turn = turn[place < NEAREST]
+            i, j = row[turn], other[turn]
+        return np.sort(np.stack([cid[i], cid[j]], 1), 1)
 
     def run(batches):
         for table in _grouped(batches, ["h", "x", "y"]):
@@ -268,27 +320,10 @@ def _block_pairs(num: int, den: int):
             edges = np.append(np.flatnonzero(new), len(h))
             found = []
             for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-                order = lo + np.argsort(n[lo:hi], kind="stable")
-                sizes, labels, side = n[order], comp[order], own[order]
-                values, counts = np.unique(labels, return_counts=True)
-                if len(values) < 2:
-                    continue
-                minor = np.flatnonzero(labels != values[np.argmax(counts)])
-                left = np.searchsorted(sizes * den, sizes[minor] * num, "left")
-                right = np.searchsorted(sizes * num, sizes[minor] * den, "right")
-                for k, m in enumerate(minor):
-                    other = np.arange(left[k], right[k])
-                    other = other[labels[other] != labels[m]]
-                    if x[lo] != y[lo]:
-                        other = other[side[other] != side[m]]
-                    if not len(other):
-                        continue
-                    i, j = np.full(len(other), order[m]), order[other]
-                    ok = np.flatnonzero(_may_link(n[i], n[j], pos[i], pos[j], cells[i], cells[j], num, den))
-                    i, j = i[ok], j[ok]
-                    need = -((-num * (n[i] + n[j])) // (num + den))
-                    ok = _fine_far(fine, i, j) <= n[i] + n[j] - 2 * need
-                    found.append(np.sort(np.stack([cid[i[ok]], cid[j[ok]]], 1), 1))
+                s = slice(lo, hi)
+                pairs = block(h[s], pos[s], cid[s], n[s], cells[s], fine[lo:hi], comp[s], own[s], x[lo] != y[lo])
+                if pairs is not None and len(pairs):
+                    found.append(pairs)
             if found:
                 pairs = np.unique(np.concatenate(found), axis=0)
                 yield _batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
@@ -367,26 +402,27 @@ def _near(num: int, den: int):
     return run
 
 
-def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of class ids whose sets are similar."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-    near = pairs.distinct().join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
-    held = Written(near.mapInArrow(_near(num, den), "a long, b long"))
-    ids = held.df.select(F.col("a").alias("cid")).union(held.df.select(F.col("b").alias("cid"))).distinct()
-    asked = classes.join(ids, "cid").select("cid", "key", "rep")
+def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, near: bool) -> DataFrame:
+    """The pairs (a, b) of class ids whose sets are similar. near: they have passed the fine cells."""
+    pairs = pairs.distinct()
+    if not near:
+        side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
+        pairs = pairs.mapInArrow(_near(num, den), "a long, b long")
+    held = Written(pairs).df
+    ids = held.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
+    asked = Written(classes.select("cid", "key", "rep").join(ids, "cid")).df
     bucket = lambda x: F.pmod(F.xxhash64(x), F.lit(DOC_BUCKETS))
     hit = asked.select(bucket("rep").alias("bucket")).distinct()  # at most DOC_BUCKETS numbers
     few = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(hit), "bucket", "left_semi").select("doc_id", "text")
     texts = few.join(asked, few["doc_id"] == asked["rep"]).dropDuplicates(["doc_id", "cid", "text"])
-    texts = Written(texts.select("cid", "key", "text").mapInArrow(_same_set(width), "cid long, text string")).df
-    blocks = held.df.groupBy("a").agg(((F.count(F.lit(1)) + PARTNERS - 1) / PARTNERS).cast("int").alias("k"))
-    partners = held.df.join(blocks, "a").select(
-        "a", F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt"), F.col("b").alias("cid")
-    )
-    tails = partners.join(texts, "cid").select("a", "salt", F.col("cid").alias("b"), "text")
-    heads = partners.select("a", "salt").distinct().join(texts, F.col("a") == F.col("cid"))
-    heads = heads.select("a", "salt", F.lit(None).cast("long").alias("b"), "text")
-    both = heads.unionByName(tails).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    texts = texts.select("cid", "key", "text").mapInArrow(_same_set(width), "cid long, text string")
+    blocks = held.groupBy("a").agg(((F.count(F.lit(1)) + PARTNERS - 1) / PARTNERS).cast("int").alias("k"))
+    salt = F.pmod(F.xxhash64("b"), F.col("k")).cast("int").alias("salt")
+    tails = held.join(blocks, "a").select("a", salt, "b", F.col("b").alias("cid"))
+    heads = blocks.select("a", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(None).cast("long").alias("b"), F.col("a").alias("cid"))
+    both = heads.unionByName(tails).join(texts, "cid").select("a", "salt", "b", "text")
+    both = both.repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
     return Written(both.mapInArrow(_verified(width, num, den), "u long, v long")).df
 
 
@@ -397,6 +433,22 @@ def _labelled(large: DataFrame, roots: DataFrame | None) -> DataFrame:
     return large.join(roots, F.col("a") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "a").alias("comp"))
 
 
+def _open_rows(large: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+    """Postings of buckets that hold several components, dealt in blocks (h, x, y) of at most two times BLOCK rows."""
+    labelled = _labelled(large, roots)
+    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    rows = (
+        labelled.join(mixed.filter("lo <> hi").select("h", "m"), "h")
+        .join(classes.select(F.col("cid").alias("a"), "fine"), "a")
+        .withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        .select("h", "pos", F.col("a").alias("cid"), "n", "c1", "c2", "comp", "x", "y", "own", "fine")
+    )
+    return rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y")
+
+
 def near_duplicates(
     docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100
 ) -> DataFrame:
@@ -425,33 +477,17 @@ def near_duplicates(
         postings.filter("listed").select("h", "pos", F.col("cid").alias("a"), "n", "c1", "c2")
     )
     large = Written(large).df
-    links, roots = None, None
-    for turn in range(STARS):
-        row = F.struct("a", "n", "pos", "c1", "c2", "comp")
-        centre = _labelled(large, roots).groupBy("h").agg(
-            F.min(F.struct(F.xxhash64("a", F.lit(turn)), row.alias("z"))).alias("z"), F.min("comp").alias("lo"), F.max("comp").alias("hi")
-        )
-        names = {"a": "z", "n": "zn", "pos": "zpos", "c1": "z1", "c2": "z2", "comp": "zcomp"}
-        centre = centre.filter("lo <> hi").select("h", *[F.col(f"z.z.{x}").alias(y) for x, y in names.items()])
-        star = _labelled(large, roots).join(centre, "h").filter("comp <> zcomp").mapInArrow(_star_pairs(num, den), "a long, b long")
-        found = _links(star if turn else star.union(met.filter("kind = 0").select("a", "b")), ids, docs, width, num, den)
-        links = found if links is None else links.union(found)
-        if turn and found.isEmpty():
-            break
-        roots = components(links)
-    labelled = _labelled(large, roots)
-    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    open_rows = (
-        labelled.join(mixed.filter("lo <> hi").select("h", "m"), "h")
-        .join(classes.select(F.col("cid").alias("a"), "fine"), "a")
-        .withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        .select("h", "pos", F.col("a").alias("cid"), "n", "c1", "c2", "comp", "x", "y", "own", "fine")
-    )
-    between = open_rows.repartition("h", "x", "y").sortWithinPartitions("h", "x", "y").mapInArrow(_block_pairs(num, den), "a long, b long")
-    roots = components(links.union(_links(between, ids, docs, width, num, den)))
+    row = F.struct("a", "n", "pos", "c1", "c2")
+    centre = large.groupBy("h").agg(F.min(row).alias("z"), F.max("a").alias("last")).filter("z.a <> last")
+    names = {"a": "z", "n": "zn", "pos": "zpos", "c1": "z1", "c2": "z2"}
+    centre = centre.select("h", *[F.col(f"z.{x}").alias(y) for x, y in names.items()])
+    star = large.join(centre, "h").filter("a <> z").mapInArrow(_star_pairs(num, den), "a long, b long")
+    links = _links(star.union(met.filter("kind = 0").select("a", "b")), ids, docs, width, num, den, near=False)
+    for turn in range(LIKELY + 1):  # the likeliest pairs of what is apart, then all pairs that are left
+        open_ = _open_rows(large, components(links), classes)
+        between = open_.mapInArrow(_block_pairs(num, den, turn < LIKELY), "a long, b long")
+        links = links.union(_links(between, ids, docs, width, num, den, near=True))
+    roots = components(links)
     named = ids.select("cid", "key", "rep").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     by_key = named.join(smallest, "root").select("key", "component_id")
