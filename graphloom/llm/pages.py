@@ -20,6 +20,7 @@ empty table gives an empty result; extra columns are ignored; pages of any lengt
 
 import json
 import re
+import sys
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SAMPLE = 12
-DEEPEST = 40
+#: Frames that following a tree may take; Python frames need no C stack.
+DEEP = 10_000_000
 
 _RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed")
 _TOKEN = re.compile(
@@ -226,17 +228,24 @@ def _merge(a: list[Node], b: list[Node]) -> list[Node]:
     return _fold(out)
 
 
-def _template(node: Node, depth: int = 0, linked: bool = False) -> Node:
-    """A page's part as a wrapper of one example: repeats folded, text sizes noted."""
+def _template(node: Node) -> Node:
+    """A page's part as a wrapper of one example: repeats folded, text sizes noted; trees of any depth."""
+    sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))  # _align follows the tree with Python frames only
     made = Node(node.tag, node.name, node.hidden)
-    if node.tag == "#text":
-        made.text = node.text
-        made.chars = len(node.text.strip())
-        made.links = made.chars if linked else 0
-        return made
-    if depth < DEEPEST:
-        kids = [_template(k, depth + 1, linked or node.tag == "a") for k in node.kids if k.tag != "#text" or k.text.strip()]
-        made.kids = _fold(kids)
+    order = [(node, made, node.tag == "a")]
+    for part, copy, linked in order:
+        for k in part.kids:
+            if k.tag == "#text" and not k.text.strip():
+                continue
+            kid = Node(k.tag, k.name, k.hidden, k.text)
+            if k.tag == "#text":
+                kid.chars = len(k.text.strip())
+                kid.links = kid.chars if linked else 0
+            else:
+                order.append((k, kid, linked or k.tag == "a"))
+            copy.kids.append(kid)
+    for _, copy, _ in reversed(order):
+        copy.kids = _fold(copy.kids)
     return made
 
 
@@ -249,34 +258,51 @@ def infer(pages: list[str]) -> Node:
     return wrapper if wrapper is not None else Node("#root")
 
 
+def _sizes(root: Node, own: bool) -> dict[int, float]:
+    """Running text outside chrome below each part, by id(part)."""
+    order = [root]
+    for x in order:
+        order += x.kids
+    sizes: dict[int, float] = {}
+    for x in reversed(order):
+        if x.tag == "#text":
+            sizes[id(x)] = 0 if x.text and not own else x.chars - 2 * x.links
+        else:
+            sizes[id(x)] = sum((sizes[id(k)] for k in x.kids if k.tag == "#text" or not chrome(k, True)), 0.0)
+    return sizes
+
+
 def best_path(root: Node, own: bool = False) -> list[str]:
     """Keys of the elements from the root to the content; ``own``: of one page, where every text counts."""
-    found: list[tuple[int, float, int, list[str]]] = []
-
-    def size(node: Node, inside: bool) -> float:
-        total, todo = 0.0, [node]
-        while todo:
-            x = todo.pop()
-            if x.tag == "#text":
-                total += 0 if x.text and not own else x.chars - 2 * x.links
-            elif x is node or not chrome(x, inside):
-                todo += x.kids
-        return total
-
-    todo: list[tuple[Node, list[str]]] = [(root, [])]
+    found: list[tuple[int, float, int, Node]] = []
+    sizes = _sizes(root, own)
+    above: dict[int, Node] = {}
+    todo: list[tuple[Node, int, bool]] = [(root, 0, False)]
     while todo:
-        node, path = todo.pop()
+        node, depth, inside = todo.pop()
+        inside = inside or (depth > 0 and node.tag in ("article", "main"))
         named = 3 if node.tag == "article" else 2 if node.tag == "main" or re.search(r"\bmain\b|articleBody", node.name) else 1 if _CONTENT_NAME.search(node.name) and node.tag in ("div", "section", "td") else 0
-        direct = sum(1 for k in node.kids if k.tag in ("p", "h1", "h2", "h3", "#text", "blockquote", "pre", "ul", "ol", "table"))
-        if path and (named or direct):
-            found.append((named, size(node, True), len(path), path))
-        todo += [(k, [*path, k.key]) for k in node.kids if k.tag != "#text" and not chrome(k, named > 1 or any(p.startswith(("article|", "main|")) for p in path))]
+        direct = any(k.tag in ("p", "h1", "h2", "h3", "#text", "blockquote", "pre", "ul", "ol", "table") for k in node.kids)
+        if depth and (named or direct):
+            found.append((named, sizes[id(node)], depth, node))
+        for k in node.kids:
+            if k.tag != "#text" and not chrome(k, named > 1 or inside):
+                above[id(k)] = node
+                todo.append((k, depth + 1, inside))
     named = [x for x in found if x[0] and x[1] > 0]
+    plain = [x for x in found if x[1] > 0]
     if named:
         top = max(x[0] for x in named)
-        return max((x for x in named if x[0] == top), key=lambda x: (x[1], -x[2]))[3]
-    plain = [x for x in found if x[1] > 0]
-    return max(plain, key=lambda x: (x[1], x[2]))[3] if plain else []
+        node = max((x for x in named if x[0] == top), key=lambda x: (x[1], -x[2]))[3]
+    elif plain:
+        node = max(plain, key=lambda x: (x[1], x[2]))[3]
+    else:
+        return []
+    path = []
+    while node is not root:
+        path.append(node.key)
+        node = above[id(node)]
+    return path[::-1]
 
 
 def at_path(root: Node, path: list[str]) -> list[Node]:

@@ -290,6 +290,16 @@ def test_deep_pages():
     assert pages.extract("<article>" + "<i>" * 5000 + "x", []) == "x"
 
 
+@pytest.mark.parametrize("tag", ["div", "font", "span"])
+def test_depth_hides_no_text(tag):
+    for deep in (10, 39, 41, 60, 3000):
+        made = [f"<body><div class=top1><p>tagline</p></div>{f'<{tag}>' * deep}<p>Long article {k} text</p><p>and its end {k}</p>" for k in range(3)]
+        path = pages.best_path(pages.infer(made))
+        for k, html in enumerate(made):
+            want = f"Long article {k} text\nand its end {k}"
+            assert pages.extract(html, []) == want and pages.extract(html, path) == want
+
+
 def test_pages_against_the_article(spark):
     source = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{SF}/pages.parquet").collect()}
     for r in pages.op3_html_extraction(spark, SF).collect():
