@@ -1,26 +1,30 @@
-"""Operator 3: main-text extraction with wrappers inferred per host.
+"""Operator 3: main-text extraction with wrappers inferred per template of a host.
 
-Pages of a host come from a few templates. A bounded sample of each host's pages is parsed into token trees; the trees
-are aligned one after another into a wrapper, a union-free expression: equal tags match, runs of equal siblings (of
+Pages of a host come from a few templates, told apart by the containers that hold text outside the page's likeliest
+content. All pages are parsed into token trees; the trees of a template are aligned one after another into a wrapper, a
+union-free expression: equal tags match, runs of equal siblings (of
 one to three tags) fold into repeated groups, siblings without a partner become optional, differing texts become slots
 (their sizes are kept). The wrapper tells where the content stands: the path of the part whose slots hold the most
-running text outside chrome, with article-like elements first. A page is cut at that path; a page that does not have
-it falls back to its own best part. Inside, menus, asides, forms, scripts, adverts, notices and comments are left out.
+running text outside chrome, with article-like elements first. A page is cut at its template's path; the only page of
+a template, or one without the path, falls back to its own best part. Inside, menus, asides, forms, scripts, adverts, notices and comments are left out.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line feed in page order.
 
-Only sampled pages (about SAMPLE a host, by hash) meet by host; wrappers are a table that joins pages by host, so a
-host with a third of all pages is spread over tasks.
+Each task aligns the pages it reads into partial wrappers (at most NODES parts of pages before it hands them on, texts as
+digests); only partial wrappers meet by host and template, where they are aligned again. Content paths are a table that
+joins pages by host and template, so a host with a third of all pages is spread over tasks.
 
 Defined cases: null or empty html gives an empty text; a null url or one without a host shares the wrapper of the host
 "" ; broken or cut markup is repaired (open elements end where the page ends); repeated rows are extracted alike; an
 empty table gives an empty result; extra columns are ignored; pages of any length are read whole.
 """
 
+import hashlib
 import json
 import re
 import sys
+import zlib
 from html import unescape
 
 import pyarrow as pa
@@ -29,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import written
 
-SAMPLE = 12
+NODES = 1 << 19
 #: Frames that following a tree may take; Python frames need no C stack.
 DEEP = 10_000_000
 
@@ -62,6 +66,7 @@ _CHROME_TAGS = frozenset(
     "nav aside footer form script style noscript template button select input textarea iframe svg math head title menu "
     "dialog object embed canvas audio video label fieldset xmp noembed".split()
 )
+_CONTAINERS = frozenset("body div section article main table td center".split())
 _CHROME_NAME = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|banner|promo|promoted|sponsor|sponsored|sidebar|side|"
     r"cookie|cookies|consent|gdpr|notice|notices|alert|newsletter|subscribe|subscription|signup|share|sharing|social|comment|"
@@ -250,7 +255,7 @@ def _template(node: Node) -> Node:
 
 
 def infer(pages: list[str]) -> Node:
-    """Wrapper of sampled pages, aligned one after another."""
+    """Wrapper of pages, aligned one after another."""
     wrapper = None
     for page in pages:
         one = _template(parse(page))
@@ -327,10 +332,100 @@ def extract(html: str | None, path: list[str]) -> str:
     return "\n".join(t for t in map(text_of, found) if t)
 
 
+def template_of(one: Node, own: list[str]) -> str:
+    """Digest of a page's containers that hold text, those inside its likeliest content left out."""
+    sizes = _sizes(one, own=True)
+    found = set()
+    todo: list[tuple[Node, int, int]] = [(one, 0, 0)]  # part, digest of its path, how much of ``own`` it follows (-1: none)
+    while todo:
+        node, path, at = todo.pop()
+        if at == len(own) and own:
+            continue
+        for k in node.kids:
+            if k.tag != "#text" and sizes[id(k)] and not chrome(k, False):
+                below = zlib.crc32(k.key.encode(), path)
+                if k.tag in _CONTAINERS:
+                    found.add(below)
+                todo.append((k, below, at + 1 if 0 <= at < len(own) and k.key == own[at] else -1))
+    return hashlib.blake2b(repr(sorted(found)).encode(), digest_size=8).hexdigest()
+
+
+def _read(html: str) -> tuple[Node, Node, list[str], str]:
+    """Tree, wrapper of the page alone, its own content path, its template."""
+    root = parse(html)
+    one = _template(root)
+    own = best_path(one, own=True)
+    return root, one, own, template_of(one, own)
+
+
+def _packed(root: Node) -> str:
+    out, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        out.append([x.tag, x.name, x.hidden + 2 * x.opt + 4 * x.rep, x.chars, x.links, x.text, len(x.kids)])
+        todo += reversed(x.kids)
+    return json.dumps(out)
+
+
+def _unpacked(text: str) -> Node:
+    top = Node("")
+    open_: list[list] = [[top, 1]]
+    for tag, name, flags, chars, links, words, kids in json.loads(text):
+        node = Node(tag, name, bool(flags & 1), words)
+        node.opt, node.rep, node.chars, node.links = bool(flags & 2), bool(flags & 4), chars, links
+        while not open_[-1][1]:
+            open_.pop()
+        open_[-1][0].kids.append(node)
+        open_[-1][1] -= 1
+        open_.append([node, kids])
+    return top.kids[0]
+
+
+def _digested(root: Node) -> int:
+    """Puts digests in place of texts; the number of parts."""
+    order = [root]
+    for x in order:
+        order += x.kids
+        if x.text:
+            x.text = hashlib.blake2b(x.text.encode("utf-8", "replace"), digest_size=8).hexdigest()
+    return len(order)
+
+
+def _partial(batches):
+    """host, html -> host, template, pages, wrapper: the pages of a task, aligned."""
+    held: dict[tuple[str, str], list] = {}
+
+    def flush():
+        rows = [(h, t, n, _packed(w)) for (h, t), (w, n) in sorted(held.items())]
+        held.clear()
+        kinds = (pa.string(), pa.string(), pa.int64(), pa.string())
+        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(4)], ["host", "template", "n", "wrapper"])
+
+    parts = 0
+    for batch in batches:
+        for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if not html:
+                continue
+            _, one, _, template = _read(html)
+            parts += _digested(one)
+            now = held.get((host, template))
+            held[host, template] = [_align(now[0], one), now[1] + 1] if now else [one, 1]
+            if parts >= NODES:
+                yield flush()
+                parts = 0
+    yield flush()
+
+
 def _inferred(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    pages = sorted(x for x in table.column("html").to_pylist() if x)
-    path = best_path(infer(pages)) if pages else []
-    return pa.table({"host": pa.array([key[0].as_py()]), "path": pa.array([json.dumps(path)])})
+    """The content path of a template from its partial wrappers; null where only one page has it."""
+    path = None
+    if sum(table.column("n").to_pylist()) > 1:
+        sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
+        wrapper = None
+        for text in sorted(table.column("wrapper").to_pylist()):
+            wrapper = _unpacked(text) if wrapper is None else _align(wrapper, _unpacked(text))
+        path = json.dumps(best_path(wrapper))
+    return pa.table({"host": pa.array([key[0].as_py()]), "template": pa.array([key[1].as_py()]), "path": pa.array([path], pa.string())})
 
 
 def host_of(url: Column) -> Column:
@@ -338,33 +433,47 @@ def host_of(url: Column) -> Column:
     return F.lower(host)
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """host, path: the content path of each host, from about ``sample`` of its pages chosen by hash."""
-    id_ = F.coalesce(F.col("page_id").cast("string"), F.lit("")).alias("id")
-    keyed = pages.select(host_of(F.col("url")).alias("host"), id_, "html")
-    counts = written(keyed.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
-    draw = F.conv(F.substring(F.md5(F.col("id").cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    picked = written(keyed.select("host", "id").join(counts, "host").filter(draw * F.col("n") < sample).select("host", "id").distinct())
-    return keyed.join(picked, ["host", "id"]).select("host", "html").groupBy("host").applyInArrow(_inferred, "host string, path string")
+def wrappers(pages: DataFrame) -> DataFrame:
+    """host, template, path: the content path of each template of a host that several pages share."""
+    partial = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_partial, "host string, template string, n long, wrapper string")
+    found = partial.groupBy("host", "template").applyInArrow(_inferred, "host string, template string, path string")
+    return found.filter("path IS NOT NULL AND path <> '[]'")
+
+
+def _own(batches):
+    """page_id, url, host, html -> with the page's template, its own content path and the text there."""
+    for batch in batches:
+        templates, paths, texts = [], [], []
+        for html in batch.column(3).to_pylist():
+            if html:
+                root, _, own, template = _read(html)
+                found = at_path(root, own) if own else [root]
+                made = template, json.dumps(own), "\n".join(t for t in map(text_of, found) if t)
+            else:
+                made = None, "[]", ""
+            for kept, x in zip((templates, paths, texts), made, strict=True):
+                kept.append(x)
+        more = [pa.array(x, pa.string()) for x in (templates, paths, texts)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "template", "own", "text"])
 
 
 def _extracted(batches):
-    paths: dict[str | None, list[str]] = {None: []}
+    """page_id, url, html, own, text, path: cut anew where the template's path is another than the page's own."""
     for batch in batches:
         texts = []
-        for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-            if path not in paths:
-                paths[path] = json.loads(path)
-            texts.append(extract(html, paths[path]))
+        for html, own, text, path in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
+            texts.append(text if path is None or path == own else extract(html, json.loads(path)))
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
 
-def extract_pages(pages: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def extract_pages(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars: one row for each row of ``pages`` (page_id, url, html)."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string"), F.col("html").cast("string"))
-    found = written(wrappers(pages, sample))
-    joined = pages.withColumn("host", host_of(F.col("url"))).join(found, "host", "left").select("page_id", "url", "html", "path")
+    found = written(wrappers(pages))
+    hosted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    read = hosted.mapInArrow(_own, "page_id long, url string, host string, html string, template string, own string, text string")
+    joined = read.join(found, ["host", "template"], "left").select("page_id", "url", "html", "own", "text", "path")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 

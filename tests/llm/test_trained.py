@@ -308,6 +308,32 @@ def test_pages_against_the_article(spark):
         assert r["text"] == "\n".join(b for b in blocks if b) and r["n_chars"] == len(r["text"])
 
 
+def test_rare_template_of_a_large_host(spark):
+    """Its pages also hold the content path of the host's common template, as a teaser or empty."""
+    common_ = "<body><div class=box><h1>Post {0}</h1><p>Body text of the post {0}</p></div><div class=foot1><p>the same everywhere</p></div>"
+    rare = "<body><div class=box>{1}</div><div class=page><h2>Guide {0}</h2><p>A long guide that only few pages have {0}</p></div><div class=foot1><p>the same everywhere</p></div>"
+    rows = [(k, "http://big/x", common_.format(k)) for k in range(400)]
+    rows += [(1000 + k, "http://big/y", rare.format(k, f"<p>Teaser {k}</p>" if k % 2 else "")) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)).collect()}
+    want = {k: f"Post {k}\nBody text of the post {k}" for k in range(400)}
+    want |= {1000 + k: f"Guide {k}\nA long guide that only few pages have {k}" for k in range(6)}
+    assert got == want
+
+
+def test_constant_texts_are_no_content(spark):
+    """A notice longer than the article, the same on all pages, is told from it wherever its pages are read."""
+    page = "<body><div class=xa><p>{0}</p></div><div class=xb><p>Short {1}</p></div>"
+    rows = [(k, "http://h/", page.format("the same long words " * 9, k)) for k in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(20)
+    assert {(r["page_id"], r["text"]) for r in pages.extract_pages(df).collect()} == {(k, f"Short {k}") for k in range(20)}
+
+
+def test_packed_wrapper():
+    wrapper = pages.infer([ROOM % ("article", k, k, "<p>More.</p>" * k, "article") for k in range(3)] + ["<div>" * 3000 + "x"])
+    again = pages._unpacked(pages._packed(wrapper))
+    assert pages._packed(again) == pages._packed(wrapper) and pages.best_path(again) == pages.best_path(wrapper)
+
+
 def test_pages_of_odd_rows(spark):
     rows = [(1, "http://a/x", "<p>x</p>"), (1, "http://a/x", "<p>x</p>"), (2, None, "<p>y</p>"), (3, "no host", None), (None, "http://a/", "")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 AS host", "2 AS path", "3 AS text")
