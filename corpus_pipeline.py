@@ -24,14 +24,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by five-word shingles at a similarity of 0.8, the document with the smallest id stays.
+    """Of each group linked by five-word shingles at a similarity of 0.8, one row stays: the one with the smallest id.
 
-    Rows without an id stay; a repeated id stays once.
+    Rows without an id come last in that order, equal ids go by a digest of the text. Rows that share an id but belong to
+    different groups all stay; rows without shingles are groups of their own.
     """
-    groups = written(near_duplicates(docs, width=5, num=80, den=100))
-    first = groups.filter("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.filter("doc_id is null"))
+    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows, doc_id="_row", width=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), "_row")
+    keys = rows.select("_row", order.alias("o")).join(groups, "_row")
+    first = keys.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._row").alias("_row"))
+    return rows.join(first, "_row", "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

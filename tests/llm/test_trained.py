@@ -345,6 +345,17 @@ def test_pages_of_odd_rows(spark):
 # ---- pipeline -------------------------------------------------------------------------------------------------------
 
 
+def test_near_copies_go_by_row(spark):
+    """A repeated id with different texts, and copies without an id."""
+    text = lambda *x: " ".join(f"{a}{k}" for a in x for k in range(60))
+    near = text("a").replace("a30", "z")
+    rows = [(1, text("a")), (5, near), (5, text("b")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("a")), (None, text("e")), (None, text("e")), (9, None), (None, "")]
+    kept = corpus_pipeline.keep_one_of_near_duplicates(spark, docs(spark, rows).repartition(3), SF)
+    assert kept.columns == docs(spark, rows).columns
+    want = [(1, text("a")), (5, text("b")), (7, text("c")), (7, text("d")), (None, text("e")), (9, None), (None, "")]
+    assert sorted(map(repr, ((r["doc_id"], r["text"]) for r in kept.collect()))) == sorted(map(repr, want))
+
+
 def test_pipeline_stage_by_stage(spark, tmp_path):
     now = spark.read.parquet(f"{SF}/documents.parquet")
     columns, bench = now.columns, spark.read.parquet(f"{SF}/benchmark.parquet")
