@@ -10,7 +10,7 @@
    around one class; pairs that components then already connect are skipped, buckets inside one component are never
    gathered, and the remaining pairs between components are tried in blocks: the likeliest pairs of each row, then
    all that are left. No pair that could link
-   components is left out, and none is verified twice in a step.
+   components is left out, and none is verified twice in a step. With ``links`` the blocks give all pairs at once.
 4. Pairs pass a finer Hamming bound first (at least 128 cells, about one for eight shingles); texts are fetched through a
    filter of at most DOC_BUCKETS hashed ids, so that few of the others move. Verification compares whole sets: the
    texts of one side meet the other side's text once per block of partners.
@@ -402,13 +402,18 @@ def _near(num: int, den: int):
     return run
 
 
+def _fine_pairs(pairs: DataFrame, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of class ids that pass the fine cells."""
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
+    return pairs.mapInArrow(_near(num, den), "a long, b long")
+
+
 def _links(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int, num: int, den: int, near: bool) -> DataFrame:
     """The pairs (a, b) of class ids whose sets are similar. near: they have passed the fine cells."""
     pairs = pairs.distinct()
     if not near:
-        side = lambda x: classes.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("fine").alias(f"f{x}"))
-        pairs = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "nb", "fa", "fb")
-        pairs = pairs.mapInArrow(_near(num, den), "a long, b long")
+        pairs = _fine_pairs(pairs, classes, num, den)
     held = Written(pairs).df
     ids = held.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     asked = Written(classes.select("cid", "key", "rep").join(ids, "cid")).df
@@ -433,7 +438,7 @@ def _labelled(large: DataFrame, roots: DataFrame | None) -> DataFrame:
     return large.join(roots, F.col("a") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "a").alias("comp"))
 
 
-def _open_rows(large: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFrame:
+def _open_rows(large: DataFrame, roots: DataFrame | None, classes: DataFrame) -> DataFrame:
     """Postings of buckets that hold several components, dealt in blocks (h, x, y) of at most two times BLOCK rows."""
     labelled = _labelled(large, roots)
     mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
@@ -450,9 +455,14 @@ def _open_rows(large: DataFrame, roots: DataFrame, classes: DataFrame) -> DataFr
 
 
 def near_duplicates(
-    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100
+    docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = 5, num: int = 80, den: int = 100, links: bool = False
 ) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of ``docs``."""
+    """doc_id, n_shingles, component_id: one row for each row of ``docs``.
+
+    links: also n_links, the number of other classes (distinct sets) that are similar to the row's; every candidate pair
+    of classes is then verified once, also where components connect it already.
+    """
+    all_links = links
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     listed = spark.sparkContext.broadcast(frequent(docs.select("text"), width))
@@ -477,24 +487,41 @@ def near_duplicates(
         postings.filter("listed").select("h", "pos", F.col("cid").alias("a"), "n", "c1", "c2")
     )
     large = Written(large).df
+    found = met.filter("kind = 0").select("a", "b")
+    if all_links:
+        blocks = _open_rows(large, None, classes).mapInArrow(_block_pairs(num, den, False), "a long, b long")
+        links = _links(_fine_pairs(found.distinct(), ids, num, den).union(blocks), ids, docs, width, num, den, near=True)
+        return _grouped_rows(profiles, ids, links, True)
     row = F.struct("a", "n", "pos", "c1", "c2")
     centre = large.groupBy("h").agg(F.min(row).alias("z"), F.max("a").alias("last")).filter("z.a <> last")
     names = {"a": "z", "n": "zn", "pos": "zpos", "c1": "z1", "c2": "z2"}
     centre = centre.select("h", *[F.col(f"z.{x}").alias(y) for x, y in names.items()])
     star = large.join(centre, "h").filter("a <> z").mapInArrow(_star_pairs(num, den), "a long, b long")
-    links = _links(star.union(met.filter("kind = 0").select("a", "b")), ids, docs, width, num, den, near=False)
+    links = _links(star.union(found), ids, docs, width, num, den, near=False)
     for turn in range(LIKELY + 1):  # the likeliest pairs of what is apart, then all pairs that are left
         open_ = _open_rows(large, components(links), classes)
         between = open_.mapInArrow(_block_pairs(num, den, turn < LIKELY), "a long, b long")
         links = links.union(_links(between, ids, docs, width, num, den, near=True))
+    return _grouped_rows(profiles, ids, links, False)
+
+
+def _grouped_rows(profiles: DataFrame, ids: DataFrame, links: DataFrame, counted: bool) -> DataFrame:
+    """The rows with the smallest id of their component; counted: with the number of links of their class."""
     roots = components(links)
     named = ids.select("cid", "key", "rep").join(roots, F.col("cid") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cid"))
     smallest = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_key = named.join(smallest, "root").select("key", "component_id")
+    named = named.join(smallest, "root")
+    count = []
+    if counted:
+        ends = links.select(F.explode(F.array("u", "v")).alias("cid")).groupBy("cid").agg(F.count(F.lit(1)).alias("n_links"))
+        named = named.join(ends, "cid", "left")
+        count = [F.coalesce("n_links", F.lit(0)).alias("n_links")]
+    by_key = named.select("key", "component_id", *(["n_links"] if counted else []))
     return profiles.select("doc_id", "n", "key").join(by_key, "key", "left").select(
         "doc_id",
         F.col("n").alias("n_shingles"),
         F.coalesce("component_id", "doc_id").alias("component_id"),
+        *count,
     )
 
 
@@ -502,6 +529,11 @@ def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100)
 
 
+def op7_ngram_jaccard_links(spark, sf_dir: str) -> DataFrame:
+    """The whole join: also the number of links of each document's class."""
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"), width=3, num=90, den=100, links=True)
+
+
 OP7_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),

@@ -3,7 +3,7 @@
 from .chat import OP4_SQL, op4_chat_formatting
 from .decontaminate import OP1_SQL, op1_decontamination
 from .dedup import OP10_SQL, op10_exact_dedup
-from .jaccard import OP7_SQL, op7_ngram_jaccard
+from .jaccard import OP7_SQL, op7_ngram_jaccard, op7_ngram_jaccard_links
 from .language import op5_language_id
 from .mixing import OP2_SQL, op2_mixing
 from .pages import op3_html_extraction
@@ -19,6 +19,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_ngram_jaccard": op7_ngram_jaccard,
+    "op7_ngram_jaccard_links": op7_ngram_jaccard_links,
     "op8_sharding": op8_sharding,
     "op9_secret_scan": op9_secret_scan,
     "op10_exact_dedup": op10_exact_dedup,

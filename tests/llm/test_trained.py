@@ -130,6 +130,22 @@ def test_near_duplicates_brute_force(spark, monkeypatch, width, num, edits, smal
     assert sorted(tuple(r) for r in got) == sorted(brute_components(texts, width, num, 100))
 
 
+@pytest.mark.parametrize("small, block", [(32, 384), (2, 16)])
+def test_number_of_links(spark, monkeypatch, small, block):
+    """All links between different sets, also inside a group of near copies that is connected by few of them."""
+    monkeypatch.setattr(jaccard, "SMALL", small)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(3)
+    texts = list(enumerate([*variants(rng, 90, 3), *variants(rng, 20, 3, 50), "a b", "A b", ""]))
+    got = jaccard.near_duplicates(docs(spark, texts), width=3, num=80, den=100, links=True).collect()
+    sets = {i: frozenset(zip(*[t.lower().split()[k:] for k in range(3)], strict=False)) or frozenset([t.lower()] * bool(t)) for i, t in texts}
+    distinct = set(sets.values())
+    count = {s: sum(s != o and bool(s & o) and 100 * len(s & o) >= 80 * len(s | o) for o in distinct) for s in distinct}
+    assert sum(count.values()) > 2 * len(texts)
+    assert {r["doc_id"]: r["n_links"] for r in got} == {i: count[s] for i, s in sets.items()}
+    assert sorted(tuple(r)[:3] for r in got) == sorted(brute_components(texts, 3, 80, 100))
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = [tuple(r) for r in jaccard.near_duplicates(docs(spark, ODD)).collect()]
     assert len(got) == len(ODD)
