@@ -171,6 +171,12 @@ def affected(spark, sf_dir) -> DataFrame:
     return traverse.affected(*graph(spark, sf_dir), ["europe/nation_3/high.go"], 2)
 
 
+@query(_affected_sql(5))
+def affected_whole(spark, sf_dir) -> DataFrame:
+    """To the operator's own depth."""
+    return traverse.affected(*graph(spark, sf_dir), ["europe/nation_3/high.go"])
+
+
 @query("""WITH s AS (SELECT id FROM nodes WHERE name = 'urgent' ORDER BY id LIMIT 1), b AS (
   SELECT 'callees' AS side, target AS id FROM edges, s WHERE kind = 'calls' AND source = s.id
   UNION ALL SELECT 'callers', source FROM edges, s WHERE kind = 'calls' AND target = s.id)

@@ -1,7 +1,9 @@
 import pytest
 
 from graphloom.operators import lookup, traverse
+from graphloom.plans.catalog import QUERIES
 from tests import graphs
+from tests.conftest import SF
 
 
 def names(df):
@@ -73,3 +75,8 @@ def test_narrowing_never_empties(spark):
     ids = lambda **h: [r["id"] for r in lookup.narrow(defs, **h).collect()]
     assert ids(file_hint="B\\Z.go") == ["3"] and ids(file_hint="nowhere") == ["1", "3", "2"]
     assert ids(line_hint=7) == ["1", "2"] and ids(line_hint=27) == ["3"]
+
+
+def test_affected_to_its_own_depth(spark):
+    shallow, whole = (QUERIES[x](spark, SF).count() for x in ("affected", "affected_whole"))
+    assert (shallow, whole) == (183, 214)
