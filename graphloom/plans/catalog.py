@@ -489,6 +489,15 @@ def random_walk(spark, sf_dir) -> DataFrame:
     return rank.walk_distributed(ids, written(expand.rank_edges(edges)), seeds).select("id", F.round("score", 7).alias("score"))
 
 
+@query()
+def random_walk_whole(spark, sf_dir) -> DataFrame:
+    """The distributed form over all nodes and ranked edges; tests compare it with the bounded kernel."""
+    nodes, edges = graph(spark, sf_dir)
+    ids = written(nodes.select("id"))
+    seeds = ids.filter(F.col("id").isin("function:3", "struct:7"))
+    return rank.walk_distributed(ids, written(expand.rank_edges(edges)), seeds).select("id", F.round("score", 7).alias("score"))
+
+
 @query("""WITH e AS (SELECT unnest(['function:3', 'struct:7']) AS id), named AS (SELECT 'interface:EUROPE' AS id), b AS (SELECT * FROM e UNION SELECT * FROM named
 ), r AS (SELECT source, target FROM edges WHERE kind <> 'contains'), c AS (SELECT target AS id FROM r JOIN b ON source = id UNION SELECT source FROM r JOIN b ON target = id)
 SELECT file_path, max(CASE WHEN id IN (SELECT id FROM named) THEN 50.0 WHEN id IN (SELECT id FROM e) THEN 10.0 WHEN id IN (SELECT id FROM c) THEN 3.0 ELSE 1.0 END)::DOUBLE AS score

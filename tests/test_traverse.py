@@ -1,6 +1,7 @@
 import pytest
 
-from graphloom.operators import lookup, traverse
+from graphloom.operators import expand, lookup, rank, traverse
+from graphloom.plans import catalog
 from graphloom.plans.catalog import QUERIES
 from tests import graphs
 from tests.conftest import SF
@@ -80,3 +81,12 @@ def test_narrowing_never_empties(spark):
 def test_affected_to_its_own_depth(spark):
     shallow, whole = (QUERIES[x](spark, SF).count() for x in ("affected", "affected_whole"))
     assert (shallow, whole) == (183, 214)
+
+
+def test_walk_over_the_whole_graph(spark):
+    nodes, edges = catalog.graph(spark, SF)
+    links = [(r["source"], r["target"]) for r in expand.rank_edges(edges).collect()]
+    want = rank.walk(sorted({r["id"] for r in nodes.select("id").collect()}), links, {"function:3", "struct:7"})
+    got = {r["id"]: r["score"] for r in QUERIES["random_walk_whole"](spark, SF).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) <= 2e-7 for k in want)
+    assert any(v > 0 for k, v in got.items() if k.startswith("method:"))
