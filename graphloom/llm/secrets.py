@@ -1,10 +1,10 @@
 r"""Operator 9: secret scan by patterns and token efficiency.
 
 Three base patterns (assignments to secret-like names, access-key ids, long lower-case hex runs) are reported as they
-stand. The token-efficiency test adds strings that no base span covers: runs of at least LEAST key characters that mix
-letters and digits and take few characters a token under a public byte-pair vocabulary, as random strings do and words
-do not. Known digests (hex of a digest's length, UUIDs) and identifiers (dotted or dashed words, dates, versions,
-numbers, host names) are excluded first.
+stand. The token-efficiency test adds strings that no base span covers: runs of at least LEAST key characters with a
+letter that take few characters a token under a public byte-pair vocabulary, as random strings do and words do not.
+Known digests (hex of a digest's length, UUIDs) and identifiers (dashed words of the vocabulary with dates, versions or
+numbers; strings without a letter) are excluded.
 
 The vocabulary file is read by the driver (at most MOST_BYTES) and broadcast.
 
@@ -59,11 +59,25 @@ def encoding(vocabulary: bytes):
 
 def is_random(text: bytes, encoder, most_ratio: float) -> bool:
     body = text.rstrip(b"=")
-    if not (re.search(rb"[0-9]", body) and re.search(rb"[A-Za-z]", body)):
+    if not re.search(rb"[A-Za-z]", body) or _DIGEST.fullmatch(body):
         return False
-    if _DIGEST.fullmatch(body) or _NAME.fullmatch(body):
+    if len(text) > most_ratio * len(encoder.encode_ordinary(text.decode())):
         return False
-    return len(text) <= most_ratio * len(encoder.encode_ordinary(text.decode()))
+    return not (_NAME.fullmatch(body) and of_words(body, encoder))
+
+
+def of_words(body: bytes, encoder) -> bool:
+    """Do all runs of letters split into words of the vocabulary (of three letters on average)? Parts of camel-case names have three letters or more."""
+    pieces = lambda w: len(encoder.encode_ordinary(" " + w.decode()))
+    known = lambda w, least: len(w) >= least and (pieces(w) == 1 or len(w) >= 3 * pieces(w))
+    for run in re.findall(rb"[A-Za-z]+", body):
+        cased = run.islower() or run.isupper() or run.istitle()
+        if run == b"v" or (cased and (known(run, 2) or known(run.lower(), 2))):
+            continue
+        parts = re.findall(rb"[A-Z]?[a-z]+|[A-Z]+(?![a-z])", run)
+        if cased or not all(known(p, 3) or known(p.lower(), 3) for p in parts):
+            return False
+    return True
 
 
 def base_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int, int]]:

@@ -269,6 +269,22 @@ def test_quality_learns_an_interaction():
     assert ((model.score(x[3000:]) >= 0.5) == y[3000:]).mean() > 0.9
 
 
+# ---- random keys and many languages ----------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("letters, size", [("ab", 16), ("aA", 16), ("aA", 24), ("aA0", 16), ("aA0+", 16), ("aA0", 20)])
+def test_random_keys_are_found(letters, size):
+    with open(secrets.VOCABULARY, "rb") as file:
+        encoder = secrets.encoding(file.read())
+    low, up = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    signs = low + (up if "A" in letters else "") + ("0123456789" if "0" in letters else "") + ("+/" if "+" in letters else "")
+    rng = np.random.default_rng(size)
+    keys = ["".join(rng.choice(list(signs), size)).encode() for _ in range(1000)]
+    assert sum(secrets.is_random(k, encoder, secrets.MOST_RATIO) for k in keys) >= 980
+    for name in (b"build-2024-01-02-v1", b"internationalization", b"getElementsByClassName", b"release/v10/2/33/4", b"2024-01-02-10-20", b"some_dashed-words_here"):
+        assert not secrets.is_random(name, encoder, secrets.MOST_RATIO), name
+
+
 # ---- pages ----------------------------------------------------------------------------------------------------------
 
 ROOM = """<html><head><title>t</title><style>p{}</style></head><body><header class=top><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav>
