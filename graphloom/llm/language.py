@@ -7,8 +7,8 @@ whose expectations come from forward-backward. Training sequences are windows of
 from two documents, so that transitions see switches. A text's words are labelled by forward-backward over the whole
 text; the prediction is the language with the largest mean posterior, the score that mean.
 
-Training reads a bounded sample (about PER_LANGUAGE rows of each of at most LANGUAGES languages, WINDOWS windows of
-WINDOW words each). ``lang`` is only a training label.
+Training reads a sample (about PER_LANGUAGE rows of each language, fewer where that makes more than ROWS rows, but at
+least one; WINDOWS windows of WINDOW words each). No language is left out. ``lang`` is only a training label.
 
 Defined cases: null text, or one without a letter: ``und``, score 0; without training rows every row is ``und``; null
 lang is not learned from; null doc_id counts as held out from nothing and teaches nothing; repeated rows are predicted
@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, text_bytes
+from .common import slices, text_bytes, written
 
-PER_LANGUAGE, LANGUAGES, WINDOWS, WINDOW = 300, 64, 6, 48
+PER_LANGUAGE, ROWS, WINDOWS, WINDOW = 300, 19_200, 6, 48
 BUCKETS = 1 << 16
 EPOCHS, RATE, LEXICON = 15, 0.5, 500
 UNKNOWN = "und"
@@ -193,17 +193,19 @@ def _windows(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(langs), pa.array(out, pa.binary())], ["id", "lang", "words"])
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_languages: int = LANGUAGES) -> Tagger:
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, most_rows: int = ROWS) -> Tagger:
     """Learns from rows outside the held-out fold with a lang."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages).collect()
-    if not counts:
-        return Tagger([], {})
     draw = F.conv(F.substring(F.md5(F.col("doc_id").cast("string").cast("binary")), 1, 12), 16, 10).cast("long") / float(1 << 48)
-    rate = F.lit(0.0)
-    for row in counts:
-        rate = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["count"])).otherwise(rate)
-    picked = known.filter(draw < rate).select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("string"))
+    known = known.withColumn("_draw", draw)
+    spoken = F.col("text").rlike(r"[A-Za-z\x{80}-\x{10FFFF}]")
+    counts = written(known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"), F.min(F.when(spoken, F.col("_draw"))).alias("_least")))
+    languages = counts.count()
+    if not languages:
+        return Tagger([], {})
+    rows = max(1.0, min(per_language, most_rows / languages))
+    drawn = (F.col("_draw") < rows / F.col("_n")) | (F.col("_draw") == F.col("_least"))
+    picked = known.join(F.broadcast(counts), "lang").filter(drawn).select(F.col("doc_id").cast("long"), "lang", F.col("text").cast("string"))
     rows = picked.mapInArrow(_windows, "id long, lang string, words binary").toArrow().to_pylist()
     rows.sort(key=lambda r: (r["id"], r["lang"], r["words"]))
     langs = sorted({r["lang"] for r in rows})

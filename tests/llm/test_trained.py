@@ -272,6 +272,15 @@ def test_quality_learns_an_interaction():
 # ---- random keys and many languages ----------------------------------------------------------------------------------
 
 
+def test_every_language_is_learned(spark):
+    """More labels than 64, the last ones with a few documents only."""
+    made = [(k, f"w{chr(97 + k % 70 // 26)}{chr(97 + k % 26)}" + "x", f"l{k % 70:02}") for k in range(700)]
+    rows = [(k, " ".join([w] * 12), lang, "s", 9) for k, w, lang in made]
+    rows += [(1000 + k, "rare words here", "zz", "s", 9) for k in range(6)]
+    tagger = language.train(spark.createDataFrame(rows, DOCS), most_rows=140)
+    assert tagger.langs == [*(f"l{k:02}" for k in range(70)), "zz"]
+
+
 @pytest.mark.parametrize("letters, size", [("ab", 16), ("aA", 16), ("aA", 24), ("aA0", 16), ("aA0+", 16), ("aA0", 20)])
 def test_random_keys_are_found(letters, size):
     with open(secrets.VOCABULARY, "rb") as file:
