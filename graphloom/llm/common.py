@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -108,14 +111,17 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 _FNV = np.uint64(0x100000001B3)
+LONG_WORD = 64
 
 
 def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     """Starts and 64-bit hashes of the white-space separated words of lower-cased (A-Z only) bytes.
 
-    Hashes come from prefix sums of a polynomial and do not depend on the place of a word.
+    Hashes come from prefix sums of a polynomial and do not depend on the place of a word. Words of more than LONG_WORD
+    bytes, for which texts with equal polynomials can be built, get a digest instead.
     """
-    raw = np.frombuffer(text.lower(), np.uint8)
+    text = text.lower()
+    raw = np.frombuffer(text, np.uint8)
     space = _SPACE[raw]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[0::2], edge[1::2]
@@ -132,39 +138,71 @@ def _words(text: bytes) -> tuple[np.ndarray, np.ndarray]:
             s, e = starts[k:j] - lo, ends[k:j] - lo
             out.append(mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64)))
             k = j
-    return starts, np.concatenate(out) if out else np.zeros(0, np.uint64)
+    hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    for k in np.flatnonzero(ends - starts > LONG_WORD):
+        hashes[k] = int.from_bytes(hashlib.blake2b(text[starts[k] : ends[k]], digest_size=8).digest(), "little")
+    return starts, hashes
+
+
+def split_words(texts: list[bytes]) -> tuple[list[bytes], np.ndarray]:
+    """The words of texts (A-Z lower-cased, cut at space and U+0009 to U+000D) one after another, and each text's first."""
+    found = [t.lower().split() for t in texts]
+    return list(chain.from_iterable(found)), np.concatenate([[0], np.cumsum([len(w) for w in found])]).astype(np.int64)
+
+
+def _sets(h: np.ndarray, first: np.ndarray, width: int, short) -> list[np.ndarray]:
+    """Per text, its sorted distinct shingle values; ``short`` gives the one of a text with fewer words."""
+    out = []
+    for a, b in zip(first[:-1], first[1:], strict=True):
+        if b - a >= width:
+            found = np.sort(h[a : b - width + 1])
+            fresh = np.empty(len(found), bool)
+            fresh[0] = True
+            np.not_equal(found[1:], found[:-1], out=fresh[1:])
+            out.append(found[fresh])
+        else:
+            out.append(short(int(a), int(b)) if b > a else np.zeros(0, h.dtype))
+    return out
 
 
 def shingles_of(texts: list[bytes | None], width: int) -> list[np.ndarray]:
-    """Per text, the sorted distinct hashes of its ``width``-word shingles; fewer words: the whole sequence as one."""
+    """Per text, the sorted distinct 64-bit hashes of its ``width``-word shingles; fewer words: the whole sequence as one."""
     out: list[np.ndarray] = []
     for lo, hi in slices([len(t or b"") + 1 for t in texts], 1 << 18):
         part = [t or b"" for t in texts[lo:hi]]
         starts, words = _words(b"\n".join(part))
-        base = np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])])
-        first = np.searchsorted(starts, base)
+        first = np.searchsorted(starts, np.concatenate([[0], np.cumsum([len(t) + 1 for t in part])]))
         n = max(0, len(words) - width + 1)
         with np.errstate(over="ignore"):
             h = np.full(n, np.uint64(width), np.uint64)
             for k in range(width):
                 h = mix(h * _FNV + words[k : k + n])
-        for a, b in zip(first[:-1], first[1:], strict=True):
-            if b - a >= width:
-                found = np.sort(h[a : b - width + 1])
-                fresh = np.empty(len(found), bool)
-                fresh[0] = True
-                np.not_equal(found[1:], found[:-1], out=fresh[1:])
-                out.append(found[fresh])
-            elif b > a:
-                with np.errstate(over="ignore"):
-                    one = np.full(1, np.uint64(b - a), np.uint64)
-                    for w in words[a:b]:
-                        one = mix(one * _FNV + w)
-                out.append(one)
-            else:
-                out.append(np.zeros(0, np.uint64))
+
+        def short(a, b, words=words):
+            one = np.full(1, np.uint64(b - a), np.uint64)
+            with np.errstate(over="ignore"):
+                for w in words[a:b]:
+                    one = mix(one * _FNV + w)
+            return one
+
+        out += _sets(h, first, width, short)
     return out
 
 
 def shingles(text: bytes | None, width: int) -> np.ndarray:
     return shingles_of([text], width)[0]
+
+
+def exact_shingles(texts: list[bytes], width: int) -> list[np.ndarray]:
+    """Like ``shingles_of``, but with numbers that are equal where the words are, among these texts; no hash decides."""
+    found, first = split_words(texts)
+    number: dict[bytes, int] = {}
+    ids = np.fromiter((number.setdefault(w, len(number)) for w in found), np.int64, len(found)) + 1
+    base = len(number) + 2
+    ids = np.concatenate([ids, np.zeros(width, np.int64)])
+    rank = ids[: len(found)]
+    for k in range(1, width):
+        rank = np.unique(rank * base + ids[k : k + len(found)], return_inverse=True)[1]
+    brief: dict[tuple, int] = {}  # texts of fewer words
+    short = lambda a, b: np.array([-1 - brief.setdefault(tuple(ids[a:b].tolist()), len(brief))])
+    return _sets(rank, first, width, short)

@@ -1,26 +1,31 @@
 """Operator 7: n-gram Jaccard join by rare-first prefix filtering, and its components.
 
-1. A pass over all texts counts shingles in mergeable heavy-hitter summaries: every shingle that holds more than a
-   2^-18 share of all postings is in a list of at most 2^19 entries (error and size follow from the thresholds). The
-   global order is: shingles not in the list by hash, then listed ones by rising count. Any order is exact.
-2. A second pass gives each document its set size, a 128-bit digest of its set, the prefix of its set in that order and
-   16 hash-cell counts. Documents with equal sets form a class; only classes are joined.
-3. Prefix postings meet by shingle. Length, positional and suffix filters (the Hamming bound over the 16 cells) run
-   where they meet. Buckets of up to SMALL classes give their pairs at once. Larger or listed ones first try only a star
-   around one class; pairs that components then already connect are skipped, buckets inside one component are never
-   gathered, and the remaining pairs between components are tried in blocks: the likeliest pairs of each row, then
-   all that are left. No pair that could link
-   components is left out, and none is verified twice in a step. With ``links`` the blocks give all pairs at once.
+1. A pass over all texts gives each document its set size, a 128-bit digest of its set and hash-cell counts. Documents
+   with equal sets form a class; only classes are joined.
+2. A second pass counts document frequencies of all shingles, without a threshold. Each task cuts its documents into
+   chunks and sends a chunk's shingles, sorted and packed, to the pieces of the hash space; a piece adds up all chunks
+   and sends back those with two holders or more. Of a shingle that HEAVY documents of a chunk hold, only the number
+   goes to the piece, and the chunk's list of holders waits for the answer elsewhere: no shingle makes a piece large.
+3. A document's prefix holds its rarest shingles in the order (frequency, hash); those of one holder can meet nobody
+   and are only counted. Prefix postings meet by shingle. Length, positional and suffix filters (the Hamming bound over
+   the 16 cells) run where they meet. Shingles of up to SMALL holders give their pairs at once: such a bucket cannot be
+   larger. Those of commoner ones first try only a star around one class; buckets that components then already connect
+   are dropped, and the remaining pairs between components are tried in blocks: the likeliest pairs of each row, then
+   all that are left. No pair that could link components is left out, and none is verified twice in a step. With
+   ``links`` the blocks give all pairs at once.
 4. Pairs pass a finer Hamming bound first (at least 128 cells, about one for eight shingles); texts are fetched through a
    filter of at most DOC_BUCKETS hashed ids, so that few of the others move. Verification compares whole sets: the
-   texts of one side meet the other side's text once per block of partners.
+   texts of one side meet the other side's text once per block of partners, by hashes and then by words.
+
+A frequency is counted per task and set (copies in one task count once) and on values of 8 times as many as postings,
+so that it is at least the number of classes that hold the shingle; any order by such a number is exact.
 
 Similarity is intersection / union >= num / den over distinct shingles.
 
 Defined cases: null, empty or blank text has no shingles, links with nothing and is its own component; fewer words than
 the width make one shingle; a row with null doc_id belongs to its class but lends no id, and a class without any id is
-not joined; rows that repeat an id with different texts stay apart; empty tables give empty results; extra columns are
-ignored.
+not joined; rows that repeat an id with different texts stay apart; texts of any length are read whole; empty tables
+give empty results; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,10 +34,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, mix, shingles_of, text_bytes
+from .common import Written, exact_shingles, mix, shingles_of, slices, text_bytes
 from .components import components
 
 CELLS = 16
@@ -43,117 +49,253 @@ BLOCK = 384
 PARTNERS = 256
 NEAREST = 4
 LIKELY = 1
-CHUNK = 1 << 20
+#: Text bytes of a chunk, postings of a piece, holders in a chunk from which on only their number travels.
+CHUNK, PIECE, HEAVY = 4 << 20, 1 << 19, 64
+#: Most pieces, as a power of two.
+PIECES = 18
 
 
 def _batch(fields: dict) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(list(fields.values()), list(fields))
 
 
-def _heavy(width: int):
-    def run(batches):
-        held, n = [], 0
+def _digest(found: np.ndarray) -> bytes:
+    return hashlib.blake2b(found.tobytes(), digest_size=16).digest()
 
-        def flush():
-            values, counts = np.unique(np.concatenate(held), return_counts=True)
-            keep = counts >= max(4, n >> 19)
-            return _batch(
-                {"h": pa.array(values[keep].view(np.int64)), "c": pa.array(counts[keep].astype(np.int64)), "s": pa.array(np.full(keep.sum(), 0))}
-            )
 
-        total = 0
+def _profiles(width: int):
+    def run(batches):
         for batch in batches:
-            for found in shingles_of(text_bytes(batch.column(0)), width):
-                held.append(found)
-                n += len(found)
-                total += len(found)
-                if n >= CHUNK:
-                    yield flush()
-                    held, n = [], 0
-        if n:
-            yield flush()
-        yield _batch({"h": pa.array([None], pa.int64()), "c": pa.array([0]), "s": pa.array([total])})
+            rows = []
+            for found in shingles_of(text_bytes(batch.column(1)), width):
+                n = len(found)
+                if not n:
+                    rows.append((0, b"", b"", b""))
+                    continue
+                bits = max(FINE, (n // 8).bit_length())  # about eight shingles a cell
+                fine = np.bincount((mix(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+                cells = np.minimum(fine.reshape(CELLS, -1).sum(1), 255).astype(np.uint8)
+                rows.append((n, _digest(found), cells.tobytes(), np.minimum(fine, 255).astype(np.uint8).tobytes()))
+            made = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), *[pa.binary()] * 3))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["doc_id", "n", "key", "cells", "fine"])
 
     return run
 
 
-def frequent(texts: DataFrame, width: int) -> np.ndarray:
-    """Listed shingles by rising count: at most 2^19 of them, 4 MB."""
-    counted = Written(
-        texts.mapInArrow(_heavy(width), "h long, c long, s long").groupBy("h").agg(F.sum("c").alias("c"), F.sum("s").alias("s"))
-    )
-    total = counted.df.filter("h is null").agg(F.sum("s")).first()[0] or 0
-    least = max(64, total >> 19)
-    listed = counted.df.filter(F.col("h").isNotNull() & (F.col("c") >= least)).select("h", "c").toPandas()
-    counted.drop()
-    order = np.lexsort((listed["h"].to_numpy(), listed["c"].to_numpy()))
-    return listed["h"].to_numpy(np.int64)[order].view(np.uint64)
+# ---- document frequencies -------------------------------------------------------------------------------------------
+
+LIGHT, COUNTS, HOLDERS, ROWS = range(4)
+MESSAGE = "piece long, chunk long, kind int, a binary, b binary, c binary"
+
+
+def _message(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    names = ("piece", "chunk", "kind", "a", "b", "c")
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
-def _profiles(width: int, num: int, den: int, listed):
+def _steps(values: np.ndarray) -> bytes:
+    """Rising values below 2^32 as 16-bit differences where they fit, else as 32-bit ones."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    return steps.astype(np.uint16 if steps.max() < 1 << 16 else np.uint32).tobytes()
+
+
+def _risen(packed: bytes, n: int) -> np.ndarray:
+    return np.cumsum(np.frombuffer(packed, np.uint16 if len(packed) == 2 * n else np.uint32).astype(np.uint64))
+
+
+def _requests(width: int, bits: int, rest: int):
+    """text -> packed shingle values of chunks, cut by piece: ``bits`` of a hash, the lowest ``rest`` of them in a piece."""
+
+    def cut(values: np.ndarray):
+        piece = values >> np.uint64(rest)
+        edge = np.append(np.flatnonzero(np.diff(piece, prepend=piece[:1] - np.uint64(1))), len(values))
+        return [(int(piece[lo]), slice(lo, hi)) for lo, hi in zip(edge[:-1], edge[1:], strict=True)]
+
     def run(batches):
-        by_rank = listed.value
-        by_value = np.argsort(by_rank)
-        values = by_rank[by_value]
+        low = np.uint64((1 << rest) - 1)
+        seen: set[bytes] = set()
+        number = 0
         for batch in batches:
-            rows = []
-            for found in shingles_of(text_bytes(batch.column(1)), width):
-                n = len(found)
-                if not n:
-                    rows.append((0, b"", b"", b"", b"", b""))
+            texts = text_bytes(batch.column(0))
+            for lo, hi in slices([max(128, len(t or b"")) for t in texts], CHUNK):  # under 2^16 rows
+                sets, keys = [], []
+                for found in shingles_of(texts[lo:hi], width):
+                    key = _digest(found)
+                    if len(found) and key not in seen:
+                        seen.add(key)
+                        sets.append(found)
+                        keys.append(key)
+                if len(seen) > 1 << 20:
+                    seen.clear()
+                if not sets:
                     continue
-                key = hashlib.blake2b(found.tobytes(), digest_size=16).digest()
-                at = np.searchsorted(values, found)
-                heavy = at < len(values)
-                heavy[heavy] = values[at[heavy]] == found[heavy]
-                most = n - (num * n + den - 1) // den + 1
-                light = found[~heavy]
-                if len(light) >= most:
-                    prefix, flags = light[:most], np.zeros(most, np.uint8)
+                chunk = (TaskContext.get().partitionId() << 32) + number
+                number += 1
+                sizes = np.array([len(x) for x in sets], np.int64)
+                values = np.concatenate(sets) >> np.uint64(64 - bits)
+                order = np.argsort(values, kind="stable")
+                values, holder = values[order], np.repeat(np.arange(len(sets), dtype=np.uint16), sizes)[order]
+                first = np.flatnonzero(np.diff(values, prepend=values[:1] - np.uint64(1)))
+                many = np.diff(np.append(first, len(values)))
+                heavy = np.repeat(many >= HEAVY, many)
+                here = number % (1 << (bits - rest))  # any piece will do
+                rows = [(here, chunk, ROWS, b"".join(keys), sizes.tobytes(), None)]
+                if heavy.any():
+                    held, counts = values[first[many >= HEAVY]], many[many >= HEAVY].astype(np.int64)
+                    rows.append((here, chunk, HOLDERS, held.tobytes(), counts.tobytes(), holder[heavy].tobytes()))
+                    rows += [(p, chunk, COUNTS, held[s].tobytes(), counts[s].tobytes(), None) for p, s in cut(held)]
+                    values, holder = values[~heavy], holder[~heavy]
+                if len(values):
+                    rows += [(p, chunk, LIGHT, _steps(values[s] & low), holder[s].tobytes(), None) for p, s in cut(values)]
+                for k in range(0, len(rows), 256):
+                    yield _message(rows[k : k + 256])
+
+    return run
+
+
+def _runs_of(batches, column: str):
+    """The runs of equal numbers in sorted batches: (number, rows as dictionaries)."""
+    now, held = None, []
+    for batch in batches:
+        keys = batch.column(column).to_numpy(zero_copy_only=False)
+        rows = batch.to_pylist()
+        for lo, size in zip(*_runs(keys), strict=True) if len(keys) else ():
+            if now is not None and keys[lo] != now:
+                yield now, held
+                held = []
+            now = int(keys[lo])
+            held += rows[lo : lo + size]
+    if held:
+        yield now, held
+
+
+def _counted(rest: int):
+    """Requests sorted by piece -> answers to chunks: values with two holders or more, their holders, their numbers."""
+
+    def run(batches):
+        for piece, rows in _runs_of(batches, "piece"):
+            out = [tuple(r.values()) for r in rows if r["kind"] in (HOLDERS, ROWS)]
+            rows = [r for r in rows if r["kind"] in (LIGHT, COUNTS)]
+            parts, weights = [], []
+            for r in rows:
+                if r["kind"] == LIGHT:
+                    n = len(r["b"]) // 2
+                    parts.append(_risen(r["a"], n) | np.uint64(piece << rest))
+                    weights.append(np.ones(n, np.int64))
                 else:
-                    rest = found[heavy]
-                    rest = rest[np.argsort(by_value[at[heavy]])][: most - len(light)]
-                    prefix = np.concatenate([light, rest])
-                    flags = np.zeros(len(prefix), np.uint8)
-                    flags[len(light) :] = 1
-                bits = max(FINE, (n // 8).bit_length())  # about eight shingles a cell
-                fine = np.bincount((mix(found) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-                cells = np.minimum(fine.reshape(CELLS, -1).sum(1), 255).astype(np.uint8)
-                fine = np.minimum(fine, 255).astype(np.uint8)
-                rows.append((n, key, prefix.tobytes(), flags.tobytes(), cells.tobytes(), fine.tobytes()))
-            kinds = (pa.int64(), *[pa.binary()] * 5)
-            made = [pa.array([r[k] for r in rows], kinds[k]) for k in range(6)]
-            names = ["doc_id", "n", "key", "prefix", "flags", "cells", "fine"]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names)
+                    parts.append(np.frombuffer(r["a"], np.uint64))
+                    weights.append(np.frombuffer(r["b"], np.int64))
+            if rows:
+                place = np.unique(np.concatenate(parts), return_inverse=True)[1]
+                total = np.bincount(place, np.concatenate(weights)).astype(np.int64)[place]
+                edge = np.concatenate([[0], np.cumsum([len(x) for x in parts])])
+                for r, values, lo, hi in zip(rows, parts, edge[:-1], edge[1:], strict=True):
+                    many = total[lo:hi]
+                    kept = many > 1
+                    if kept.any():
+                        holder = np.frombuffer(r["b"], np.uint16)[kept].tobytes() if r["kind"] == LIGHT else None
+                        low = (values[kept] & np.uint64((1 << rest) - 1)).astype(np.uint32)
+                        many = np.minimum(many[kept], (1 << 32) - 1).astype(np.uint32)
+                        out.append((piece, r["chunk"], r["kind"], low.tobytes(), holder, many.tobytes()))
+            for k in range(0, len(out), 256):
+                yield _message(out[k : k + 256])
+
+    return run
+
+
+PREFIX = "key binary, prefix binary, pos binary, common binary"
+
+
+def _prefixes(rest: int, num: int, den: int):
+    """Answers sorted by chunk -> per set, the values of its prefix that others hold, with position and ``common``."""
+
+    def one(rows):
+        keys, sizes, waiting, counts = b"", None, None, {}
+        values, many, holder = [], [], []
+        for r in rows:
+            if r["kind"] == ROWS:
+                keys, sizes = r["a"], np.frombuffer(r["b"], np.int64)
+                continue
+            if r["kind"] == HOLDERS:
+                waiting = r
+                continue
+            whole = np.frombuffer(r["a"], np.uint32).astype(np.uint64) | np.uint64(r["piece"] << rest)
+            number = np.frombuffer(r["c"], np.uint32).astype(np.int64)
+            if r["kind"] == COUNTS:
+                counts.update(zip(whole.tolist(), number.tolist(), strict=True))
+            else:
+                values.append(whole)
+                many.append(number)
+                holder.append(np.frombuffer(r["b"], np.uint16))
+        if waiting:
+            held, here = np.frombuffer(waiting["a"], np.uint64), np.frombuffer(waiting["b"], np.int64)
+            values.append(np.repeat(held, here))
+            many.append(np.repeat(np.array([counts[x] for x in held.tolist()], np.int64), here))
+            holder.append(np.frombuffer(waiting["c"], np.uint16))
+        if not values:
+            return []
+        values, many, holder = np.concatenate(values), np.concatenate(many), np.concatenate(holder).astype(np.int64)
+        order = np.lexsort((values, many, holder))
+        values, many, holder = values[order], many[order], holder[order]
+        shared = np.bincount(holder, minlength=len(sizes))
+        pos = np.arange(len(holder)) - (np.cumsum(shared) - shared)[holder] + (sizes - shared)[holder]
+        most = sizes - (num * sizes + den - 1) // den + 1
+        keep = (pos < most[holder]) & _first_of(holder, values)  # of equal values, the first position
+        values, many, holder, pos = values[keep], many[keep], holder[keep], pos[keep]
+        edge = np.searchsorted(holder, np.arange(len(sizes) + 1))
+        values, pos, common = values.astype(np.int64), pos.astype(np.int32), (many > SMALL).astype(np.uint8)
+        return [
+            (keys[16 * k : 16 * k + 16], values[a:b].tobytes(), pos[a:b].tobytes(), common[a:b].tobytes())
+            for k, (a, b) in enumerate(zip(edge[:-1], edge[1:], strict=True))
+            if a < b
+        ]
+
+    def run(batches):
+        for _, rows in _runs_of(batches, "chunk"):
+            found = one(rows)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[k] for r in found], pa.binary()) for k in range(4)], ["key", "prefix", "pos", "common"]
+            )
 
     return run
 
 
+def prefixes(texts: DataFrame, total: int, width: int, num: int, den: int) -> DataFrame:
+    """key, prefix, pos, common of every set whose prefix meets another's. total: about the number of all postings."""
+    pieces = min(PIECES, max(1, (total // PIECE).bit_length()))
+    bits = min(pieces + 32, max(pieces + 8, (8 * total).bit_length()))
+    sent = texts.mapInArrow(_requests(width, bits, bits - pieces), MESSAGE).repartition("piece").sortWithinPartitions("piece")
+    back = sent.mapInArrow(_counted(bits - pieces), MESSAGE).repartition("chunk").sortWithinPartitions("chunk")
+    return back.mapInArrow(_prefixes(bits - pieces, num, den), PREFIX)
+
+
+# ---- candidates -----------------------------------------------------------------------------------------------------
+
+
 def _postings(batches):
-    """cid, n, prefix, flags, cells -> a row a prefix shingle, with its position and whether it is listed."""
+    """cid, n, cells, prefix, pos, common -> a row a prefix shingle."""
     for batch in batches:
         cid, n = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
-        prefix, flags, cells = (batch.column(k).to_pylist() for k in (2, 3, 4))
-        sizes = np.array([len(x) for x in flags], np.int64)
+        cells, prefix, pos, common = (batch.column(k).to_pylist() for k in (2, 3, 4, 5))
+        sizes = np.array([len(x) for x in common], np.int64)
         if not len(sizes):
             continue
-        rep = lambda x: np.repeat(x, sizes)
         halves = np.frombuffer(b"".join(cells), np.int64).reshape(-1, 2)
-        starts = np.cumsum(sizes) - sizes
         yield _batch(
             {
                 "h": pa.array(np.frombuffer(b"".join(prefix), np.int64)),
-                "listed": pa.array(np.frombuffer(b"".join(flags), np.uint8).astype(bool)),
-                "pos": pa.array((np.arange(sizes.sum()) - rep(starts)).astype(np.int32)),
-                "cid": pa.array(rep(cid)),
-                "n": pa.array(rep(n)),
-                "c1": pa.array(rep(halves[:, 0])),
-                "c2": pa.array(rep(halves[:, 1])),
+                "common": pa.array(np.frombuffer(b"".join(common), np.uint8).astype(bool)),
+                "pos": pa.array(np.frombuffer(b"".join(pos), np.int32)),
+                "cid": pa.array(np.repeat(cid, sizes)),
+                "n": pa.array(np.repeat(n, sizes)),
+                "c1": pa.array(np.repeat(halves[:, 0], sizes)),
+                "c2": pa.array(np.repeat(halves[:, 1], sizes)),
             }
         )
 
 
-POSTING = "h long, listed boolean, pos int, cid long, n long, c1 long, c2 long"
+POSTING = "h long, common boolean, pos int, cid long, n long, c1 long, c2 long"
 
 
 def _may_link(na, nb, pa_, pb, ca, cb, num, den) -> np.ndarray:
@@ -193,54 +335,24 @@ def _grouped(batches, columns: list[str]):
         yield pa.Table.from_batches(held)
 
 
-PAIR = "kind int, h long, pos int, a long, b long, n long, c1 long, c2 long"
-
-
 def _small_buckets(num: int, den: int):
-    """Postings sorted by (h, n): pairs of small buckets; the rows of larger ones are passed on, run by run."""
-
-    def emit(kind, **x):
-        size = len(x["a"])
-        empty = lambda t: pa.nulls(size, t)
-        return _batch(
-            {
-                "kind": pa.array(np.full(size, kind, np.int32)),
-                "h": pa.array(x["h"]) if "h" in x else empty(pa.int64()),
-                "pos": pa.array(x["pos"].astype(np.int32)) if "pos" in x else empty(pa.int32()),
-                "a": pa.array(x["a"]),
-                "b": pa.array(x["b"]) if "b" in x else empty(pa.int64()),
-                "n": pa.array(x["n"]) if "n" in x else empty(pa.int64()),
-                "c1": pa.array(x["c1"]) if "c1" in x else empty(pa.int64()),
-                "c2": pa.array(x["c2"]) if "c2" in x else empty(pa.int64()),
-            }
-        )
+    """Postings sorted by (h, n): the pairs of each bucket (of at most SMALL rows) that pass the filters."""
 
     def run(batches):
         for table in _grouped(batches, ["h"]):
             h, pos, cid, n, cells = _arrays(table)
-            start = np.flatnonzero(np.diff(h, prepend=h[:1] - 1) != 0) if len(h) else np.zeros(0, np.int64)
-            sizes = np.diff(np.append(start, len(h)))
-            size = np.repeat(sizes, sizes)
-            big = size > SMALL
-            if big.any():
-                halves = np.ascontiguousarray(cells[big]).view(np.int64)
-                yield emit(1, h=h[big], pos=pos[big], a=cid[big], n=n[big], c1=halves[:, 0], c2=halves[:, 1])
-            here = np.flatnonzero((size > 1) & ~big)
-            stop = np.repeat(np.append(start, len(h))[1:], sizes)
-            found = []
-            for d in range(1, SMALL):
+            sizes = _runs(h)[1]
+            stop = np.repeat(np.cumsum(sizes), sizes)
+            here, found, d = np.arange(len(h)), [], 0
+            while len(here):
+                d += 1
                 here = here[here + d < stop[here]]
-                if not len(here):
-                    break
+                here = here[n[here] * den >= n[here + d] * num]  # sorted by n: farther rows only differ more
                 i, j = here, here + d
-                near = n[i] * den >= n[j] * num  # sorted by n: farther rows only differ more
-                here, i, j = here[near], i[near], j[near]
                 ok = _may_link(n[i], n[j], pos[i], pos[j], cells[i], cells[j], num, den)
                 found.append(np.stack([cid[i[ok]], cid[j[ok]]], 1))
-            if found:
-                pairs = np.concatenate(found)
-                pairs = np.unique(np.sort(pairs, 1), axis=0)
-                yield emit(0, a=pairs[:, 0], b=pairs[:, 1])
+            pairs = np.unique(np.sort(np.concatenate(found), 1), axis=0)
+            yield _batch({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
     return run
 
@@ -334,19 +446,39 @@ def _block_pairs(num: int, den: int, best: bool):
 def _verified(width: int, num: int, den: int):
     """Sorted by (a, salt, head first): the text of ``a``, then the texts of its partners."""
 
+    def similar(left, found):
+        both = len(np.intersect1d(left, found, assume_unique=True))
+        return both and both * den >= (len(left) + len(found) - both) * num
+
+    def words(text):  # a text's set of word sequences; numbers in place of words where it is very long
+        w = text.lower().split()
+        return set(zip(*(w[k:] for k in range(width)), strict=False)) if len(w) >= width else {tuple(w)}
+
+    def same(head, exact, text):
+        if len(head) + len(text) > 1 << 21:
+            return similar(*exact_shingles([head, text], width))
+        exact = exact[0] if exact else words(head)
+        found = words(text)
+        both = len(exact & found)
+        return both * den >= (len(exact) + len(found) - both) * num
+
     def run(batches):
-        now, left = None, None
+        now = left = head = exact = None
         for batch in batches:
             us, vs = [], []
             a, salt, b = (batch.column(k).to_pylist() for k in range(3))
-            for k, found in enumerate(shingles_of(text_bytes(batch.column(3)), width)):
+            texts = text_bytes(batch.column(3))
+            for k, found in enumerate(shingles_of(texts, width)):
                 if b[k] is None:
-                    now, left = (a[k], salt[k]), found
+                    now, left, head, exact = (a[k], salt[k]), found, texts[k], None
                     continue
                 if now != (a[k], salt[k]):
                     raise ValueError("a partner without its head")
-                both = len(np.intersect1d(left, found, assume_unique=True))
-                if both and both * den >= (len(left) + len(found) - both) * num:
+                if not similar(left, found):
+                    continue
+                if exact is None and len(head) < 1 << 21:
+                    exact = [words(head)]
+                if same(head, exact, texts[k]):  # hashes agree, so do the words
                     us.append(a[k])
                     vs.append(b[k])
             yield _batch({"u": pa.array(us, pa.int64()), "v": pa.array(vs, pa.int64())})
@@ -361,7 +493,7 @@ def _same_set(width: int):
         for batch in batches:
             keys = batch.column(1).to_pylist()
             sets = shingles_of(text_bytes(batch.column(2)), width)
-            ok = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == k for k, x in zip(keys, sets, strict=True)]
+            ok = [_digest(x) == k for k, x in zip(keys, sets, strict=True)]
             kept = batch.filter(pa.array(ok, pa.bool_()))
             yield _batch({"cid": kept.column(0), "text": kept.column(2)})
 
@@ -463,35 +595,26 @@ def near_duplicates(
     of classes is then verified once, also where components connect it already.
     """
     all_links = links
-    spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    listed = spark.sparkContext.broadcast(frequent(docs.select("text"), width))
-    profiles = Written(
-        docs.mapInArrow(
-            _profiles(width, num, den, listed),
-            "doc_id long, n long, key binary, prefix binary, flags binary, cells binary, fine binary",
-        )
-    ).df
+    profiles = Written(docs.mapInArrow(_profiles(width), "doc_id long, n long, key binary, cells binary, fine binary"))
     classes = Written(
-        profiles.filter("n > 0")
+        profiles.df.filter("n > 0")
         .groupBy("key")
-        .agg(*[F.min(x).alias(y) for x, y in (("doc_id", "rep"), ("n", "n"))], *[F.first(x).alias(x) for x in ("prefix", "flags", "cells", "fine")])
+        .agg(*[F.min(x).alias(y) for x, y in (("doc_id", "rep"), ("n", "n"))], *[F.first(x).alias(x) for x in ("cells", "fine")])
         .withColumn("cid", F.monotonically_increasing_id())
-    ).df
-    ids = classes.select("cid", "key", "rep", "n", "fine")
-    postings = classes.filter("rep is not null").select("cid", "n", "prefix", "flags", "cells").mapInArrow(_postings, POSTING)
-    dealt = postings.filter("not listed").repartition("h").sortWithinPartitions("h", "n")
-    met = Written(dealt.mapInArrow(_small_buckets(num, den), PAIR)).df
-    wide = ["h", "pos", "a", "n", "c1", "c2"]
-    large = met.filter("kind = 1").select(*wide).union(
-        postings.filter("listed").select("h", "pos", F.col("cid").alias("a"), "n", "c1", "c2")
     )
-    large = Written(large).df
-    found = met.filter("kind = 0").select("a", "b")
+    ids = classes.df.select("cid", "key", "rep", "n", "fine")
+    total = classes.df.agg(F.sum("n")).first()[0] or 0
+    order = prefixes(docs.select("text"), total, width, num, den).groupBy("key").agg(F.first(F.struct("prefix", "pos", "common")).alias("p"))
+    named = classes.df.filter("rep is not null").select("cid", "n", "cells", "key").join(order, "key")
+    postings = Written(named.select("cid", "n", "cells", "p.*").mapInArrow(_postings, POSTING))
+    dealt = postings.df.filter("not common").repartition("h").sortWithinPartitions("h", "n")
+    found = Written(dealt.mapInArrow(_small_buckets(num, den), "a long, b long").distinct()).df
+    large = postings.df.filter("common").select("h", "pos", F.col("cid").alias("a"), "n", "c1", "c2")
     if all_links:
-        blocks = _open_rows(large, None, classes).mapInArrow(_block_pairs(num, den, False), "a long, b long")
-        links = _links(_fine_pairs(found.distinct(), ids, num, den).union(blocks), ids, docs, width, num, den, near=True)
-        return _grouped_rows(profiles, ids, links, True)
+        blocks = _open_rows(large, None, ids).mapInArrow(_block_pairs(num, den, False), "a long, b long")
+        links = _links(_fine_pairs(found, ids, num, den).union(blocks), ids, docs, width, num, den, near=True)
+        return _grouped_rows(profiles.df, ids, links, True)
     row = F.struct("a", "n", "pos", "c1", "c2")
     centre = large.groupBy("h").agg(F.min(row).alias("z"), F.max("a").alias("last")).filter("z.a <> last")
     names = {"a": "z", "n": "zn", "pos": "zpos", "c1": "z1", "c2": "z2"}
@@ -499,10 +622,10 @@ def near_duplicates(
     star = large.join(centre, "h").filter("a <> z").mapInArrow(_star_pairs(num, den), "a long, b long")
     links = _links(star.union(found), ids, docs, width, num, den, near=False)
     for turn in range(LIKELY + 1):  # the likeliest pairs of what is apart, then all pairs that are left
-        open_ = _open_rows(large, components(links), classes)
+        open_ = _open_rows(large, components(links), ids)
         between = open_.mapInArrow(_block_pairs(num, den, turn < LIKELY), "a long, b long")
         links = links.union(_links(between, ids, docs, width, num, den, near=True))
-    return _grouped_rows(profiles, ids, links, False)
+    return _grouped_rows(profiles.df, ids, links, False)
 
 
 def _grouped_rows(profiles: DataFrame, ids: DataFrame, links: DataFrame, counted: bool) -> DataFrame:
