@@ -2,6 +2,7 @@
 
 import glob
 import hashlib
+import random
 import shutil
 import zlib
 from collections import Counter
@@ -143,6 +144,32 @@ def test_chat_repeats_system_and_history(spark):
     assert sum(len(w["loss"]) for w in windows) == 14
 
 
+def test_chat_keeps_its_budget(spark):
+    """System, history and own turns: within the budget unless the system turn and one other turn exceed it."""
+    rng = random.Random(4)
+    turns, size = [], lambda t: (len(t.encode()) + 3) // 4 + 4
+    for conv in range(60):
+        if conv % 3:
+            turns.append((conv, 0, "system", "s" * rng.choice([1, 40, 300, 700, 1100])))
+        turns += [(conv, k, rng.choice(["user", "assistant"]), "t" * rng.choice([0, 9, 90, 250, 500, 900, 1500])) for k in range(1, rng.randint(2, 60))]
+    df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    for budget, history in ((256, 64), (256, 0), (256, 250), (4096, 256)):
+        over = 0
+        for w in chat.format_windows(df, budget, history).collect():
+            own = [t for t in w["formatted"].split("<|im_start|>")[1:]]
+            tokens = [size(t.split("\n", 1)[1].removesuffix("<|im_end|>\n")) for t in own]
+            assert sum(tokens) == w["n_tokens"]
+            system = next((size(t[3]) for t in turns if t[0] == w["conv_id"] and t[2] == "system"), 0)
+            if w["n_tokens"] > budget:
+                over += 1
+                assert system >= budget or system + max(tokens[w["n_context"] :]) > budget and len(tokens) - w["n_context"] == 1 and w["n_context"] <= 1
+        assert over or budget > 500
+        got = {r["conv_id"]: r for r in chat.read_back(chat.format_windows(df, budget, history)).collect()}
+        for conv, r in got.items():
+            body = "".join(f"{t[2]}\n{t[3]}\n" for t in turns if t[0] == conv)
+            assert r["turns_sha256"] == hashlib.sha256(body.encode()).hexdigest()
+
+
 @pytest.mark.parametrize("f", [dedup.exact_dedup, mixing.mixed_counts, mixing.mix, sharding.shard])
 def test_empty_tables(spark, f):
     assert f(docs(spark, [])).count() == 0
