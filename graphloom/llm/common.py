@@ -39,46 +39,69 @@ def splitters(df: DataFrame, key: str, parts: int) -> list:
 
 
 def range_bucket(key: str, cuts: list) -> Column:
-    """Number of splitters <= key (null: 0); a binary search over a literal array."""
-    if not cuts:
-        return F.lit(0)
-    kind = "bigint" if all(isinstance(x, int) for x in cuts) else "double"
-    array = F.array(*[F.lit(x).cast(kind) for x in cuts])
-    return F.coalesce(F.size(F.filter(array, lambda x: x <= F.col(key))), F.lit(0)).cast("int")
+    """Number of splitters <= key (null: 0): a binary search as nested conditions."""
+
+    def half(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(key) >= F.lit(cuts[mid]), half(mid + 1, hi)).otherwise(half(lo, mid))
+
+    return F.when(F.col(key).isNull(), 0).otherwise(half(0, len(cuts))).cast("int")
+
+
+#: Most ranges of a prefix sum; its rows are a few numbers each, so 4,096 ranges serve 10^11 of them.
+RANGES = 4096
 
 
 def bucket_count(spark: SparkSession) -> int:
-    return max(2, min(512, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(2, min(RANGES, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
+def fresh(columns: list[str], name: str) -> str:
+    """``name``, or with as many underscores behind it as set it apart from ``columns``."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
-def prefix_sums(df: DataFrame, key: str, ties: list[str], value: str, bucket: str = "_bucket") -> DataFrame:
+def prefix_sums(df: DataFrame, key: str, tie: str, value: str) -> DataFrame:
     """Adds ``before`` (sum of ``value`` over all rows ordered before), ``position`` (rows before) and the totals
-    ``total`` and ``n_total``, ordered by key then ties.
+    ``total`` and ``n_total``, ordered by key (null first), then by ``tie``, a number from 0 to 2^32 - 1.
 
-    Rows are dealt to ranges of the key; only per-range totals (at most 512 rows) meet in one task. Ranges are pure
-    functions of the row, so a lost task is recomputed alike. Rows equal in key and ties may swap places.
+    Rows are dealt to ranges of the key; those of a key that fills a range, and of null, also to 1,024 ranges of the tie.
+    Only totals of ranges meet in one task (at most 2 * RANGES, and 1,024 for each of the keys that fill one). Ranges are
+    pure functions of the row, so a lost task is recomputed alike. Rows equal in key and tie may swap places.
     """
-    cuts = splitters(df, key, bucket_count(df.sparkSession))
-    dealt = df.withColumn(bucket, range_bucket(key, cuts))
-    totals = dealt.groupBy(bucket).agg(F.sum(value).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
-    ahead = Window.orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+    parts = bucket_count(df.sparkSession)
+    cuts = splitters(df, key, parts)
+    held = df.filter(F.col(key).isin(cuts)).groupBy(key).agg(F.count(F.lit(1)).alias("n")) if cuts else None
+    rows = df.count()
+    full = [r[0] for r in held.filter(F.col("n") * parts >= rows).collect()] if cuts else []  # at most ``parts`` keys
+    alone = F.col(key).isNull() | (F.col(key).isin(full) if full else F.lit(False))
+    place = F.when(F.col(key).isNull(), 0).otherwise(1 + 2 * range_bucket(key, cuts) + F.when(alone, 0).otherwise(1))
+    dealt = df.withColumns({"_range": place.cast("int"), "_sub": F.when(alone, F.shiftright(F.col(tie), 22)).otherwise(0).cast("int")})
+    totals = dealt.groupBy("_range", "_sub").agg(F.sum(value).alias("_bytes"), F.count(F.lit(1)).alias("_rows"))
+    ahead = Window.orderBy("_range", "_sub").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     totals = totals.select(
-        bucket,
+        "_range",
+        "_sub",
         F.coalesce(F.sum("_bytes").over(ahead), F.lit(0)).alias("_before"),
         F.coalesce(F.sum("_rows").over(ahead), F.lit(0)).alias("_ahead"),
         F.sum("_bytes").over(whole).alias("total"),
         F.sum("_rows").over(whole).alias("n_total"),
     )
-    inside = Window.partitionBy(bucket).orderBy(F.col(key).asc_nulls_first(), *[F.col(x) for x in ties])
+    inside = Window.partitionBy("_range", "_sub").orderBy(F.col(key).asc_nulls_first(), F.col(tie))
     running = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return (
         dealt.withColumn("_run", F.sum(value).over(running))
         .withColumn("_row", F.row_number().over(inside))
-        .join(F.broadcast(totals), bucket)  # at most 512 rows
+        .join(totals, ["_range", "_sub"])
         .withColumn("before", F.col("_before") + F.col("_run") - F.col(value))
         .withColumn("position", F.col("_ahead") + F.col("_row") - 1)
-        .drop("_before", "_ahead", "_run", "_row", bucket)
+        .drop("_before", "_ahead", "_run", "_row", "_range", "_sub")
     )
 
 

@@ -1,25 +1,24 @@
 r"""Operator 1: benchmark decontamination with an FM-index per training shard.
 
 Benchmark items become phrases of ``window`` consecutive words (a shorter item is one phrase). Each task indexes its
-documents' words shard by shard (at most 2^20 words an index, shards overlap by a phrase), searches all phrases
-backward through wavelet ranks, locates them by sampled suffix positions and merges the removal spans. Words that no
-phrase holds act as separators, and runs shorter than the shortest phrase are left out of the index: neither can be
-part of an occurrence.
+documents' words shard by shard: every word of every document, numbered by the shard's own vocabulary, at most 2^20 words
+an index; a longer run is cut in pieces that overlap by a phrase. All phrases are searched in it backward through wavelet
+ranks, occurrences are located by sampled suffix positions, and removal spans are merged.
 
-Phrases are grouped in a table; blocks of at most PHRASES of them are broadcast, and every block passes over all
-documents. There is no shuffle of documents.
+Phrases and their items are dealt into blocks of about PHRASES pairs, each a broadcast of its own; a task searches them
+one after another in the index that it has built, and lets go of each. Documents are read once and not shuffled.
 
-Words: lower-case A-Z, then runs of 0-9, a-z and every non-ASCII character.
+Words: lower-case A-Z, then runs of 0-9, a-z and every non-ASCII character. Item ids are handled as strings.
 
 Defined cases: null, empty or wordless text has no words and no hits; null or wordless items have no phrases; an item
 with null id removes spans but is not listed; repeated items count once; an empty benchmark or table gives no hits;
-extra columns are kept under their names.
+texts of any length are read whole; extra columns are kept as they are, and where one has the name of an added column,
+the added one gets underscores behind its name.
 """
 
 from __future__ import annotations
 
 import re
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written, slices, text_bytes
+from .common import Written, fresh, slices, text_bytes
 from .fmindex import MOST, FmIndex
 
 WINDOW = 10
@@ -38,13 +37,11 @@ _LOWER = bytes(
     c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)
 )
 _WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-ADDED = T.StructType(
-    [
-        T.StructField("leak_words", T.LongType()),
-        T.StructField("leak_spans", T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))),
-        T.StructField("leak_items", T.ArrayType(T.LongType())),
-    ]
-)
+_ADDED = {
+    "leak_words": T.LongType(),
+    "leak_spans": T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])),
+    "leak_items": T.ArrayType(T.StringType()),
+}
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
 
@@ -61,127 +58,115 @@ def _phrases(window: int):
                 for k in range(max(1, len(found) - window + 1) if found else 0):
                     ids.append(key)
                     out.append(b" ".join(found[k : k + window]))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(out, pa.binary())], ["item", "phrase"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.string()), pa.array(out, pa.binary())], ["item", "phrase"])
 
     return run
 
 
-class Block:
-    """Searchable form of a block of phrases: word numbers and, by length, a matrix of phrases."""
-
-    def __init__(self, phrases: list[bytes], items: list[list[int]]):
-        self.vocabulary: dict[bytes, int] = {}
-        number = self.vocabulary
-        by_length: dict[int, list] = {}
+class Shard:
+    """The FM-index of some texts, in pieces of at most ``MOST`` words."""
+
+    def __init__(self, texts: list[bytes | None], longest: int):
+        found = [words(t) for t in texts]
+        number: dict[bytes, int] = {}
+        self.number = number
+        self.sizes = np.array([len(w) for w in found], np.int64)
+        self.base = np.concatenate([[0], np.cumsum(self.sizes + 1)])  # one separator after each text
+        text = np.zeros(self.base[-1], np.int64)
+        for k, w in enumerate(found):
+            text[self.base[k] : self.base[k + 1] - 1] = np.fromiter((number.setdefault(x, len(number) + 1) for x in w), np.int64, len(w))
+        self.pieces = []
+        lo = 0
+        while lo < len(text):
+            hi = min(lo + MOST - 1, len(text))
+            part = text[lo:hi]
+            self.pieces.append((lo, FmIndex(np.append(part, 0) if part[-1] else part, len(number))))
+            if hi == len(text):
+                break
+            lo = hi - longest + 1
+        self.marks = np.zeros(self.base[-1] + 1, np.int64)
+        self.items: list[set] = [set() for _ in texts]
+
+    def search(self, phrases: list[list[bytes]], items: list[list[str]]) -> None:
+        """Marks the words of all occurrences and notes the items."""
+        by_length: dict[int, tuple[list, list]] = {}
+        get = self.number.get
         for k, phrase in enumerate(phrases):
-            row = [number.setdefault(w, len(number) + 1) for w in phrase.split(b" ")]
-            by_length.setdefault(len(row), []).append((k, row))
-        self.items = [sorted(x) for x in items]
-        self.lengths = {
-            n: (np.array([k for k, _ in rows]), np.array([r for _, r in rows], np.int64)) for n, rows in by_length.items()
-        }
-
-
-def search_block(texts: list[bytes | None], block: Block):
-    """Per text: number of words, merged spans of hit words, sorted items."""
-    get = block.vocabulary.get
-    found = [words(t) for t in texts]
-    sizes = np.array([len(w) for w in found], np.int64)
-    base = np.concatenate([[0], np.cumsum(sizes + 1)])  # one separator after each text
-    raw = np.zeros(base[-1], np.int64)
-    for k, w in enumerate(found):
-        raw[base[k] : base[k + 1] - 1] = np.fromiter(map(get, w, repeat(0)), np.int64, len(w))
-    spans: list[list] = [[] for _ in texts]
-    items: list[set] = [set() for _ in texts]
-    if not block.lengths:
-        return sizes, spans, items
-    shortest, longest = min(block.lengths), max(block.lengths)
-    known = raw != 0
-    edge = np.flatnonzero(np.diff(known, prepend=False, append=False))
-    starts, ends = edge[0::2], edge[1::2]
-    kept = ends - starts >= shortest
-    starts, ends = starts[kept], ends[kept]
-    long = ends - starts + 1  # with the separator behind the run
-    origin = np.repeat(starts - (np.cumsum(long) - long), long) + np.arange(long.sum())
-    text = raw[origin]
-    marks = np.zeros(base[-1] + 1, np.int64)
-    lo = 0
-    while lo < len(text):
-        hi = min(lo + MOST - 1, len(text))
-        part = text[lo:hi]
-        index = FmIndex(np.append(part, 0) if part[-1] else part, len(block.vocabulary))
-        for length, (ids, phrases) in block.lengths.items():
-            which, first, last = index.search(phrases)
-            if not len(which):
-                continue
-            many = last - first
-            rows = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            at = origin[lo + index.locate(rows)]
-            marks += np.bincount(at, minlength=len(marks)) - np.bincount(at + length, minlength=len(marks))
-            doc = np.searchsorted(base, at, "right") - 1
-            for d, k in np.unique(np.stack([doc, np.repeat(ids[which], many)], 1), axis=0):
-                items[d].update(block.items[k])
-        if hi == len(text):
-            break
-        lo = hi - longest + 1
-    edge = np.flatnonzero(np.diff(np.cumsum(marks[:-1]) > 0, prepend=False, append=False))
-    for a, b in zip(edge[0::2], edge[1::2], strict=True):
-        d = int(np.searchsorted(base, a, "right")) - 1
-        spans[d].append((int(a - base[d]), int(b - base[d])))
-    return sizes, spans, items
-
-
-def merge(a: list, b: list) -> list:
-    out: list = []
-    for start, end in sorted([*a, *b]):
-        if out and start <= out[-1][1]:
-            out[-1] = (out[-1][0], max(end, out[-1][1]))
-        else:
-            out.append((start, end))
-    return out
-
-
-def _marked(text: int, first: bool, sent):
+            row = list(map(get, phrase))
+            if None not in row:  # a word that no text has
+                ids, rows = by_length.setdefault(len(row), ([], []))
+                ids.append(k)
+                rows.append(row)
+        for length, (ids, rows) in by_length.items():
+            for lo, index in self.pieces:
+                which, first, last = index.search(np.array(rows, np.int64))
+                if not len(which):
+                    continue
+                many = last - first
+                at = lo + index.locate(np.repeat(first - (np.cumsum(many) - many), many) + np.arange(many.sum()))
+                self.marks += np.bincount(at, minlength=len(self.marks)) - np.bincount(at + length, minlength=len(self.marks))
+                doc = np.searchsorted(self.base, at, "right") - 1
+                for d, k in np.unique(np.stack([doc, np.repeat(np.array(ids)[which], many)], 1), axis=0):
+                    self.items[d].update(items[k])
+
+    def spans(self) -> list[list[tuple[int, int]]]:
+        """Per text, merged spans of hit words."""
+        found: list[list] = [[] for _ in self.sizes]
+        edge = np.flatnonzero(np.diff(np.cumsum(self.marks[:-1]) > 0, prepend=False, append=False))
+        for a, b in zip(edge[0::2], edge[1::2], strict=True):
+            d = int(np.searchsorted(self.base, a, "right")) - 1
+            found[d].append((int(a - self.base[d]), int(b - self.base[d])))
+        return found
+
+
+def _marked(text: int, names: list[str], longest: int, sent: list):
     def run(batches):
-        block = Block(*sent.value)
+        only = None  # a single block stays as it is between shards
         for whole in batches:
             texts = text_bytes(whole.column(text))
             for lo, hi in slices([len(t or b"") for t in texts], SHARD_BYTES):
                 batch = whole.slice(lo, hi - lo)
-                sizes, spans, items = search_block(texts[lo:hi], block)
-                columns = batch.columns
-                if not first:
-                    columns, (_, old_spans, old_items) = columns[:-3], (c.to_pylist() for c in columns[-3:])
-                    spans = [merge([(x["start"], x["end"]) for x in a], b) for a, b in zip(old_spans, spans, strict=True)]
-                    items = [b | set(a) for a, b in zip(old_items, items, strict=True)]
+                shard = Shard(texts[lo:hi], longest)
+                for block in sent:
+                    if only is None or len(sent) > 1:
+                        phrases, items = block.value
+                        only = [p.split(b" ") for p in phrases], items
+                    shard.search(*only)
+                    if len(sent) > 1:
+                        vars(block).pop("_value", None)  # read again for the next shard; one block is held at a time
                 added = [
-                    pa.array(sizes, pa.int64()),
-                    pa.array([[{"start": a, "end": b} for a, b in x] for x in spans], _SPANS),
-                    pa.array([sorted(x) for x in items], pa.list_(pa.int64())),
+                    pa.array(shard.sizes, pa.int64()),
+                    pa.array([[{"start": a, "end": b} for a, b in x] for x in shard.spans()], _SPANS),
+                    pa.array([sorted(x) for x in shard.items], pa.list_(pa.string())),
                 ]
-                names = [*batch.schema.names[: len(columns)], *ADDED.names]
-                yield pa.RecordBatch.from_arrays([*columns, *added], names)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
 
     return run
 
 
+def _names(docs: DataFrame) -> list[str]:
+    return [fresh(docs.columns, x) for x in _ADDED]
+
+
 def mark_leaks(
     docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", window: int = WINDOW
 ) -> DataFrame:
-    """``docs`` with leak_words (words of the text), leak_spans (merged [start, end) in words) and leak_items."""
+    """``docs`` with leak_words (words of the text), leak_spans (merged [start, end) in words) and leak_items (sorted)."""
     spark = docs.sparkSession
-    read = benchmark.select(F.col(item_id).cast("long"), F.col(item_text).cast("string"))
-    phrases = read.mapInArrow(_phrases(window), "item long, phrase binary")
-    table = Written(phrases.groupBy("phrase").agg(F.collect_set("item").alias("items")))
-    blocks = max(1, -(-table.df.count() // PHRASES))
-    out = docs
+    read = benchmark.select(F.col(item_id).cast("string"), F.col(item_text).cast("string"))
+    table = Written(read.mapInArrow(_phrases(window), "item string, phrase binary").distinct())
+    blocks = -(-table.df.count() // PHRASES)
+    sent = []
     for k in range(blocks):
-        rows = table.df.filter(F.pmod(F.xxhash64("phrase"), F.lit(blocks)) == k).toArrow()  # about PHRASES rows
-        sent = spark.sparkContext.broadcast((rows.column("phrase").to_pylist(), rows.column("items").to_pylist()))
-        schema = T.StructType([*docs.schema.fields, *ADDED.fields])
-        out = out.mapInArrow(_marked(docs.columns.index(text), k == 0, sent), schema)
+        rows = table.df.filter(F.pmod(F.xxhash64("phrase", "item"), F.lit(blocks)) == k).toArrow()  # about PHRASES pairs
+        held: dict[bytes, list[str]] = {}
+        for phrase, item in zip(rows.column("phrase").to_pylist(), rows.column("item").to_pylist(), strict=True):
+            held.setdefault(phrase, []).extend([item] * (item is not None))
+        sent.append(spark.sparkContext.broadcast((list(held), list(held.values()))))
     table.drop()
-    return out
+    names = _names(docs)
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(n, t) for n, t in zip(names, _ADDED.values(), strict=True))])
+    return docs.mapInArrow(_marked(docs.columns.index(text), names, window, sent), schema)
 
 
 def excise(text: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -213,7 +198,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "drop", *
     """``docs`` without its leaks: ``drop`` removes the documents that hold one, ``excise`` only the spans."""
     marked = mark_leaks(docs, benchmark, **how)
     if action == "drop":
-        return marked.filter(F.size("leak_spans") == 0).drop(*ADDED.names)
+        return marked.filter(F.size(_names(docs)[1]) == 0).drop(*_names(docs))
     return marked.mapInArrow(_excised(docs.columns.index(how.get("text", "text"))), docs.schema)
 
 
@@ -222,13 +207,12 @@ def op1_decontamination(spark, sf_dir: str) -> DataFrame:
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     marked = mark_leaks(docs, benchmark)
     n_hit = F.aggregate("leak_spans", F.lit(0).cast("long"), lambda n, x: n + x["end"] - x["start"])
-    names = F.array_sort(F.transform("leak_items", lambda x: x.cast("string")))
     return marked.select(
         "doc_id",
         F.col("leak_words").alias("n_words"),
         n_hit.alias("n_hit"),
         F.size("leak_items").cast("long").alias("n_items"),
-        F.sha2(F.array_join(names, ","), 256).alias("items_sha256"),
+        F.sha2(F.array_join("leak_items", ","), 256).alias("items_sha256"),
         (n_hit > 0).alias("contaminated"),
     )
 

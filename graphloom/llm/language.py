@@ -18,6 +18,7 @@ alike; an empty table gives an empty result; extra columns are ignored.
 from __future__ import annotations
 
 import re
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,17 @@ PER_LANGUAGE, ROWS, WINDOWS, WINDOW = 300, 19_200, 6, 48
 BUCKETS = 1 << 16
 EPOCHS, RATE, LEXICON = 15, 0.5, 500
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII = re.compile(rb"[A-Za-z]")
 _TO_WORD = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
+def has_letter(text: bytes) -> bool:
+    """Is there a character of the Unicode categories L?"""
+    if _ASCII.search(text):
+        return True
+    return not text.isascii() and any(category(c)[0] == "L" for c in text.decode() if c > "\x7f")
+
+
 def words(text: bytes) -> list[bytes]:
     """Lower-cased runs of ASCII letters and non-ASCII characters."""
     if not text.isascii():
@@ -156,7 +164,7 @@ class Tagger:
             self.trans += RATE * turn / np.sqrt(norm_t)
 
     def label(self, texts: list[bytes | None]) -> tuple[list[str], list[float]]:
-        known = [bool(t) and bool(_LETTER.search(t.decode())) and bool(self.langs) for t in texts]
+        known = [bool(t) and has_letter(t) and bool(self.langs) for t in texts]
         found = [words(t) if ok else [] for t, ok in zip(texts, known, strict=True)]
         number: dict[bytes, int] = {}
         sizes = np.array([len(w) for w in found], np.int64)

@@ -7,7 +7,8 @@ from a hash of the seed and doc_id, so reruns and recomputed tasks agree.
 
 Defined cases: null or blank text has size 0 and is taken 0 words; a null source is a source of its own, ordered last;
 repeated rows are separate documents that share a draw; an empty table gives an empty mix; only the named columns of
-the input are used to size and draw, all its columns are emitted.
+the input are used to size and draw, all its columns are emitted as they are. Where the input has a column by the name of
+an added one (``mix_size`` ...), the added one gets underscores behind its name.
 """
 
 from __future__ import annotations
@@ -15,13 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Written
+from .common import Written, fresh
 
 #: Characters that separate words: space and U+0009 to U+000D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (5, 2, 1)
 MOST_REPEATS = 3
 SEED = "mix-1"
+#: Names of the added columns.
+MADE = ("mix_size", "mix_source_size", "mix_target", "mix_copies")
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def word_count(text: Column) -> Column:
@@ -82,34 +89,36 @@ def mixed_counts(
     seed: str = SEED,
     keep_columns: bool = True,
 ) -> DataFrame:
-    """Every row with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (0 or more)."""
+    """Every row with ``mix_size``, ``mix_source_size``, ``mix_target`` and ``mix_copies`` (0 or more).
+
+    Without ``keep_columns``: only doc_id and source of the input, under these names.
+    """
     sized = docs.select(F.col(source).cast("string").alias("source"), word_count(F.col(text)).alias("size"))
-    targets = source_targets(sized, weights, most_repeats).select(
-        F.col("source").alias("_mix_source"),
-        F.col("source_size").alias("mix_source_size"),
-        F.col("target").alias("mix_target"),
-    )
-    base = docs if keep_columns else docs.select(doc_id, text, source)
-    rate = F.least(
-        F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0),
-        F.lit(float(most_repeats)),
-    )
-    extra = (draw(F.col(doc_id), seed) < F.col("_rate") - F.floor("_rate")).cast("int")
-    base = base.withColumn("mix_size", word_count(F.col(text)))
-    if not keep_columns:
-        base = base.drop(text)
+    targets = source_targets(sized, weights, most_repeats)
+    kept = docs.columns if keep_columns else [doc_id, source]
+    size, whole, target, copies = (fresh(docs.columns, x) for x in MADE)
+    rate = F.least(F.when(F.col("t.source_size") > 0, F.col("t.target") / F.col("t.source_size")).otherwise(0.0), F.lit(float(most_repeats)))
+    extra = (draw(F.col(f"d.{_quoted(doc_id)}"), seed) < rate - F.floor(rate)).cast("int")
+    sized = docs.select(*map(_quoted, kept), word_count(F.col(text)).alias(size))  # texts move on only where they are kept
     return (
-        base.join(targets, base[source].cast("string").eqNullSafe(F.col("_mix_source")), "left")
-        .withColumn("_rate", rate)
-        .withColumn("mix_copies", (F.floor("_rate") + extra).cast("int"))
-        .drop("_rate", "_mix_source")
+        sized.alias("d")
+        .join(targets.alias("t"), F.col(f"d.{_quoted(source)}").cast("string").eqNullSafe(F.col("t.source")), "left")
+        .select(
+            *[f"d.{_quoted(c)}" for c in kept],
+            F.col(f"d.{size}").alias(size),
+            F.col("t.source_size").alias(whole),
+            F.col("t.target").alias(target),
+            (F.floor(rate) + extra).cast("int").alias(copies),
+        )
     )
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: each document's rows, repeated ``mix_copies`` times, with the columns of ``docs``."""
-    counted = mixed_counts(docs, **how).filter("mix_copies > 0")
-    return counted.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("mix_copies")))).select(*docs.columns)
+    copies = F.col(fresh(docs.columns, MADE[3]))
+    again = F.explode(F.sequence(F.lit(1), copies)).alias(fresh(docs.columns, "_copy"))
+    columns = list(map(_quoted, docs.columns))
+    return mixed_counts(docs, **how).filter(copies > 0).select(*columns, again).select(*columns)
 
 
 def op2_mixing(spark, sf_dir: str) -> DataFrame:

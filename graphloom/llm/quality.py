@@ -8,9 +8,9 @@ way. A score is a logistic of bin look-ups that are added, vectorised over a bat
 Only feature rows (at most SAMPLE of them, 15 numbers each) reach the driver; labels, ids, lang and source are never
 features.
 
-Defined cases: null text counts as empty and is scored like any text; null labels are not learned from; a label row
-that repeats is learned once per repeat; without labelled rows every score is 0.5; an empty table gives an empty
-result; extra columns are ignored, or kept where the operator filters.
+Defined cases: null text counts as empty and is scored like any text; null labels are not learned from; label rows
+that repeat are learned once, of documents with one id the one with the smallest features; without labelled rows every score is 0.5; an empty table gives an empty
+result; extra columns are ignored, or kept as they are where the operator filters.
 """
 
 from __future__ import annotations
@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_bytes
+from .common import fresh, text_bytes
 
 SAMPLE = 40_000
 BINS, COARSE, ROUNDS, PAIR_ROUNDS, PAIRS, STEP, LEAVES, L2 = 48, 12, 120, 40, 6, 0.15, 4, 4.0
 THRESHOLD = 0.7
+SCORE = "quality_score"
 
 _PLAIN = b".,;:'\"-()?"
 _GROUPS = np.full(256, 3, np.int64)  # 0 letter lower, 1 letter upper, 2 digit, 3 other sign, 4 space, 5 plain mark, 6 high byte
@@ -166,42 +167,49 @@ def _matrix(texts: list[bytes | None]) -> np.ndarray:
 
 def _measured(batches):
     for batch in batches:
-        x = _matrix(text_bytes(batch.column(1)))
+        x = _matrix(text_bytes(batch.column(2)))
         flat = pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
-        yield pa.RecordBatch.from_arrays([batch.column(0), flat], ["y", "x"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], ["id", "y", "x"])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """Fits on the ``sample`` labelled rows outside the held-out fold whose hashed ids come first."""
     known = labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).select(
         F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("double").alias("y")
-    )
+    ).distinct()
     order = F.md5(F.col("_id").cast("string").cast("binary"))
     picked = known.filter(~held_out(F.col("_id"))).orderBy(order, "_id", "y").limit(sample)
     rows = docs.select(F.col("doc_id").alias("_doc"), "text").join(F.broadcast(picked), F.col("_doc") == F.col("_id"))
-    found = rows.select("y", F.col("text").cast("string")).mapInArrow(_measured, "y double, x array<double>").toArrow()
+    found = rows.select("_id", "y", F.col("text").cast("string")).mapInArrow(_measured, "id long, y double, x array<double>")
+    found = found.groupBy("id", "y").agg(F.min("x").alias("x")).select("y", "x").toArrow()  # at most ``sample`` rows
     x = np.array(found.column("x").to_pylist(), np.float64).reshape(-1, len(FEATURES))
     y = found.column("y").to_numpy()
     order = np.lexsort((*x.T, y))
     return Model(x[order], y[order])
 
 
-def _scored(text: int, sent):
+def _scored(text: int, name: str, sent):
     def run(batches):
         model = Model.__new__(Model)
         model.__dict__.update(sent.value)  # plain arrays: broadcasts are pickled by reference to modules
         for batch in batches:
             score = model.score(_matrix(text_bytes(batch.column(text))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], [*batch.schema.names, name])
 
     return run
 
 
 def score_quality(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with quality_score."""
+    """``docs`` with quality_score (with underscores behind the name where ``docs`` has such a column)."""
+    score = fresh(docs.columns, SCORE)
     sent = docs.sparkSession.sparkContext.broadcast(vars(model))
-    schema = T.StructType([*docs.schema.fields, T.StructField("quality_score", T.DoubleType())])
-    return docs.mapInArrow(_scored(docs.columns.index("text"), sent), schema)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_scored(docs.columns.index("text"), score, sent), schema)
+
+
+def keep_quality(docs: DataFrame, model: Model, least: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` that score ``least`` or more, with the columns of ``docs``."""
+    return score_quality(docs, model).filter(F.col(fresh(docs.columns, SCORE)) >= least).drop(fresh(docs.columns, SCORE))
 
 
 def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:

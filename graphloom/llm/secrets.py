@@ -18,6 +18,7 @@ from __future__ import annotations
 import base64
 import os
 import re
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -97,10 +98,18 @@ def base_spans(text: bytes, runs: list[tuple[int, int]]) -> list[tuple[int, int,
 def scan(text: bytes, runs: list[tuple[int, int]], encoder, most_ratio: float) -> list[tuple[int, int, int]]:
     """All spans (start, kind, end) in code points, in order."""
     base = base_spans(text, runs)
+    taken: list[list[int]] = []  # base spans merged, in order
+    for s, _, e in sorted(base):
+        if taken and s <= taken[-1][1]:
+            taken[-1][1] = max(e, taken[-1][1])
+        else:
+            taken.append([s, e])
+    ends = [e for _, e in taken]
     added = []
     for lo, hi in runs:
         for m in _KEY.finditer(text, lo, hi):
-            if any(s < m.end() and m.start() < e for s, _, e in base):
+            k = bisect_right(ends, m.start())  # the first one that ends behind the start
+            if k < len(taken) and taken[k][0] < m.end():
                 continue
             if is_random(m.group(), encoder, most_ratio):
                 added.append((m.start(), 3, m.end()))

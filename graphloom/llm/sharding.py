@@ -4,8 +4,9 @@ Rows are ordered by doc_id (then size and checksum); the bytes before each row a
 running sum inside its range, and a row goes to the shard in which its middle byte falls. Shards are thus contiguous
 in doc_id order and their sizes differ from total / shards by at most about one document.
 
-Defined cases: null text has 16 bytes; null doc_id sorts first; rows with the same doc_id stay next to each other;
-rows equal in every sort column are interchangeable; an empty table gives an empty result; other columns are kept.
+Defined cases: null text has 16 bytes; null doc_id sorts first; rows with the same doc_id stay next to each other, and
+when one id (or null) fills a range, its rows are dealt further by checksum; rows equal in every sort column are
+interchangeable; an empty table gives an empty result; extra columns are ignored, whatever their names.
 The law of this operator is ``bytes``: it balances bytes, so equal texts are placed by their ids, not kept together.
 """
 
@@ -27,7 +28,7 @@ def shard(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: i
         (F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + OVERHEAD).alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
     )
-    placed = prefix_sums(sized, "doc_id", ["text_crc32"], "size")
+    placed = prefix_sums(sized, "doc_id", "text_crc32", "size")
     middle = F.expr(f"((2 * before + size) * {int(shards)}) div (2 * total)")
     placed = Written(
         placed.select(

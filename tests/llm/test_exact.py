@@ -10,7 +10,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from graphloom.llm import chat, dedup, mixing, queries, sharding
+from graphloom.llm import chat, common, dedup, mixing, queries, sharding
 from tests.conftest import SF, rows_of, same_as_sql
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -101,6 +101,33 @@ def test_mix_of_odd_rows(spark):
     assert all(r["mix_copies"] == 0 for r in got if r["mix_size"] == 0 and r["mix_source_size"] == 0)
 
 
+def test_mix_keeps_clashing_columns(spark):
+    df = docs(spark, [(k, "w " * 9, "en", "ab"[k % 2], 1) for k in range(40)]).selectExpr("*", "7 AS mix_size", "8 AS MIX_copies", "9 AS _copy", "10 AS _rate", "'t' AS `mix_target`")
+    for made in (mixing.mix(df), mixing.mixed_counts(df)):
+        assert made.columns[: len(df.columns)] == df.columns
+        assert {(r["mix_size"], r["MIX_copies"], r["_copy"], r["_rate"], r["mix_target"]) for r in made.collect()} == {(7, 8, 9, 10, "t")}
+    assert {r["mix_size_"] for r in mixing.mixed_counts(df).collect()} == {9}
+
+
+def test_prefix_sums_of_many_ranges_and_hot_keys(spark):
+    """A thousand ranges; an id and null that a third of the rows hold each."""
+    rng = random.Random(1)
+    rows = [(rng.choice([None, 5, rng.randrange(400)]), rng.randrange(1 << 32), rng.randrange(9)) for _ in range(4000)]
+    spark.conf.set("spark.sql.shuffle.partitions", "1000")
+    try:
+        assert common.bucket_count(spark) == 1000
+        df = spark.createDataFrame(rows, "k long, t long, v long")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", "4")
+        got = common.prefix_sums(df, "k", "t", "v").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.initialPartitionNum")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    got = sorted(got, key=lambda r: r["position"])
+    assert [(r["k"], r["t"]) for r in got] == [r[:2] for r in ordered] and [r["position"] for r in got] == list(range(4000))
+    assert [r["before"] for r in got] == [sum(r[2] for r in ordered[:k]) for k in range(4000)]
+
+
 def test_shards_are_contiguous_and_near_equal(spark):
     rows = [(k, "x" * (k * 37 % 900), "en", "s", 1) for k in range(2000)]
     got = sorted(sharding.shard(docs(spark, rows)).collect(), key=lambda r: r["doc_id"])

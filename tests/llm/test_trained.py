@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from html import unescape
 
@@ -53,8 +54,8 @@ def test_leaks_of_odd_rows(spark):
     texts = [(1, None), (2, ""), (3, "ONE, two"), (4, "x A B C D E F G H I J y"), (5, "b c d e f g h i j"), (6, "a b c d e f g h i j k " * 3)]
     got = leaks(spark, texts, items)
     assert {k: (r["leak_words"], [tuple(s) for s in r["leak_spans"]], r["leak_items"]) for k, r in got.items()} == {
-        1: (0, [], []), 2: (0, [], []), 3: (2, [(0, 1)], [1]), 4: (12, [(1, 11)], [2]), 5: (9, [], []),
-        6: (33, [(0, 33)], [2]),
+        1: (0, [], []), 2: (0, [], []), 3: (2, [(0, 1)], ["1"]), 4: (12, [(1, 11)], ["2"]), 5: (9, [], []),
+        6: (33, [(0, 33)], ["2"]),
     }
     assert leaks(spark, texts, [])[6]["leak_spans"] == []
 
@@ -67,9 +68,35 @@ def test_leaks_across_blocks_and_shards(spark, monkeypatch):
     got = {k: (r["leak_spans"], r["leak_items"]) for k, r in leaks(spark, texts, items).items()}
     assert got == want and all(len(v[1]) == 2 and len(v[0]) == 2 for v in got.values())
     monkeypatch.setattr(decontaminate, "MOST", 64)
-    block = decontaminate.Block([" ".join(f"w{j}" for j in range(i, i + 10)).encode() for i in range(300)], [[i] for i in range(300)])
-    sizes, spans, found = decontaminate.search_block([" ".join(f"w{j}" for j in range(309)).encode()], block)
-    assert spans == [[(0, 309)]] and found[0] == set(range(300))
+    shard = decontaminate.Shard([" ".join(f"w{j}" for j in range(309)).encode()], 10)
+    shard.search([[f"w{j}".encode() for j in range(i, i + 10)] for i in range(300)], [[str(i)] for i in range(300)])
+    assert len(shard.pieces) > 4 and shard.spans() == [[(0, 309)]] and shard.items[0] == set(map(str, range(300)))
+
+
+def test_index_holds_every_word():
+    """Also words that no phrase has: any phrase of the shard can be counted and found."""
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 30, n)).encode() for n in (0, 1, 40, 300, 2000)]
+    shard = decontaminate.Shard(texts, 10)
+    for size in (1, 2, 3):
+        for _ in range(50):
+            phrase = [f"w{x}".encode() for x in rng.integers(0, 31, size)]
+            shard.items, shard.marks = [set() for _ in texts], np.zeros_like(shard.marks)
+            shard.search([phrase], [["i"]])
+            for text, spans, items in zip(texts, shard.spans(), shard.items, strict=True):
+                w = text.split()
+                hit = {i + j for i in range(len(w) - size + 1) if w[i : i + size] == phrase for j in range(size)}
+                assert {k for a, b in spans for k in range(a, b)} == hit and bool(items) == bool(hit)
+
+
+def test_leaks_with_clashing_columns_and_string_ids(spark):
+    bench = spark.createDataFrame([("item-10", "leak of three"), ("item-9", "leak of three")], "item_id string, text string")
+    df = docs(spark, [(1, "a leak of three"), (2, "clean")]).selectExpr("*", "7 AS leak_words", "8 AS Leak_Spans")
+    for action, left in (("drop", {2: "clean"}), ("excise", {1: "a ", 2: "clean"})):
+        out = decontaminate.decontaminate(df, bench, action=action)
+        assert out.columns == df.columns and {(r["leak_words"], r["Leak_Spans"]) for r in out.collect()} == {(7, 8)}
+        assert {r["doc_id"]: r["text"] for r in out.collect()} == left
+    assert [r["leak_items"] for r in decontaminate.mark_leaks(df, bench).filter("doc_id = 1").collect()] == [["item-10", "item-9"]]
 
 
 def test_excised_and_dropped(spark):
@@ -182,6 +209,40 @@ def test_secrets_on_odd_rows(spark):
     assert got[6] == [("random", 4, 28)] and [k for k, *_ in got[7]] == ["hex"]
 
 
+def test_random_spans_against_plain_rules(spark):
+    """Brute force over a table: every run of key characters, the ratio, the exclusions."""
+    with open(secrets.VOCABULARY, "rb") as file:
+        encoder = secrets.encoding(file.read())
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    texts |= {9000: "é " + "Zx9Qm2Lr8Tv4Wp1Yb6Nc3Kd7 " * 30, 9001: "token=abcdefg" + "hQzXvBnWkLpJ" * 3, 9002: "qxzvkjwpfhgbtmcd qxzvkjwpfhgbtmcd12 " * 2}
+    found = secrets.find_secrets(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    added = 0
+    for r in found:
+        t = texts[r["doc_id"]]
+        base = [s for s in r["found"] if s["kind"] != "random"]
+        want = []
+        for m in re.finditer(r"[A-Za-z0-9+/_-]{16,}={0,2}", t):
+            if any(s["start"] < m.end() and m.start() < s["end"] for s in base):
+                continue
+            body = m[0].rstrip("=")
+            digest = re.fullmatch(r"[0-9a-fA-F]+", body) and len(body) in (32, 40, 56, 64, 96, 128) or re.fullmatch(r"[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}", body)
+            tight = len(m[0]) <= 2.0 * len(encoder.encode_ordinary(m[0]))
+            name = re.fullmatch(r"[A-Za-z]*([/_-][A-Za-z]+)*([/_-]?v?[0-9]{1,4}){0,4}|[0-9/_+-]+", body)
+            if re.search("[A-Za-z]", body) and not digest and tight and not (name and secrets.of_words(body.encode(), encoder)):
+                want.append((m.start(), m.end()))
+        assert [(s["start"], s["end"]) for s in r["found"] if s["kind"] == "random"] == want
+        added += len(want)
+    assert added > 30
+
+
+def test_secrets_in_long_texts_and_empty_tables(spark):
+    text = 'api_key = "abcdefgh" Zx9Qm2Lr8Tv4Wp1Yb6Nc3Kd7 ' * 20_000
+    began = time.perf_counter()
+    got = secrets.find_secrets(docs(spark, [(1, text), (1, text)]).withColumn("found", F.lit(1))).collect()
+    assert [len(r["found"]) for r in got] == [40_000] * 2 and time.perf_counter() - began < 90
+    assert secrets.find_secrets(docs(spark, [])).count() == 0
+
+
 def test_secrets_against_plain_patterns(spark):
     pattern = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
     df = spark.read.parquet(f"{SF}/documents.parquet")
@@ -236,6 +297,17 @@ def test_forward_backward_against_enumeration():
     assert np.allclose(post, want) and np.allclose(pairs, moves)
 
 
+def test_language_of_odd_rows(spark):
+    """Repeated rows, very long texts, clashing columns, an empty table, signs that are no letters."""
+    rows = [(k, ("alpha beta gamma " if k % 2 else "uno dos tres ") * 5) for k in range(60)]
+    df = spark.createDataFrame([(i, t, "xy"[i % 2], "s", 9) for i, t in rows], DOCS).selectExpr("*", "'z' AS lang_pred", "2 AS score", "3 AS words", "4 AS id")
+    tagger = language.train(df)
+    odd = spark.createDataFrame([(1, "alpha beta " * 200_000, "x", "s", 9), (1, "dos uno", "x", "s", 9), (1, "dos uno", "x", "s", 9), (2, "½ ²³ ①", "x", "s", 9), (None, "uno", None, None, None)], DOCS)
+    got = sorted((r["doc_id"] or 0, r["lang_pred"]) for r in language.identify(odd.selectExpr("*", "'z' AS lang_pred"), tagger).collect())
+    assert got == [(0, "x"), (1, "x"), (1, "x"), (1, "y"), (2, "und")]
+    assert language.identify(df.limit(0), tagger).count() == 0 and language.train(df.limit(0)).langs == []
+
+
 def test_language_without_labels(spark):
     df = docs(spark, [(1, "a text"), (2, None)]).selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS lang")
     assert [(r["lang_pred"], r["score"]) for r in language.identify(df, language.train(df)).collect()] == [("und", 0.0)] * 2
@@ -261,6 +333,14 @@ def test_quality_of_odd_rows(spark):
     assert quality.score_quality(docs(spark, []), none).count() == 0
 
 
+def test_quality_keeps_clashing_columns(spark):
+    labels = spark.createDataFrame([(4, 1), (5, 0)], "doc_id long, quality int")
+    df = docs(spark, ODD).selectExpr("*", "'mine' AS quality_score", "1 AS _id")
+    kept = quality.keep_quality(df, quality.train(df, labels), 0.0)
+    assert kept.columns == df.columns and kept.count() == len(ODD) and {r["quality_score"] for r in kept.collect()} == {"mine"}
+    assert quality.keep_quality(df, quality.train(df, labels), 2.0).count() == 0
+
+
 def test_quality_learns_an_interaction():
     rng = np.random.default_rng(0)
     x = rng.random((4000, 3))
