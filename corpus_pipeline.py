@@ -2,6 +2,7 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last keep the columns of ``documents``.
 ``run`` writes each stage's result to the shared folder and reads it back, as a job that must survive lost executors.
+Empty tables go through every stage and give empty results.
 """
 
 from __future__ import annotations
@@ -13,21 +14,22 @@ from graphloom.llm.common import written
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard import near_duplicates
 from graphloom.llm.mixing import mix
-from graphloom.llm.quality import THRESHOLD, score_quality, train
+from graphloom.llm.quality import THRESHOLD, train
+from graphloom.llm.quality import keep_quality as keep
 from graphloom.llm.sharding import shard
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects (score under 0.7) go."""
+    """Documents that the classifier rejects (score under 0.7) go. Null and empty texts are scored like any other."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score_quality(docs, model).filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    return keep(docs, model, THRESHOLD)
 
 
 def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked by five-word shingles at a similarity of 0.8, one row stays: the one with the smallest id.
 
     Rows without an id come last in that order, equal ids go by a digest of the text. Rows that share an id but belong to
-    different groups all stay; rows without shingles are groups of their own.
+    different groups all stay; rows without shingles are groups of their own; exact repeats of a row are copies of it. Extra columns stay.
     """
     rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
     groups = near_duplicates(rows, doc_id="_row", width=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id")
@@ -38,17 +40,20 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go."""
+    """Documents that hold ten consecutive words of a benchmark item (or a whole shorter item) go; null texts hold none."""
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), action="drop")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as its source's repetition rate says."""
+    """Each document as often as its source's repetition rate says; documents without words are taken as others are.
+
+    A null source is a source of its own, rows that share an id share their draw.
+    """
     return mix(docs)
 
 
 def place_in_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard and slot of every row of the mix."""
+    """doc_id, size, text_crc32, law, shard and slot of every row of the mix; null texts have 16 bytes, null ids come first."""
     return shard(docs)
 
 

@@ -12,9 +12,11 @@ _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or the context's own checkpoint folder; a local one only where neither is set."""
+    """``spark.checkpoint.dir``, or the context's own checkpoint folder; a local one only in a local session without either."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="graphloom-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
