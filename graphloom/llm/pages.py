@@ -1,12 +1,18 @@
 """Operator 3: main-text extraction with wrappers inferred per template of a host.
 
 Pages of a host come from a few templates, told apart by the containers that hold text outside the page's likeliest
-content. All pages are parsed into token trees; the trees of a template are aligned one after another into a wrapper, a
-union-free expression: equal tags match, runs of equal siblings (of
-one to three tags) fold into repeated groups, siblings without a partner become optional, differing texts become slots
-(their sizes are kept). The wrapper tells where the content stands: the path of the part whose slots hold the most
-running text outside chrome, with article-like elements first. A page is cut at its template's path; the only page of
-a template, or one without the path, falls back to its own best part. Inside, menus, asides, forms, scripts, adverts, notices and comments are left out.
+content. All pages are parsed into nested tokens; those of a template are aligned one after another into a wrapper, a
+union-free expression: equal tags match, runs of equal siblings (of one to three tags) fold into repeated groups,
+siblings without a partner become optional, differing texts become slots (their sizes are kept). The wrapper tells where
+the content stands: the path of the part whose slots hold the most running text, an ``article`` or ``main`` element with a
+quarter of it first; a class or id that sounds like content only breaks near ties. A page is cut at its template's path;
+the only page of a template, or one without the path, falls back to its own best part.
+
+Inside the content, elements go that are menus, asides, forms or scripts by their tag, or whose class or id says nothing
+but advert, sidebar, cookie, comments and so on (CHROME). A name that an article may use as well (MAYBE: discussion,
+related, alert ...) is no reason by itself: the wrapper decides. Such a part goes if its texts are the same on all pages
+of the template, if it holds mostly links, or if it is a repeated group of containers, as reader comments are. Nothing
+else is dropped: hidden elements, formulas and constant paragraphs of an article stay.
 
 Text: character references are decoded, white space inside a block becomes one space, blocks are trimmed and joined by
 one line feed in page order.
@@ -25,6 +31,7 @@ import json
 import re
 import sys
 import zlib
+from bisect import bisect_left
 from html import unescape
 
 import pyarrow as pa
@@ -37,7 +44,7 @@ NODES = 1 << 19
 #: Frames that following a tree may take; Python frames need no C stack.
 DEEP = 10_000_000
 
-_RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "math", "xmp", "noembed")
+_RAW = ("script", "style", "noscript", "template", "textarea", "title", "iframe", "svg", "noembed")
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -45,7 +52,7 @@ _TOKEN = re.compile(
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|[^<]+|<",
     re.DOTALL | re.IGNORECASE,
 )
-_ATTR = re.compile(r"""\b(id|class|role|hidden|aria-hidden|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
+_ATTR = re.compile(r"""(?<![^\s"'])(id|class|role|itemprop)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.IGNORECASE)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset(
     "address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form "
@@ -63,17 +70,24 @@ _ENDS = {  # an opening tag ends these, up to the nearest of the stops
     "option": ({"option"}, {"select"}),
 }
 _CHROME_TAGS = frozenset(
-    "nav aside footer form script style noscript template button select input textarea iframe svg math head title menu "
-    "dialog object embed canvas audio video label fieldset xmp noembed".split()
+    "nav aside footer form script style noscript template button select input textarea iframe svg head title menu "
+    "dialog object embed canvas audio video label fieldset noembed".split()
 )
 _CONTAINERS = frozenset("body div section article main table td center".split())
-_CHROME_NAME = re.compile(
-    r"(?:^|[\s_-])(?:ad|ads|adv|advert|adverts|advertisement|advertising|adbox|banner|promo|promoted|sponsor|sponsored|sidebar|side|"
-    r"cookie|cookies|consent|gdpr|notice|notices|alert|newsletter|subscribe|subscription|signup|share|sharing|social|comment|"
-    r"comments|reply|replies|respond|discussion|disqus|related|recommended|breadcrumb|breadcrumbs|menu|nav|navbar|navigation|"
-    r"footer|toolbar|popup|modal|overlay|paywall|pagination|pager|widget|skip|login|search)(?:$|[\s_-])",
-    re.IGNORECASE,
+CHROME = (
+    "ad ads adv advert adverts advertisement advertising adbox sponsor sponsored sidebar cookie cookies consent gdpr newsletter "
+    "share sharing social comment comments disqus breadcrumb breadcrumbs menu nav navbar navigation footer toolbar popup modal "
+    "paywall pagination pager"
 )
+MAYBE = (
+    "side notice notices alert banner promo promoted subscribe subscription signup reply replies respond responses discussion "
+    "related recommended overlay widget skip login search"
+)
+_CHROME_NAME, _MAYBE_NAME = (
+    re.compile(rf"(?:^|[\s_-])(?:{'|'.join(names.split())})(?:$|[\s_-])", re.IGNORECASE) for names in (CHROME, MAYBE)
+)
+#: Elements that a list of reader comments or teasers repeats.
+_ITEMS = frozenset("div li article section dd tr".split())
 _HEADER_NAME = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar)(?:$|[\s_-])", re.IGNORECASE)
 _CONTENT_NAME = re.compile(
     r"(?:^|[\s_-])(?:article|articlebody|main|content|post|entry|story|body|text|hentry)(?:$|[\s_-])", re.IGNORECASE
@@ -81,10 +95,10 @@ _CONTENT_NAME = re.compile(
 
 
 class Node:
-    __slots__ = ("tag", "name", "hidden", "kids", "text", "opt", "rep", "chars", "links")
+    __slots__ = ("tag", "name", "kids", "text", "opt", "rep", "chars", "links")
 
-    def __init__(self, tag: str, name: str = "", hidden: bool = False, text: str = ""):
-        self.tag, self.name, self.hidden, self.text = tag, name, hidden, text
+    def __init__(self, tag: str, name: str = "", text: str = ""):
+        self.tag, self.name, self.text = tag, name, text
         self.kids: list = []
         self.opt = self.rep = False
         self.chars = self.links = 0
@@ -127,30 +141,74 @@ def parse(html: str) -> Node:
             close({"p"}, {"table", "td", "th", "div", "article", "section", "li", "blockquote", "aside", "main", "button", "body"})
         if tag in _ENDS:
             close(*_ENDS[tag])
-        name, hidden = "", False
+        name = ""
         if m["attrs"]:
             got = {a[0].lower(): a[1].strip("\"'") for a in _ATTR.findall(m["attrs"])}
             name = re.sub(r"\d+", "0", " ".join(got[x] for x in ("id", "class", "role", "itemprop") if got.get(x)))
-            hidden = "hidden" in got or got.get("aria-hidden", "").lower() == "true"
-        node = Node(tag, name, hidden)
+        node = Node(tag, name)
         stack[-1].kids.append(node)
         if tag not in _VOID and not m[0].endswith("/>"):
             stack.append(node)
     return root
 
 
-def chrome(node: Node, inside: bool) -> bool:
-    """Is this element no part of an article? ``inside``: the content's element has been entered."""
-    if node.hidden or node.tag in _CHROME_TAGS or (node.tag == "header" and not inside):
+def listed(node: Node) -> bool:
+    """Is a part mostly links, or does it hold a repeated group of containers?"""
+    chars = links = 0
+    todo = [(node, node.tag == "a")]
+    while todo:
+        part, linked = todo.pop()
+        last = None
+        for k in part.kids:
+            if k.tag == "#text":
+                size = k.chars or len(k.text.strip())
+                chars += size
+                links += size if linked else k.links
+                if k.text.strip():
+                    last = None
+            else:
+                if k.tag in _ITEMS and (k.rep or k.key == last):
+                    return True
+                last = k.key
+                todo.append((k, linked or k.tag == "a"))
+    return 2 * links > chars
+
+
+def constant(node: Node) -> bool:
+    """Has a part of a wrapper texts, and no slot?"""
+    found, todo = False, [node]
+    while todo:
+        for k in todo.pop().kids:
+            if k.tag != "#text":
+                todo.append(k)
+            elif k.text:
+                found = True
+            elif k.chars:
+                return False
+    return found
+
+
+def maybe(node: Node) -> bool:
+    """Has an element a name that adverts, notices and comments share with parts of articles?"""
+    return bool(node.name) and node.tag not in _PLAIN and bool(_MAYBE_NAME.search(node.name))
+
+
+_PLAIN = frozenset("article main body html b i em strong h1 h2 h3".split())
+
+
+def chrome(node: Node, inside: bool, template: frozenset[str] = frozenset()) -> bool:
+    """Is this element no part of an article? ``inside``: the content's element has been entered; ``template``: keys of
+    elements with a doubtful name that are the template's."""
+    if node.tag in _CHROME_TAGS or (node.tag == "header" and not inside):
         return True
-    if node.tag in ("article", "main", "body", "html", "p", "b", "i", "em", "strong", "span", "h1", "h2", "h3"):
-        return bool(node.name) and node.tag in ("p", "span") and bool(_CHROME_NAME.search(node.name))
-    if not node.name:
+    if not node.name or node.tag in _PLAIN:
         return False
-    return bool(_CHROME_NAME.search(node.name)) or (not inside and bool(_HEADER_NAME.search(node.name)))
+    if _CHROME_NAME.search(node.name) or (not inside and _HEADER_NAME.search(node.name)):
+        return True
+    return maybe(node) and (node.key in template or listed(node))
 
 
-def text_of(node: Node) -> str:
+def text_of(node: Node, template: frozenset[str] = frozenset()) -> str:
     """Blocks of an element, without chrome."""
     blocks: list[str] = []
     now: list[str] = []
@@ -169,7 +227,7 @@ def text_of(node: Node) -> str:
             cut()
         elif kid.tag == "#text":
             now.append(kid.text)
-        elif not chrome(kid, True):
+        elif not chrome(kid, True, template):
             if kid.tag in _BLOCK:
                 cut()
                 todo.append((None, True))
@@ -183,6 +241,14 @@ def text_of(node: Node) -> str:
 # ---- wrapper inference ---------------------------------------------------------------------------------------------
 
 
+def _alike(a: Node, b: Node) -> bool:
+    """May two siblings with one key be turns of a repeated group? Containers only if half of what they hold is alike."""
+    if a.tag not in _CONTAINERS:
+        return True
+    x, y = {k.key for k in a.kids}, {k.key for k in b.kids}
+    return 2 * len(x & y) >= len(x | y)
+
+
 def _fold(kids: list[Node]) -> list[Node]:
     """Runs of the same one to three siblings become one repeated group."""
     out: list[Node] = []
@@ -192,7 +258,7 @@ def _fold(kids: list[Node]) -> list[Node]:
             if len(out) < 2 * size:
                 continue
             a, b = out[-2 * size : -size], out[-size:]
-            if [x.key for x in a] == [x.key for x in b] and all(x.tag != "#text" for x in a[:1]):
+            if [x.key for x in a] == [x.key for x in b] and a[0].tag != "#text" and all(map(_alike, a, b)):
                 out[-2 * size :] = [_align(x, y, repeated=True) for x, y in zip(a, b, strict=True)]
                 break
     return out
@@ -200,7 +266,7 @@ def _fold(kids: list[Node]) -> list[Node]:
 
 def _align(a: Node, b: Node, repeated: bool = False) -> Node:
     """The wrapper of two parts with the same tag."""
-    made = Node(a.tag, a.name, a.hidden and b.hidden)
+    made = Node(a.tag, a.name)
     made.opt, made.rep = a.opt or b.opt, a.rep or b.rep or repeated
     made.chars, made.links = a.chars + b.chars, a.links + b.links
     if a.tag == "#text":
@@ -212,37 +278,70 @@ def _align(a: Node, b: Node, repeated: bool = False) -> Node:
 
 def _merge(a: list[Node], b: list[Node]) -> list[Node]:
     """Longest common alignment of two sibling lists; parts without a partner become optional."""
+    head = tail = 0
+    while head < min(len(a), len(b)) and a[head].key == b[head].key:
+        head += 1
+    while tail < min(len(a), len(b)) - head and a[-1 - tail].key == b[-1 - tail].key:
+        tail += 1
+    out = [_align(x, y) for x, y in zip(a[:head], b[:head], strict=True)]
+    left, right = a[head : len(a) - tail], b[head : len(b) - tail]
+    i = j = 0
+    for x, y in [*_partners([k.key for k in left], [k.key for k in right]), (len(left), len(right))]:
+        for node in (*left[i:x], *right[j:y]):
+            node.opt = True
+            out.append(node)
+        if x < len(left):
+            out.append(_align(left[x], right[y]))
+        i, j = x + 1, y + 1
+    out += [_align(x, y) for x, y in zip(a[len(a) - tail :], b[len(b) - tail :], strict=True)]
+    return out if head == len(a) == len(b) else _fold(out)
+
+
+#: Cells of an alignment table; beyond, runs without a partner are skipped from left to right.
+CELLS = 1 << 16
+
+
+def _partners(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places that match, rising in both lists: a longest alignment, or, of very long lists, one found in one pass."""
     n, m = len(a), len(b)
-    if [x.key for x in a] == [x.key for x in b]:
-        return [_align(x, y) for x, y in zip(a, b, strict=True)]
+    out, i, j = [], 0, 0
+    if n * m > CELLS:
+        places: dict[str, list[int]] = {}
+        for k, x in enumerate(b):
+            places.setdefault(x, []).append(k)
+        for i, x in enumerate(a):
+            here = places.get(x, [])
+            k = bisect_left(here, j)
+            if k < len(here) and here[k] - j <= max(64, 2 * (i + 1) - j):  # no far jump, which would leave many alone
+                out.append((i, here[k]))
+                j = here[k] + 1
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
-            best[i][j] = max(best[i + 1][j], best[i][j + 1], (best[i + 1][j + 1] + 1) if a[i].key == b[j].key else 0)
-    out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i].key == b[j].key and best[i][j] == best[i + 1][j + 1] + 1:
-            out.append(_align(a[i], b[j]))
+            best[i][j] = max(best[i + 1][j], best[i][j + 1], (best[i + 1][j + 1] + 1) if a[i] == b[j] else 0)
+    i = j = 0
+    while i < n and j < m:
+        if a[i] == b[j] and best[i][j] == best[i + 1][j + 1] + 1:
+            out.append((i, j))
             i, j = i + 1, j + 1
+        elif best[i + 1][j] >= best[i][j + 1]:
+            i += 1
         else:
-            take_a = j >= m or (i < n and best[i + 1][j] >= best[i][j + 1])
-            node = a[i] if take_a else b[j]
-            i, j = i + take_a, j + (not take_a)
-            node.opt = True
-            out.append(node)
-    return _fold(out)
+            j += 1
+    return out
 
 
 def _template(node: Node) -> Node:
     """A page's part as a wrapper of one example: repeats folded, text sizes noted; trees of any depth."""
     sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))  # _align follows the tree with Python frames only
-    made = Node(node.tag, node.name, node.hidden)
+    made = Node(node.tag, node.name)
     order = [(node, made, node.tag == "a")]
     for part, copy, linked in order:
         for k in part.kids:
             if k.tag == "#text" and not k.text.strip():
                 continue
-            kid = Node(k.tag, k.name, k.hidden, k.text)
+            kid = Node(k.tag, k.name, k.text)
             if k.tag == "#text":
                 kid.chars = len(k.text.strip())
                 kid.links = kid.chars if linked else 0
@@ -278,7 +377,10 @@ def _sizes(root: Node, own: bool) -> dict[int, float]:
 
 
 def best_path(root: Node, own: bool = False) -> list[str]:
-    """Keys of the elements from the root to the content; ``own``: of one page, where every text counts."""
+    """Steps from the root to the content; ``own``: of one page, where every text counts.
+
+    A step is a key; where siblings share it and it is no repeated group, a tab and which of how many it is follow.
+    """
     found: list[tuple[int, float, int, Node]] = []
     sizes = _sizes(root, own)
     above: dict[int, Node] = {}
@@ -286,10 +388,12 @@ def best_path(root: Node, own: bool = False) -> list[str]:
     while todo:
         node, depth, inside = todo.pop()
         inside = inside or (depth > 0 and node.tag in ("article", "main"))
-        named = 3 if node.tag == "article" else 2 if node.tag == "main" or re.search(r"\bmain\b|articleBody", node.name) else 1 if _CONTENT_NAME.search(node.name) and node.tag in ("div", "section", "td") else 0
+        size = sizes[id(node)]
+        named = (3 if node.tag == "article" else 2 if node.tag == "main" else 0) if 4 * size >= sizes[id(root)] else 0
+        near = 1.25 if _CONTENT_NAME.search(node.name) and node.tag in ("div", "section", "td") else 1.0
         direct = any(k.tag in ("p", "h1", "h2", "h3", "#text", "blockquote", "pre", "ul", "ol", "table") for k in node.kids)
         if depth and (named or direct):
-            found.append((named, sizes[id(node)], depth, node))
+            found.append((named, near * size, depth, node))
         for k in node.kids:
             if k.tag != "#text" and not chrome(k, named > 1 or inside):
                 above[id(k)] = node
@@ -305,22 +409,56 @@ def best_path(root: Node, own: bool = False) -> list[str]:
         return []
     path = []
     while node is not root:
-        path.append(node.key)
+        same = [k for k in above[id(node)].kids if k.key == node.key]
+        path.append(node.key if node.rep or len(same) == 1 else f"{node.key}\t{[k is node for k in same].index(True)}/{len(same)}")
         node = above[id(node)]
     return path[::-1]
 
 
 def at_path(root: Node, path: list[str]) -> list[Node]:
-    """Elements of a page at a path of keys, in page order; elements in between may be missing at the top."""
+    """Elements of a page at the end of a path, in page order; of siblings that are no group the one in its place, or,
+    where a page has another number of them, the one with the most text."""
     nodes = [root]
-    for key in path:
-        nodes = [k for n in nodes for k in n.kids if k.tag != "#text" and k.key == key]
+    for step in path:
+        key, _, place = step.partition("\t")
+        found = []
+        for n in nodes:
+            same = [k for k in n.kids if k.tag != "#text" and k.key == key]
+            if place and len(same) > 1:
+                at, of = map(int, place.split("/"))
+                same = [same[at] if len(same) == of else max(same, key=_length)]
+            found += same
+        nodes = found
         if not nodes:
             return []
     return nodes
 
 
-def extract(html: str | None, path: list[str]) -> str:
+def _length(node: Node) -> int:
+    total, todo = 0, [node]
+    while todo:
+        for k in todo.pop().kids:
+            total += len(k.text)
+            todo.append(k)
+    return total
+
+
+def template_keys(root: Node, path: list[str]) -> list[str]:
+    """Keys of the elements inside a wrapper's content whose names are doubtful and whose texts are the template's."""
+    found: dict[str, bool] = {}
+    todo = at_path(root, path)
+    if all(map(constant, todo)):  # repeats of one page tell nothing
+        return []
+    while todo:
+        for k in todo.pop().kids:
+            if k.tag != "#text":
+                if maybe(k):
+                    found[k.key] = found.get(k.key, True) and (constant(k) or listed(k))
+                todo.append(k)
+    return sorted(k for k, x in found.items() if x)
+
+
+def extract(html: str | None, path: list[str], template: frozenset[str] = frozenset()) -> str:
     """The main text of a page, by its host's content path or else by its own."""
     if not html:
         return ""
@@ -329,7 +467,7 @@ def extract(html: str | None, path: list[str]) -> str:
     if not found:
         own = best_path(_template(root), own=True)
         found = at_path(root, own) if own else [root]
-    return "\n".join(t for t in map(text_of, found) if t)
+    return "\n".join(t for t in (text_of(x, template) for x in found) if t)
 
 
 def template_of(one: Node, own: list[str]) -> str:
@@ -346,7 +484,7 @@ def template_of(one: Node, own: list[str]) -> str:
                 below = zlib.crc32(k.key.encode(), path)
                 if k.tag in _CONTAINERS:
                     found.add(below)
-                todo.append((k, below, at + 1 if 0 <= at < len(own) and k.key == own[at] else -1))
+                todo.append((k, below, at + 1 if 0 <= at < len(own) and k.key == own[at].partition("\t")[0] else -1))
     return hashlib.blake2b(repr(sorted(found)).encode(), digest_size=8).hexdigest()
 
 
@@ -362,7 +500,7 @@ def _packed(root: Node) -> str:
     out, todo = [], [root]
     while todo:
         x = todo.pop()
-        out.append([x.tag, x.name, x.hidden + 2 * x.opt + 4 * x.rep, x.chars, x.links, x.text, len(x.kids)])
+        out.append([x.tag, x.name, x.opt + 2 * x.rep, x.chars, x.links, x.text, len(x.kids)])
         todo += reversed(x.kids)
     return json.dumps(out)
 
@@ -371,8 +509,8 @@ def _unpacked(text: str) -> Node:
     top = Node("")
     open_: list[list] = [[top, 1]]
     for tag, name, flags, chars, links, words, kids in json.loads(text):
-        node = Node(tag, name, bool(flags & 1), words)
-        node.opt, node.rep, node.chars, node.links = bool(flags & 2), bool(flags & 4), chars, links
+        node = Node(tag, name, words)
+        node.opt, node.rep, node.chars, node.links = bool(flags & 1), bool(flags & 2), chars, links
         while not open_[-1][1]:
             open_.pop()
         open_[-1][0].kids.append(node)
@@ -417,15 +555,17 @@ def _partial(batches):
 
 
 def _inferred(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """The content path of a template from its partial wrappers; null where only one page has it."""
-    path = None
+    """Content path and template keys of a template from its partial wrappers; null where only one page has it."""
+    path = keys = None
     if sum(table.column("n").to_pylist()) > 1:
         sys.setrecursionlimit(max(sys.getrecursionlimit(), DEEP))
         wrapper = None
         for text in sorted(table.column("wrapper").to_pylist()):
             wrapper = _unpacked(text) if wrapper is None else _align(wrapper, _unpacked(text))
-        path = json.dumps(best_path(wrapper))
-    return pa.table({"host": pa.array([key[0].as_py()]), "template": pa.array([key[1].as_py()]), "path": pa.array([path], pa.string())})
+        best = best_path(wrapper)
+        path, keys = json.dumps(best), json.dumps(template_keys(wrapper, best))
+    made = {"host": key[0].as_py(), "template": key[1].as_py(), "path": path, "keys": keys}
+    return pa.table({k: pa.array([x], pa.string()) for k, x in made.items()})
 
 
 def host_of(url: Column) -> Column:
@@ -434,9 +574,9 @@ def host_of(url: Column) -> Column:
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """host, template, path: the content path of each template of a host that several pages share."""
+    """host, template, path, keys: content path and template keys of each template of a host that several pages share."""
     partial = pages.select(host_of(F.col("url")).alias("host"), "html").mapInArrow(_partial, "host string, template string, n long, wrapper string")
-    found = partial.groupBy("host", "template").applyInArrow(_inferred, "host string, template string, path string")
+    found = partial.groupBy("host", "template").applyInArrow(_inferred, "host string, template string, path string, keys string")
     return found.filter("path IS NOT NULL AND path <> '[]'")
 
 
@@ -458,11 +598,12 @@ def _own(batches):
 
 
 def _extracted(batches):
-    """page_id, url, html, own, text, path: cut anew where the template's path is another than the page's own."""
+    """page_id, url, html, own, text, path, keys: cut anew where the template tells more than the page does."""
     for batch in batches:
         texts = []
-        for html, own, text, path in zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True):
-            texts.append(text if path is None or path == own else extract(html, json.loads(path)))
+        for html, own, text, path, keys in zip(*(batch.column(k).to_pylist() for k in range(2, 7)), strict=True):
+            known = path is None or (path == own and keys == "[]")
+            texts.append(text if known else extract(html, json.loads(path), frozenset(json.loads(keys))))
         columns = [batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
         yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
@@ -473,7 +614,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     found = written(wrappers(pages))
     hosted = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
     read = hosted.mapInArrow(_own, "page_id long, url string, host string, html string, template string, own string, text string")
-    joined = read.join(found, ["host", "template"], "left").select("page_id", "url", "html", "own", "text", "path")
+    joined = read.join(found, ["host", "template"], "left").select("page_id", "url", "html", "own", "text", "path", "keys")
     return joined.mapInArrow(_extracted, "page_id long, url string, text string, n_chars long")
 
 

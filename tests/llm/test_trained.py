@@ -393,6 +393,59 @@ def test_main_text_by_wrapper(tag):
         assert pages.extract(html, path) == want and pages.extract(html, []) == want
 
 
+INNER = """<p>Lead {0} of the piece.</p><section id="discussion"><h2>Discussion</h2><p>We discuss {0}.</p><p>And more {0}.</p></section>
+<div class="related-work"><p>Earlier work {0} did this.</p></div><div class="alert box"><p>Mind the gap {0}.</p></div>
+<p>Energy <math><mi>E</mi><mo>=</mo><mi>m{0}</mi></math></p><p hidden>Folded {0}</p><div id="notice-1"><p>All rights reserved.</p></div>
+<div class="related"><a href=/a>Teaser one {0}</a> <a href=/b>Teaser two {0}</a></div>
+<div id="responses"><div class=c><b>Ann</b><p>First! {0}</p></div><div class=c><b>Bob</b><p>Agreed {0}</p></div></div>"""
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div class=k3", "div"])
+def test_doubtful_names_are_decided_by_the_wrapper(spark, tag):
+    page = "<body><nav><a href=/>Home</a></nav><{1}><h1>Title {0}</h1>" + INNER + "</{2}><footer>end</footer>"
+    rows = [(k, "http://h/", page.format(k, tag, tag.split()[0])) for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)).collect()}
+    for k in range(6):
+        assert got[k].split("\n") == [
+            f"Title {k}", f"Lead {k} of the piece.", "Discussion", f"We discuss {k}.", f"And more {k}.", f"Earlier work {k} did this.",
+            f"Mind the gap {k}.", f"Energy E=m{k}", f"Folded {k}",
+        ]
+
+
+@pytest.mark.parametrize("limit", [1 << 16, 0])
+def test_alignment_against_brute_force(monkeypatch, limit):
+    """Partners rise in both lists and match; within the table's size there are as many as a plain search finds."""
+    monkeypatch.setattr(pages, "CELLS", limit)
+    rng = np.random.default_rng(5)
+    for _ in range(200):
+        a, b = (["".join(x) for x in rng.choice(list("pqr"), (rng.integers(0, 9), 1))] for _ in "ab")
+        found = pages._partners(a, b)
+        assert all(a[i] == b[j] for i, j in found) and all(x < y and v < w for (x, v), (y, w) in zip(found, found[1:], strict=False))
+        longest = {(): 0}
+        for i in range(len(a) + 1):
+            for j in range(len(b) + 1):
+                tries = [longest.get((i - 1, j), 0), longest.get((i, j - 1), 0)]
+                longest[i, j] = max(*tries, longest.get((i - 1, j - 1), 0) + 1 if i and j and a[i - 1] == b[j - 1] else 0)
+        assert limit == 0 or len(found) == longest[len(a), len(b)]
+
+
+def test_very_many_siblings():
+    made = ["<body><div class=top>menu</div><div class=x>" + "".join(f"<p>a{k} {j}</p><{'i' if (j * (k + 1)) % 3 else 'u'}>n</i></u>" for j in range(50_000)) + "</div>" for k in range(2)]
+    began = time.perf_counter()
+    path = pages.best_path(pages.infer(made))
+    for k, html in enumerate(made):
+        text = pages.extract(html, path)
+        assert text.count(f"a{k} ") == 50_000
+    assert time.perf_counter() - began < 120
+
+
+def test_forty_five_levels_without_names(spark):
+    page = "<body><div>Tagline</div>" + "<div>" * 45 + "<h2>Deep {0}</h2><p>Text of the deep page {0}</p>" + "</div>" * 45 + "<div><p>Short {0}</p></div>"
+    rows = [(k, "http://h/", page.format(k)) for k in range(4)]
+    got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {k: f"Deep {k}\nText of the deep page {k}" for k in range(4)}
+
+
 def test_wrapper_generalises():
     a, b = "<ul><li>x<li>y</ul><p>same</p><p>one</p>", "<ul><li>z</ul><p>same</p><p>two</p><h2>extra</h2>"
     w = pages.infer([a, b])
