@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import written
+from graphloom.llm.common import fresh, written
 from graphloom.llm.decontaminate import decontaminate
 from graphloom.llm.jaccard import near_duplicates
 from graphloom.llm.mixing import mix
@@ -31,12 +31,13 @@ def keep_one_of_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: st
     Rows without an id come last in that order, equal ids go by a digest of the text. Rows that share an id but belong to
     different groups all stay; rows without shingles are groups of their own; exact repeats of a row are copies of it. Extra columns stay.
     """
-    rows = written(docs.withColumn("_row", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows, doc_id="_row", width=5, num=80, den=100).select(F.col("doc_id").alias("_row"), "component_id")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), "_row")
-    keys = rows.select("_row", order.alias("o")).join(groups, "_row")
-    first = keys.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o._row").alias("_row"))
-    return rows.join(first, "_row", "left_semi").select(*docs.columns)
+    row = fresh(docs.columns, "_row")
+    rows = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    groups = near_duplicates(rows, doc_id=row, width=5, num=80, den=100).select(F.col("doc_id").alias(row), "component_id")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.md5(F.col("text").cast("binary")), F.col(row).alias("r"))
+    keys = rows.select(row, order.alias("o")).join(groups, row)
+    first = keys.groupBy("component_id").agg(F.min("o").alias("o")).select(F.col("o.r").alias(row))
+    return rows.join(first, row, "left_semi").select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

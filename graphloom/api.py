@@ -47,10 +47,10 @@ class CodeGraph:
     def index(self, root: str) -> int:
         """Full run over a source tree; returns the new version."""
         sources, found = discover.sources(self.spark, root)
-        return self.index_sources(written(sources), discover.go_module(found), discover.manifest_text(found))
+        return self.index_sources(written(sources), discover.go_module(found), discover.manifest_text(found), discover.script_options(found))
 
-    def index_sources(self, sources: DataFrame, module_path: str = "", manifest: str = "") -> int:
-        return self._build(sources, written(extract.extract(sources, manifest)), module_path)
+    def index_sources(self, sources: DataFrame, module_path: str = "", manifest: str = "", script: dict | None = None) -> int:
+        return self._build(sources, written(extract.extract(sources, manifest, script)), module_path)
 
     def _build(self, sources: DataFrame, extracted: DataFrame, module_path: str, old: dict | None = None) -> int:
         """Resolves extracted rows, joined with kept rows of an older version, and commits the result."""
@@ -86,13 +86,13 @@ class CodeGraph:
     def sync(self, root: str) -> DataFrame:
         """Brings the index up to date with a tree; returns path, state of what changed."""
         sources, found = discover.sources(self.spark, root)
-        return self.sync_sources(written(sources), discover.go_module(found), discover.manifest_text(found))
+        return self.sync_sources(written(sources), discover.go_module(found), discover.manifest_text(found), discover.script_options(found))
 
-    def sync_sources(self, sources: DataFrame, module_path: str = "", manifest: str = "") -> DataFrame:
+    def sync_sources(self, sources: DataFrame, module_path: str = "", manifest: str = "", script: dict | None = None) -> DataFrame:
         """Extracts added and modified files only, then resolves old and new rows together: the same as a full run."""
         meta = self.table("meta") if self.version else None
         if sync.needs_full_run(meta):
-            self.index_sources(sources, module_path, manifest)
+            self.index_sources(sources, module_path, manifest, script)
             return sources.select("path", F.lit("added").alias("state"))
         changed = written(sync.changes(self.files_table, sources).filter("state <> 'unchanged'"))
         states = {r["state"] for r in changed.select("state").distinct().collect()}  # four states at most
@@ -108,7 +108,7 @@ class CodeGraph:
             return changed
         replaced = changed.filter("state IN ('modified', 'deleted', 'touched')").select("path")
         batch = sources.join(changed.filter("state IN ('added', 'modified', 'touched')").select("path"), "path", "left_semi")
-        extracted = written(extract.extract(batch.select(*sources.columns), manifest))
+        extracted = written(extract.extract(batch.select(*sources.columns), manifest, script))
         kept_nodes = sync.prune_nodes(self._read_any("pass1_nodes"), replaced)
         ids = kept_nodes.select("id")
         keep = lambda df, column: df.join(replaced.withColumnRenamed("path", column), column, "left_anti").select(*df.columns)

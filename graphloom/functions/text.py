@@ -69,8 +69,7 @@ def symbol_tokens_column(text: Column) -> Column:
     dotted = every(DOTTED)
     parts = F.filter(F.flatten(F.transform(dotted, lambda d: F.concat(F.array(d), F.split(d, r"\.")))), lambda p: F.length(p) >= 2)
     found = F.concat(*[every(s) for s in (CAMEL, SNAKE, SCREAMING, ACRONYM)], parts, every(LOWER))
-    common = F.array(*[F.lit(w) for w in sorted(COMMON_WORDS)])
-    return F.filter(F.array_distinct(found), lambda t: ~F.array_contains(common, F.lower(t)))
+    return F.filter(F.array_distinct(found), lambda t: ~F.lower(t).isin(sorted(COMMON_WORDS)))  # a hash set
 
 
 def search_terms_column(text: Column) -> Column:
@@ -78,8 +77,7 @@ def search_terms_column(text: Column) -> Column:
     every = lambda shape: F.transform(F.regexp_extract_all(text, F.lit(_whole(shape)), 1), F.lower)
     split = F.regexp_replace(F.regexp_replace(text, "([a-z])([A-Z])", "$1 $2"), "([A-Z]+)([A-Z][a-z])", "$1 $2")
     parts = F.transform(F.regexp_extract_all(split, F.lit("[a-zA-Z0-9]+"), 0), F.lower)
-    stop = F.array(*[F.lit(w) for w in sorted(STOP_WORDS)])
-    parts = F.filter(parts, lambda w: (F.length(w) >= 3) & ~F.array_contains(stop, w))
+    parts = F.filter(parts, lambda w: (F.length(w) >= 3) & ~w.isin(sorted(STOP_WORDS)))
     return F.array_distinct(F.concat(F.filter(F.concat(every(COMPOUND), every(SNAKE)), lambda w: F.length(w) >= 3), parts))
 
 

@@ -87,9 +87,13 @@ class Parser:
                 if name:
                     out.module_key = name.replace("::", ".").replace("\\", ".")
             elif t.value in ("import", "using", "use") and lang in ("java", "csharp", "kotlin", "php", "swift", "rust") and self.starts_statement(k):
-                name, end = self.dotted(k + 1)
+                word = self.value(k + 1) in ("function", "const") and lang == "php"
+                name, end = self.dotted(k + 1 + word)
                 if not name or self.value(k + 1) == "(":
                     continue
+                if lang == "php" and self.value(end) == "{":
+                    self.group_use(name, end, self.at(k))
+                    continue
                 out.ref(out.file_id, "imports", name, at=self.at(k))
                 parts = name.replace("::", ".").replace("\\", ".").split(".")
                 alias = self.value(end + 1) if self.value(end) == "as" else parts[-1]
@@ -104,6 +108,22 @@ class Parser:
                 target = self.value(k + 1).strip('"') if self.t[k + 1 : k + 2] and self.t[k + 1].kind == "text" else "".join(self.value(j) for j in range(k + 2, min(k + 12, len(self.t))) if self.value(j) != ">")
                 out.ref(out.file_id, "imports", target.split(">")[0], at=self.at(k))
 
+    def group_use(self, prefix: str, brace: int, at: tuple[int, int]) -> None:
+        """``use A\\B\\{C, D as E}``: an import and an alias for each name."""
+        k = brace + 1
+        while k < self.ends[brace]:
+            name, end = self.dotted(k + (self.value(k) in ("function", "const")))
+            if name:
+                parts = f"{prefix}\\{name}".replace("\\", ".").split(".")
+                alias = self.value(end + 1) if self.value(end) == "as" else parts[-1]
+                self.out.ref(self.out.file_id, "imports", f"{prefix}\\{name}", at=at)
+                self.out.use(alias, ".".join(parts[:-1]))
+                self.out.origins[alias] = parts[-1]
+            k = max(end, k)
+            while k < self.ends[brace] and self.value(k) != ",":
+                k += 1
+            k += 1
+
     def starts_statement(self, k: int) -> bool:
         return k == 0 or self.value(k - 1) in (";", "{", "}", ">", "]") or self.t[k - 1].line < self.t[k].line or self.value(k - 1) in ("global", "pub")
 
@@ -129,13 +149,15 @@ class Parser:
     def script_import(self, k: int) -> None:
         out = self.out
         j = k + 1
-        while j < min(len(self.t), k + 200) and self.t[j].kind != "text" and self.value(j) not in (";",):
-            j += 1
+        while j < len(self.t) and self.t[j].kind != "text" and self.value(j) != ";":
+            j = self.ends[j] + 1 if self.value(j) == "{" else j + 1
         if j >= len(self.t) or self.t[j].kind != "text":
             return
         target = self.t[j].value.strip("\"'`")
         if target.startswith("."):
             target = posixpath.normpath(posixpath.join(posixpath.dirname(out.path), target))
+        else:
+            target = aliased(target, out.script)
         target = strip_script(target)
         out.ref(out.file_id, "imports", target, at=self.at(k))
         m = k + 1
@@ -237,6 +259,9 @@ class Parser:
                 listing = True
             elif v in (";", "where", "{") or (v == "permits"):
                 break
+            elif v == "by" and depth == 0 and listing:  # a delegate is an expression, no supertype
+                while k + 1 < stop and self.value(k + 1) not in (",", "{"):
+                    k = self.ends[k + 1] if self.value(k + 1) in ("(", "[") else k + 1
             elif depth == 0 and listing and self.is_name(k) and v not in ("public", "private", "protected", "virtual", "by"):
                 name, end = self.dotted(k)
                 last = name.replace("::", ".").replace("\\", ".").split(".")[-1]
@@ -406,6 +431,18 @@ class Parser:
             self.out.ref(made, "references", self.value(j + 2), v, self.at(j))
 
 
+def aliased(target: str, options: dict) -> str:
+    """A specifier that is not relative, by the compiler's ``paths`` (in the order of their patterns), else ``baseUrl``."""
+    base = options.get("baseUrl") or ""
+    base = "" if base == "." else base
+    for pattern, places in sorted((options.get("paths") or {}).items()):
+        head, star, tail = pattern.partition("*")
+        fits = len(target) >= len(head) + len(tail) and target.startswith(head) and target.endswith(tail) if star else target == pattern
+        if fits and places:
+            return posixpath.normpath(posixpath.join(base, places[0].replace("*", target[len(head) : len(target) - len(tail)], 1)))
+    return posixpath.normpath(posixpath.join(base, target)) if base else target
+
+
 def strip_script(path: str) -> str:
     for end in (".d.ts", ".tsx", ".ts", ".jsx", ".mjs", ".cjs", ".js"):
         if path.endswith(end):

@@ -20,8 +20,6 @@ from ..functions.hashing import content_hash, node_id
 from . import brace_source, python_source, routes
 from .rows import FileRows
 
-#: Larger files are not parsed.
-MOST_BYTES = 4 << 20
 #: Source bytes whose rows are sent on together.
 CHUNK_BYTES = 1 << 20
 
@@ -70,13 +68,12 @@ EXTRACTED = T.StructType(
 )
 
 
-def extract_file(path: str, language: str, module_key: str, content: bytes, manifest: str = "") -> dict:
-    """One file's rows; errors are kept as text."""
+def extract_file(path: str, language: str, module_key: str, content: bytes, manifest: str = "", script: dict | None = None) -> dict:
+    """One file's rows; errors are kept as text. script: compiler options that tell where script modules lie."""
     out = FileRows(path, language, module_key)
+    out.script = script or {}
     found: list[dict] = []
     try:
-        if len(content) > MOST_BYTES:
-            raise ValueError(f"the file has more than {MOST_BYTES} bytes")
         text = content.decode("utf-8", errors="replace")
         LANGUAGES[language].extract(out, text)
         found = routes.rows(path, language, text, manifest, out.nodes) if manifest else []
@@ -87,7 +84,7 @@ def extract_file(path: str, language: str, module_key: str, content: bytes, mani
     return {**out.row(), "routes": found}
 
 
-def _kernel(manifest: str):
+def _kernel(manifest: str, script: dict | None):
     arrow = to_arrow_schema(EXTRACTED)
 
     def run(batches):
@@ -96,7 +93,7 @@ def _kernel(manifest: str):
             size = 0
             for path, language, key, content in zip(*(batch.column(k) for k in range(4)), strict=True):
                 content = content.as_py() or b""
-                made.append(extract_file(path.as_py(), language.as_py(), key.as_py(), content, manifest))
+                made.append(extract_file(path.as_py(), language.as_py(), key.as_py(), content, manifest, script))
                 size += len(content)
                 if size > CHUNK_BYTES:
                     yield pa.RecordBatch.from_pylist(made, schema=arrow)
@@ -107,10 +104,10 @@ def _kernel(manifest: str):
     return run
 
 
-def extract(sources: DataFrame, manifest: str = "") -> DataFrame:
+def extract(sources: DataFrame, manifest: str = "", script: dict | None = None) -> DataFrame:
     """sources (path, language, module_key, content) -> one row a file with arrays of rows."""
     known = sources.filter(F.col("language").isin(list(LANGUAGES)))
-    return known.select("path", "language", "module_key", "content").mapInArrow(_kernel(manifest), EXTRACTED)
+    return known.select("path", "language", "module_key", "content").mapInArrow(_kernel(manifest, script), EXTRACTED)
 
 
 def table(extracted: DataFrame, part: str) -> DataFrame:

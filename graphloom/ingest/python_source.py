@@ -13,8 +13,35 @@ def _package_up(module: str, levels: int, is_package: bool) -> str:
     return ".".join(parts[: max(0, len(parts) - drop)])
 
 
+def parsed(text: str) -> tuple[ast.Module, str]:
+    """The tree of a module and its first error; around syntax errors, of the top-level statements that are right.
+
+    First the lines in error are taken out one by one; a file with more of them is read statement by statement.
+    """
+    lines = text.split("\n")
+    error = ""
+    for _ in range(20):
+        try:
+            return ast.parse("\n".join(lines)), error
+        except SyntaxError as why:
+            error = error or f"SyntaxError: {why}"[:500]
+            k = min(max((why.lineno or 1) - 1, 0), len(lines) - 1)
+            now = lines[k]
+            gone = now[: len(now) - len(now.lstrip())] + "pass"
+            lines[k] = "" if now == gone else gone
+    starts = [k for k, line in enumerate(lines) if line[:1] not in ("", " ", "\t", "#", ")", "]", "}")]
+    body: list[ast.stmt] = []
+    for lo, hi in zip(starts, [*starts[1:], len(lines)], strict=True):
+        try:
+            found = ast.parse("\n".join(lines[lo:hi]))
+        except SyntaxError:
+            continue
+        body += ast.increment_lineno(found, lo).body
+    return ast.Module(body=body, type_ignores=[]), error
+
+
 def extract(out: FileRows, text: str) -> None:
-    tree = ast.parse(text)
+    tree, out.error = parsed(text)  # the file keeps both its error and its symbols
     is_package = out.path.endswith("__init__.py")
     _imports(out, tree, is_package)
     todo: list[tuple[ast.AST, str | None, str]] = [(n, None, "") for n in tree.body]

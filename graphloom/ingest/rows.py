@@ -35,6 +35,7 @@ class FileRows:
         self.types: dict[str, str] = {}
         self.ids: set[str] = set()
         self.error = ""
+        self.script: dict = {}
         self.file_id = self.node("file", path.rsplit("/", 1)[-1], path)
 
     def node(self, kind, name, qualified=None, start=(1, 0), end=None, visibility="", exported=False, signature="", returns="") -> str:

@@ -15,7 +15,6 @@ from .traverse import calls
 
 # Fixed values of the exploration's bounds.
 MAX_NODES, DEPTH, MIN_SCORE, SEARCH_LIMIT, GLUE_CAP = 200, 3, 0.2, 8, 60
-LONGEST_HIERARCHY = 64
 
 
 def hierarchy_budget(max_nodes: int) -> int:
@@ -38,11 +37,13 @@ def ids_frame(spark, ids: list[str], name: str = "id") -> DataFrame:
     return spark.createDataFrame([(x, k) for k, x in enumerate(ids)], f"{name} string, pos int")
 
 
-def closure(start: DataFrame, steps: DataFrame, longest: int = LONGEST_HIERARCHY) -> DataFrame:
+def closure(start: DataFrame, steps: DataFrame) -> DataFrame:
     """start (root), steps (a, b) -> (root, id, depth): everything reachable from each root, at its least depth."""
     front = Written(start.select("root", F.col("root").alias("id")).distinct())
     found: DataFrame | None = None
-    for depth in range(1, longest + 1):
+    depth = 0
+    while True:  # until nothing new is reached
+        depth += 1
         step = front.df.join(steps, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct()
         step = step.filter("id <> root")
         if found is not None:
@@ -51,8 +52,9 @@ def closure(start: DataFrame, steps: DataFrame, longest: int = LONGEST_HIERARCHY
         here = front.df.withColumn("depth", F.lit(depth))
         found = here if found is None else found.union(here)
         if front.df.isEmpty():
-            break
-    return found
+            return found
+        if depth % 16 == 0:  # one table instead of a long union
+            found = Written(found).df
 
 
 def type_hierarchy(nodes: DataFrame, edges: DataFrame, focal: DataFrame, max_nodes: int = MAX_NODES) -> list[str]:

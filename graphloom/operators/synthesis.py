@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from ..sources.shared import Written
 
 SUPER = ("embeds", "implements", "extends")
-LONGEST = 64
 
 
 def supertypes(edges: DataFrame, roots: DataFrame) -> DataFrame:
@@ -23,16 +22,19 @@ def supertypes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     none = F.array().cast("array<struct<line:int,col:int,target:string>>")
     front = Written(roots.select("type", F.col("type").alias("super"), none.alias("rank")).distinct())
     found: DataFrame | None = None
-    for _ in range(LONGEST):
+    depth = 0
+    while True:  # until no type meets another supertype, however deep the hierarchy is
         met = front.df.join(steps, F.col("super") == F.col("a")).select("type", F.col("b").alias("super"), F.concat("rank", F.array("seq")).alias("rank"))
         met = met.filter("super <> type").groupBy("type", "super").agg(F.min("rank").alias("rank"))
         if found is not None:
             met = met.join(found.select("type", "super"), ["type", "super"], "left_anti")
         front = Written(met)
+        depth += 1
         found = front.df if found is None else found.union(front.df)
         if front.df.isEmpty():
-            break
-    return found
+            return found
+        if depth % 16 == 0:  # one table instead of a long union
+            found = Written(found).df
 
 
 def structural_implements(edges: DataFrame, nodes: DataFrame, iface_methods: DataFrame, method_arity: DataFrame) -> DataFrame:

@@ -46,15 +46,10 @@ def dispatch_siblings(targets: DataFrame, nodes: DataFrame, edges: DataFrame) ->
     owner = asked.groupBy("id", "name").agg(F.max_by("any_owner", F.struct(F.octet_length("any_owner"), "any_owner")).alias("owner"))
     ifaces = owner.join(implements, F.col("owner") == F.col("type")).select("id", "name", "owner", "iface").distinct()
     impls = ifaces.join(implements.withColumnRenamed("type", "impl"), "iface").filter("impl <> owner").select("id", "name", "impl").distinct()
-    named = nodes.select(F.col("id").alias("sibling"), F.col("name").alias("sibling_name"))
-    return (
-        impls.join(contains, "impl")
-        .filter("sibling <> id")
-        .join(named, "sibling")
-        .filter("sibling_name = name")
-        .select("id", "sibling")
-        .distinct()
-    )
+    asked_names = impls.select("name").distinct()
+    named = nodes.join(asked_names, "name", "left_semi").select(F.col("id").alias("sibling"), "name")
+    of_name = contains.join(named, "sibling")  # only methods of an asked name meet the implementing types
+    return impls.join(of_name, ["impl", "name"]).filter("sibling <> id").select("id", "sibling").distinct()
 
 
 def callees(nodes: DataFrame, edges: DataFrame, symbol: str, limit: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ import json
 import os
 import re
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,21 +32,78 @@ def other_platform(path: Column) -> Column:
     return F.endswith(path, F.lit(".go")) & stem.rlike(f"_({'|'.join(OTHER_SYSTEMS + OTHER_MACHINES)})$")
 
 
-def other_build_tag(content: Column) -> Column:
-    """A leading build line that asks for ignore, or for a system that is not Linux."""
-    head = F.regexp_extract(content.cast("string"), r"(?m)\A(?:\s*//[^\n]*\n|\s*\n)*?//go:build ([^\n]+)", 1)
-    return head.rlike(rf"^\s*(ignore|!linux|!amd64|{'|'.join(OTHER_SYSTEMS)})\s*$")
+#: The build tags that hold for Linux on amd64.
+TAGS = ("linux", "amd64", "unix", "gc", "cgo")
+
+
+def build_tag_holds(expression: str) -> bool:
+    """A build expression (names, !, &&, ||, parentheses) for Linux on amd64; one that cannot be read does not hold."""
+    tokens = re.findall(r"\s*(&&|\|\||[!()]|[\w.]+)", expression) + [""]
+    k = 0
+
+    def either() -> bool:
+        nonlocal k
+        found = both()
+        while tokens[k] == "||":
+            k += 1
+            found = both() or found
+        return found
+
+    def both() -> bool:
+        nonlocal k
+        found = one()
+        while tokens[k] == "&&":
+            k += 1
+            found = one() and found
+        return found
+
+    def one() -> bool:
+        nonlocal k
+        now = tokens[k]
+        k += 1
+        if now == "!":
+            return not one()
+        if now == "(":
+            found = either()
+            if tokens[k] != ")":
+                raise ValueError(expression)
+            k += 1
+            return found
+        if not re.fullmatch(r"[\w.]+", now):
+            raise ValueError(expression)
+        return now in TAGS or bool(re.fullmatch(r"go1(\.\d+)?", now))
+
+    try:
+        return either() and tokens[k] == ""
+    except (ValueError, IndexError):
+        return False
+
+
+def _holds(batches):
+    """expression -> expression, holds."""
+    for batch in batches:
+        found = [build_tag_holds(x) for x in batch.column(0).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.bool_())], ["expression", "holds"])
+
+
+def build_expression(content: Column) -> Column:
+    """The expression of a leading build line; empty if there is none."""
+    return F.regexp_extract(content.cast("string"), r"(?m)\A(?:\s*//[^\n]*\n|\s*\n)*?//go:build ([^\n]+)", 1)
 
 
 def discover(spark: SparkSession, root: str) -> DataFrame:
     """path, content, mtime_unix_ns, size_bytes, language of the registered files under ``root`` (any store Spark reads)."""
-    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    either = lambda end: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in end[1:])
+    ends = ",".join(sorted(either(e) for x in LANGUAGES.values() for e in x.extensions))  # other files are not opened
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{{{ends}}}").load(root)
     top = F.regexp_replace(F.lit(root.rstrip("/")), r"^\w+:/*", "/")
     full = F.regexp_replace("path", r"^\w+:/+(?=[^/])", "/")
     rows = read.withColumn("path", F.substring(full, F.length(top) + 2, F.lit(1 << 30)))
     rows = rows.withColumn("language", language_of(F.col("path")))
     kept = rows.filter((F.col("language") != "") & ~skipped(F.col("path")) & ~other_platform(F.col("path")))
-    kept = kept.filter((F.col("language") != "go") | ~other_build_tag(F.col("content")))
+    kept = kept.withColumn("expression", F.when(F.col("language") == "go", build_expression(F.col("content"))).otherwise(""))
+    asked = kept.filter("expression <> ''").select("expression").distinct().mapInArrow(_holds, "expression string, holds boolean")
+    kept = kept.join(asked.filter("not holds").select("expression"), "expression", "left_anti")
     return kept.select(
         "path", "language", "content", (F.unix_micros("modificationTime") * 1000).alias("mtime_unix_ns"), F.col("length").alias("size_bytes")
     )
@@ -118,6 +176,16 @@ def sources(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, str]]:
     return schema.conform(rows, schema.SOURCES), found
 
 
+def script_options(found: dict[str, str]) -> dict:
+    """``baseUrl`` and ``paths`` of the script compiler's options; a file that is no plain JSON gives none."""
+    try:
+        options = json.loads(found.get("tsconfig.json") or "{}").get("compilerOptions") or {}
+        paths_ = {str(k): [str(x) for x in v] for k, v in (options.get("paths") or {}).items() if isinstance(v, list)}
+        return {"baseUrl": str(options.get("baseUrl") or ""), "paths": paths_}
+    except (ValueError, AttributeError):
+        return {}
+
+
 def manifest_text(found: dict[str, str]) -> str:
     return "\n".join(found[k] for k in sorted(found))
 

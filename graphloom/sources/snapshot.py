@@ -1,7 +1,8 @@
 """Versioned snapshots of a graph: immutable Parquet tables, one pointer that names the current version.
 
-A write goes to a new version; the pointer file is replaced last, so readers see the old or the new graph whole. Edges
-are partitioned by kind. Everything goes through Hadoop file systems, so the store may be any that Spark reads.
+A write goes to a new version; its number is created last, as an empty file in ``commits``, and readers take the largest
+number there: they see the old or the new graph whole, whenever a writer stops. Creating fails where another writer has
+committed that version. Edges are partitioned by kind. Everything goes through Hadoop file systems, so the store may be any that Spark reads.
 """
 
 from __future__ import annotations
@@ -30,26 +31,15 @@ class Snapshots:
 
     def current(self) -> int:
         """Number of the current version; 0 if there is none."""
-        path, fs = self._path("CURRENT")
+        path, fs = self._path("commits")
         if not fs.exists(path):
             return 0
-        stream = fs.open(path)
-        try:
-            return int(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return max((int(f.getPath().getName()) for f in fs.listStatus(path) if f.getPath().getName().isdigit()), default=0)
 
     def commit(self, version: int) -> None:
-        """Points readers to a version: written aside, then renamed over."""
-        aside, fs = self._path(f"CURRENT.{version}")
-        out = fs.create(aside, True)
-        out.write(bytearray(str(version).encode()))
-        out.close()
-        target, _ = self._path("CURRENT")
-        if fs.exists(target):
-            fs.delete(target, False)
-        if not fs.rename(aside, target):
-            raise OSError("the pointer to the current version could not be replaced")
+        """Points readers to a version."""
+        target, fs = self._path(f"commits/{version}")
+        fs.create(target, False).close()
 
     def write(self, tables: dict[str, DataFrame]) -> int:
         """Writes the tables as the next version and commits it. Extra columns (module_key of files) are kept."""

@@ -3,10 +3,11 @@ import shutil
 
 import pytest
 
+from graphloom import schema
 from graphloom.api import CodeGraph
 from graphloom.ingest import extract, routes
 from graphloom.sources import discover
-from graphloom.sources.snapshot import load
+from graphloom.sources.snapshot import Snapshots, load
 
 GO = {
     "go.mod": "module example.org/demo\n\nrequire github.com/gin-gonic/gin v1\n",
@@ -136,8 +137,90 @@ def test_extractors_survive_anything(language, source):
     assert row["nodes"][0]["kind"] == "file"
 
 
-def test_too_large_files_are_not_parsed():
-    assert "bytes" in extract.extract_file("a.go", "go", "m", b"x" * (extract.MOST_BYTES + 1))["error"]
+def refs_of(language, source, script=None):
+    row = extract.extract_file("src/a.ts" if language == "typescript" else "d/a", language, "m", source.encode(), "", script)
+    assert not row["error"]
+    return row
+
+
+def test_large_files_are_parsed_whole():
+    body = "package p\n" + "".join(f"func F{k}() int {{ return G{k}() }}\n" for k in range(140_000))
+    assert len(body) > 5 << 20
+    row = extract.extract_file("p/a.go", "go", "m", body.encode())
+    assert not row["error"] and sum(n["kind"] == "function" for n in row["nodes"]) == 140_000
+
+
+def test_import_of_two_hundred_names():
+    names = ", ".join(f"n{k} as m{k}" for k in range(200))
+    row = refs_of("typescript", f"import {{ {names} }} from './lib/x';\nfunction f() {{ m199(); }}")
+    assert ("imports", "src/lib/x", "") in {(r["kind"], r["name"], r["pkg_alias"]) for r in row["refs"]}
+    assert {i["alias"]: i["target_module"] for i in row["imports"]} == {f"m{k}": "src/lib/x" for k in range(200)}
+
+
+@pytest.mark.parametrize("options, target, want", [
+    ({"baseUrl": "src", "paths": {"@app/*": ["app/*"]}}, "@app/x/y", "src/app/x/y"),
+    ({"baseUrl": ".", "paths": {"@lib": ["lib/index.ts"], "@*": ["other/*"]}}, "@lib", "other/lib"),
+    ({"baseUrl": "", "paths": {"exact": ["e/f.ts"]}}, "exact", "e/f"),
+    ({"baseUrl": "src"}, "util/z", "src/util/z"),
+    ({}, "react", "react"),
+])
+def test_script_modules_by_compiler_options(options, target, want):
+    row = refs_of("typescript", f"import {{ a }} from '{target}';", options)
+    assert [r["name"] for r in row["refs"] if r["kind"] == "imports"] == [want]
+
+
+def test_script_options():
+    text = '{"compilerOptions": {"baseUrl": "./src", "paths": {"@a/*": ["x/*"], "b": "no"}}}'
+    assert discover.script_options({"tsconfig.json": text}) == {"baseUrl": "./src", "paths": {"@a/*": ["x/*"]}}
+    assert discover.script_options({"tsconfig.json": "{ // c\n}"}) == {} and discover.script_options({}) == {"baseUrl": "", "paths": {}}
+
+
+def test_group_use():
+    row = refs_of("php", "<?php\nnamespace A;\nuse B\\X\\{C, D as E};\nuse function F\\g;\nuse H\\I;\n")
+    assert {r["name"] for r in row["refs"] if r["kind"] == "imports"} == {"B\\X\\C", "B\\X\\D", "F\\g", "H\\I"}
+    assert {i["alias"]: i["target_module"] for i in row["imports"]} == {"C": "B.X", "E": "B.X", "g": "F", "I": "H"}
+
+
+def test_delegates_are_no_supertypes():
+    row = refs_of("kotlin", "class A(d: I, e: J) : I by d, J by make(e, 1), K() {\n fun f() {}\n}")
+    assert {r["name"] for r in row["refs"] if r["kind"] == "embeds"} == {"I", "J", "K"}
+
+
+@pytest.mark.parametrize("expression, holds", [
+    ("linux", True), ("windows && amd64", False), ("windows || linux", True), ("!windows", True), ("custom", False), ("!custom && unix", True),
+    ("(darwin || linux) && !(arm64 || cgo)", False), ("go1.21", True), ("ignore", False), ("linux &&", False), ("(linux", False), ("!!linux", True),
+])
+def test_build_expressions(expression, holds):
+    assert discover.build_tag_holds(expression) == holds
+
+
+def test_build_lines_decide_which_files_are_read(spark, tmp_path):
+    write(str(tmp_path), {
+        "a.go": "// c\n\n//go:build linux && !race\n\npackage a\n", "b.go": "//go:build windows && amd64\n\npackage a\n", "C.GO": "package a\n",
+        "d.go": "package a\n//go:build ignore\n", "e.go": "//go:build mytag\npackage a\n", "f.py": "x = 1\n", "g.png": "no", ".git/h.go": "package a\n",
+    })
+    assert {r["path"] for r in discover.discover(spark, str(tmp_path)).collect()} == {"a.go", "C.GO", "d.go", "f.py"}
+
+
+@pytest.mark.parametrize("wrong", ["    x = = 1", "    return (", "  bad indent", "def broken(:"])
+def test_python_around_syntax_errors(wrong):
+    source = f"import os\nclass A:\n    def f(self): return g()\n{wrong}\n    def h(self): pass\n\ndef g(): return 1\n"
+    row = extract.extract_file("d/a", "python", "m", source.encode())
+    assert {"A", "f", "g"} <= {n["name"] for n in row["nodes"]} and row["error"].startswith("SyntaxError")
+    many = "".join(f"def f{k}(): return {k}\nx{k} = = 1\n" for k in range(60))
+    assert {f"f{k}" for k in range(60)} <= {n["name"] for n in extract.extract_file("d/a", "python", "m", many.encode())["nodes"]}
+
+
+def test_commits_are_whole(spark, tmp_path):
+    """A version that was not committed is not read; a version is committed once."""
+    store = Snapshots(spark, str(tmp_path / "s"))
+    assert store.current() == 0 and store.read("nodes").count() == 0
+    rows = lambda n: {"nodes": schema.conform(spark.range(n).selectExpr("CAST(id AS STRING) AS id"), schema.NODES)}
+    assert store.write(rows(2)) == 1 and store.write(rows(3)) == 2
+    rows(9)["nodes"].write.parquet(f"{store.root}/v=3/nodes")  # a writer that stopped
+    assert store.current() == 2 and store.read("nodes").count() == 3
+    with pytest.raises(Exception, match="exist"):
+        store.commit(2)
 
 
 ROUTES = {

@@ -1,7 +1,7 @@
 from graphloom import schema
 from graphloom.functions import hashing
 from graphloom.ingest.rows import node_id
-from graphloom.operators import resolve, synthesis
+from graphloom.operators import expand, resolve, synthesis
 from tests import graphs
 
 from pyspark.sql import functions as F
@@ -100,3 +100,14 @@ def test_overrides(spark):
     assert got(("A.m", 1), ("B.m", 1), ("C.m", 1), ("C.n", 2)) == {("A.m", "B.m"), ("B.m", "C.m")}
     assert got(("A.m", 1), ("B.m", 2), ("C.m", 1), ("C.n", 2)) == {("A.m", "C.m"), ("B.m", "C.n")}
     assert got(("A.m", 1), ("B.m", 7), ("C.m", 5), ("C.n", 6)) == set()
+
+
+def test_deep_hierarchies(spark):
+    """Seventy types above one another: no level is left out."""
+    n = graphs.nodes(spark, *[(f"T{k:02}", "struct", f"T{k:02}", "a.go") for k in range(72)], ("T00.m", "method", "m", "a.go"), ("T71.m", "method", "m", "a.go"))
+    e = graphs.edges(spark, *[(f"T{k:02}", "extends", f"T{k + 1:02}") for k in range(71)], ("T00", "contains", "T00.m"), ("T71", "contains", "T71.m"))
+    arity = spark.createDataFrame([("T00.m", 1), ("T71.m", 1)], "method_id string, arity int")
+    assert [(r["source"], r["target"]) for r in synthesis.overrides(e, n, arity).collect()] == [("T00.m", "T71.m")]
+    up = e.filter("kind = 'extends'").selectExpr("source AS a", "target AS b")
+    found = expand.closure(spark.createDataFrame([("T00",)], "root string"), up)
+    assert found.count() == 71 and found.agg({"depth": "max"}).first()[0] == 71
