@@ -184,8 +184,8 @@ class Parser:
                 t = self.t[k]
                 if t.kind == "name" and t.value in self.d.types and self.is_name(k + 1) and self.value(k - 1) not in (".", "::", "new", "<", ",", "("):
                     k = self.type_declaration(k, stop, owner, type_name, todo)
-                elif t.value == "@" and self.is_name(k + 1) and self.value(k + 1) != "interface":
-                    _, k = self.dotted(k + 1)  # an annotation with its arguments is no declaration
+                elif t.kind == "name" and t.value[:1] == "@" and t.value != "@interface":
+                    _, k = self.dotted(k)  # an annotation with its arguments is no declaration
                     k = self.ends[k] + 1 if self.value(k) == "(" else k
                 elif t.kind == "name" and t.value == "impl" and self.d.language == "rust":
                     k = self.rust_impl(k, stop, todo)
