@@ -3,12 +3,12 @@
 Every word has binary features: affixes of one to four bytes, byte n-grams of two and three with word boundaries, and
 membership in a lexicon (the most frequent words of each language). Features are hashed into a table of weights a
 language; weights and the language transitions are learned together by gradient steps on the conditional likelihood,
-whose expectations come from forward-backward. Training sequences are windows of labelled texts, half of them spliced
-from two documents, so that transitions see switches. A text's words are labelled by forward-backward over the whole
+whose expectations come from forward-backward. Training sequences are the successive windows of labelled texts, half of
+them spliced from two documents, so that transitions see switches. A text's words are labelled by forward-backward over the whole
 text; the prediction is the language with the largest mean posterior, the score that mean.
 
-Training reads a sample (about PER_LANGUAGE rows of each language, fewer where that makes more than ROWS rows, but at
-least one; WINDOWS windows of WINDOW words each). No language is left out. ``lang`` is only a training label.
+Training reads a sample of rows (about PER_LANGUAGE of each language, fewer where that makes more than ROWS rows, but at
+least one), their texts whole, cut into windows of WINDOW words. No language is left out. ``lang`` is only a training label.
 
 Defined cases: null text, or one without a letter: ``und``, score 0; without training rows every row is ``und``; null
 lang is not learned from; null doc_id counts as held out from nothing and teaches nothing; repeated rows are predicted
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, text_bytes, written
 
-PER_LANGUAGE, ROWS, WINDOWS, WINDOW = 300, 19_200, 6, 48
+PER_LANGUAGE, ROWS, WINDOW = 120, 7_680, 48
 BUCKETS = 1 << 16
 EPOCHS, RATE, LEXICON = 15, 0.5, 500
 UNKNOWN = "und"
@@ -187,14 +187,14 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _windows(batches):
-    """Evenly spread windows of a text's words."""
+    """All windows of a text's words, one after another."""
     for batch in batches:
         ids, langs, out = [], [], []
         for key, lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True):
             found = words(text or b"")
             if not found:
                 continue
-            for at in sorted({int(x) for x in np.linspace(0, max(0, len(found) - WINDOW), WINDOWS)}):
+            for at in range(0, len(found), WINDOW):
                 ids.append(key)
                 langs.append(lang)
                 out.append(b" ".join(found[at : at + WINDOW]))
