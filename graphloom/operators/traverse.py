@@ -36,20 +36,94 @@ def method_owners(edges: DataFrame) -> DataFrame:
     return contains.groupBy(F.col("target").alias("method")).agg(last.alias("owner"))
 
 
-def dispatch_siblings(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """targets (id, name) -> (id, sibling): same-named methods of other types behind a shared interface."""
-    contains = edges.filter("kind = 'contains'").select(F.col("source").alias("impl"), F.col("target").alias("sibling"))
-    implements = edges.filter("kind = 'implements'").select(F.col("source").alias("type"), F.col("target").alias("iface"))
-    asked = targets.select("id", "name").join(
-        edges.filter("kind = 'contains'").select(F.col("target").alias("id"), F.col("source").alias("any_owner")), "id"
+def implementing(edges: DataFrame) -> DataFrame:
+    """type, ifaces: the interfaces that a type implements, sorted. A type names few of them."""
+    pairs = edges.filter("kind = 'implements'").select(F.col("source").alias("type"), F.col("target").alias("iface"))
+    return pairs.groupBy("type").agg(F.array_sort(F.collect_set("iface")).alias("ifaces"))
+
+
+def dispatched(named: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
+    """Members of implementing types among named (id, name): id, name, n, mine, theirs.
+
+    mine: (owner, ifaces) of the last owner in scan order, ifaces null where that implements nothing; n: how many implementing
+    types contain the member; theirs: (owner, ifaces) of the least of them, the only one where n is 1.
+    """
+    contains = edges.filter("kind = 'contains'").select(F.col("source").alias("owner"), F.col("target").alias("id"))
+    placed = contains.join(named.select("id", "name"), "id").join(types.withColumnRenamed("type", "owner"), "owner", "left")
+    pair = F.struct("owner", "ifaces")
+    per = placed.groupBy("id", "name").agg(
+        F.max_by(pair, F.struct(F.octet_length("owner"), "owner")).alias("mine"),
+        F.count("ifaces").alias("n"),
+        F.min_by(pair, F.when(F.col("ifaces").isNotNull(), F.col("owner"))).alias("theirs"),
     )
-    owner = asked.groupBy("id", "name").agg(F.max_by("any_owner", F.struct(F.octet_length("any_owner"), "any_owner")).alias("owner"))
-    ifaces = owner.join(implements, F.col("owner") == F.col("type")).select("id", "name", "owner", "iface").distinct()
-    impls = ifaces.join(implements.withColumnRenamed("type", "impl"), "iface").filter("impl <> owner").select("id", "name", "impl").distinct()
-    asked_names = impls.select("name").distinct()
-    named = nodes.join(asked_names, "name", "left_semi").select(F.col("id").alias("sibling"), "name")
-    of_name = contains.join(named, "sibling")  # only methods of an asked name meet the implementing types
-    return impls.join(of_name, ["impl", "name"]).filter("sibling <> id").select("id", "sibling").distinct()
+    return per.filter("n > 0")
+
+
+def _several(members: DataFrame, edges: DataFrame, types: DataFrame) -> DataFrame:
+    """(sibling, name, impl, theirs) of members that several implementing types contain; few."""
+    ids = members.filter("n > 1").select("id", "name")
+    contains = edges.filter("kind = 'contains'").select(F.col("source").alias("impl"), F.col("target").alias("id"))
+    of = types.select(F.col("type").alias("impl"), F.col("ifaces").alias("theirs"))
+    return contains.join(ids, "id").join(of, "impl").select(F.col("id").alias("sibling"), "name", "impl", "theirs")
+
+
+def _asked(targets: DataFrame, members: DataFrame) -> DataFrame:
+    """(id, name, owner, ifaces) of targets whose owner implements something."""
+    found = members.join(targets.select("id").distinct(), "id").filter("mine.ifaces is not null")
+    return found.select("id", "name", F.col("mine.owner").alias("owner"), F.col("mine.ifaces").alias("ifaces"))
+
+
+def _sharing(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows of left (name, ifaces) and right (name, theirs) that share an interface; a pair meets at the first shared one only."""
+    met = left.withColumn("iface", F.explode("ifaces")).join(right.withColumn("iface", F.explode("theirs")), ["iface", "name"])
+    first = F.col("iface") == F.array_min(F.array_intersect("ifaces", "theirs"))
+    return met.filter((F.size("ifaces") == 1) | (F.size("theirs") == 1) | first).drop("iface")
+
+
+def dispatch_siblings(targets: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """targets (id, name) -> (id, sibling): same-named methods of other types behind a shared interface.
+
+    One join on (interface, name). Pairs come out once without a shuffle of pairs; only members of several types are
+    made distinct.
+    """
+    types = implementing(edges)
+    named = nodes.join(targets.select("name").distinct(), "name", "left_semi")
+    members = dispatched(named, edges, types)
+    asked = _asked(targets, members)
+    one = members.filter("n = 1").select(F.col("id").alias("sibling"), "name", F.col("theirs.owner").alias("impl"), F.col("theirs.ifaces").alias("theirs"))
+    pairs = lambda of: _sharing(asked, of).filter("impl <> owner AND sibling <> id").select("id", "sibling")
+    return pairs(one).union(pairs(_several(members, edges, types)).distinct())
+
+
+class Looked:
+    """How many nodes of a frontier look at each node: the node itself and its siblings, counted without making the pairs.
+
+    Frontier methods are counted by (name, interfaces of the owner) and by (name, owner). A member of a type sees the sum
+    over the interface sets that meet its own, less those its own type holds. So the work of a level grows with methods and
+    with distinct interface sets of a name, not with pairs of siblings. Tables that all levels share are written once.
+    """
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame):
+        types = implementing(edges)
+        self.members = Written(dispatched(nodes, edges, types)).df
+        one = self.members.filter("n = 1")
+        self.one = one.select(F.col("id").alias("tid"), "name", F.col("theirs.owner").alias("impl"), F.col("theirs.ifaces").alias("theirs"))
+        shared = not self.members.filter("n > 1").isEmpty()
+        self.several = Written(_several(self.members, edges, types)).df if shared else None
+
+    def weights(self, front: DataFrame) -> DataFrame:
+        """front (id) -> tid, n."""
+        asked = Written(_asked(front, self.members)).df
+        sets = asked.groupBy("name", "ifaces").agg(F.count(F.lit(1)).alias("c"))
+        totals = _sharing(sets, self.one.select("name", "theirs").distinct()).groupBy("name", "theirs").agg(F.sum("c").alias("c"))
+        own = asked.groupBy("name", F.col("owner").alias("impl")).agg(F.count(F.lit(1)).alias("o"))
+        seen = self.one.join(totals, ["name", "theirs"]).join(own, ["name", "impl"], "left")
+        seen = seen.select("tid", (F.col("c") - F.coalesce("o", F.lit(0))).alias("n")).filter("n > 0")
+        every = front.select(F.col("id").alias("tid"), F.lit(1).cast("long").alias("n")).union(seen)
+        if self.several is not None:
+            many = _sharing(asked, self.several).filter("impl <> owner AND sibling <> id").select("id", "sibling").distinct()
+            every = every.union(many.select(F.col("sibling").alias("tid"), F.lit(1).cast("long").alias("n")))
+        return every.groupBy("tid").agg(F.sum("n").alias("n"))
 
 
 def callees(nodes: DataFrame, edges: DataFrame, symbol: str, limit: int | None = None) -> DataFrame:
@@ -76,34 +150,32 @@ def walk_callers(
     ``leaf``: a condition on file_path; nodes that meet it are reported but not expanded.
     """
     back = calls(edges).select(F.col("source").alias("caller"), F.col("target").alias("tid"))
-    front = Written(start.select("id", "name"))
-    kept = [front]
-    visited = front.df.select("id")
+    looker = Looked(nodes, edges)
+    front = Written(start.select("id", "name")).df
+    visited = front.select("id")
     reached: DataFrame | None = None
-    inspected = level = 0
+    counts: DataFrame | None = None
+    level = 0
     while level < depth:
         level += 1
-        own = front.df.select("id", F.col("id").alias("tid"))
-        targets = own.union(dispatch_siblings(front.df, nodes, edges).select("id", F.col("sibling").alias("tid")))
-        looked = targets.join(back, "tid").groupBy("caller").agg(F.count(F.lit(1)).alias("n"))
-        looked = Written(looked)
-        kept.append(looked)
-        inspected += looked.df.agg(F.sum("n")).first()[0] or 0
-        fresh = looked.df.select(F.col("caller").alias("id")).join(visited, "id", "left_anti")
-        visited = visited.union(fresh)
+        looked = looker.weights(front).join(back, "tid").groupBy("caller").agg(F.sum("n").alias("n"))
+        looked = Written(looked).df
+        counts = looked.select("n") if counts is None else counts.union(looked.select("n"))
+        fresh = looked.select(F.col("caller").alias("id")).join(visited, "id", "left_anti")
         here = fresh.join(nodes.select("id", "name", "file_path"), "id")
-        here = Written(here.withColumn("leaf", leaf(F.col("file_path")) if leaf else F.lit(False)))
-        kept.append(here)
-        found = here.df.select("id", F.lit(level).alias("level"), "leaf")
+        here = Written(here.withColumn("leaf", leaf(F.col("file_path")) if leaf else F.lit(False))).df
+        found = here.select("id", F.lit(level).alias("level"), "leaf")
         reached = found if reached is None else reached.union(found)
-        front = here
-        front.df = here.df.filter("not leaf").select("id", "name")
-        if front.df.isEmpty():
+        front = here.filter("not leaf").select("id", "name")
+        if front.isEmpty():
             break
         visited = start.select("id").union(reached.select("id"))
+        if level % 16 == 0:  # short plans on long chains
+            reached, counts = Written(reached).df, Written(counts.agg(F.sum("n").alias("n"))).df
     if reached is None:
         reached = start.select("id", F.lit(0).alias("level"), F.lit(False).alias("leaf")).limit(0)
-    return reached, inspected, level
+    inspected = counts.agg(F.sum("n")).first()[0] if counts is not None else 0
+    return reached, inspected or 0, level
 
 
 def impact(nodes: DataFrame, edges: DataFrame, symbol: str, depth: int | None = None) -> DataFrame:

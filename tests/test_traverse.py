@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 import pytest
 
 from graphloom.operators import expand, lookup, rank, traverse
@@ -28,6 +31,30 @@ def test_callers_include_dispatch_siblings(spark):
     assert [(r["id"], r["sibling"]) for r in pairs] == [("A.m", "B.m")]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_siblings_and_their_weights_against_brute_force(spark, seed):
+    """Types of several interfaces, members of several types, owners that implement nothing."""
+    rnd = random.Random(seed)
+    types, ifaces = [f"T{k}" for k in range(7)], ["I1", "I2", "I3"]
+    implements = {(t, i) for t in types[:6] for i in ifaces if rnd.random() < 0.5}
+    name = {f"m{k}": rnd.choice("xy") for k in range(14)}
+    contains = {(rnd.choice(types), m) for m in name} | {(rnd.choice(types), rnd.choice(list(name))) for _ in range(4)}
+    n = graphs.nodes(spark, *[(m, "method", x, "a.go") for m, x in name.items()])
+    e = graphs.edges(spark, *[(t, "implements", i) for t, i in implements], *[(t, "contains", m) for t, m in contains])
+    owner = {m: max((len(t), t) for t, x in contains if x == m)[1] for m in name}
+    of = lambda t: {i for x, i in implements if x == t}
+    want = {
+        (a, b) for a in name for t, b in contains
+        if a != b and name[a] == name[b] and t != owner[a] and of(t) & of(owner[a])
+    }
+    found = [(r["id"], r["sibling"]) for r in traverse.dispatch_siblings(n, n, e).collect()]
+    assert len(found) == len(set(found)) and set(found) == want
+    front = n.filter("id < 'm5'")
+    started = {r["id"] for r in front.select("id").collect()}
+    weights = {r["tid"]: r["n"] for r in traverse.Looked(n, e).weights(front).collect()}
+    assert weights == Counter(list(started) + [b for a, b in want if a in started])
+
+
 def test_dangling_edges_are_skipped(spark):
     n, e = graphs.chain(spark)
     e = e.union(graphs.edges(spark, ("gone", "calls", "helper"), ("helper", "calls", "lost")))
