@@ -10,17 +10,25 @@ from ..sources.shared import Written
 SUPER = ("embeds", "implements", "extends")
 
 
+def _no_rank():
+    return F.array().cast("array<struct<line:int,col:int,target:string>>")
+
+
+def _steps(edges: DataFrame) -> DataFrame:
+    """a, b, seq: direct supertypes, the first edge of each pair."""
+    seq = F.struct("line", "col", "target")
+    steps = edges.filter(F.col("kind").isin(*SUPER)).groupBy("source", "target").agg(F.min(seq).alias("seq"))
+    return steps.select(F.col("source").alias("a"), F.col("target").alias("b"), "seq")
+
+
 def supertypes(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """roots (type) -> type, super, rank: transitive supertypes; rank orders them as a breadth-first walk meets them.
 
     A walk takes edges of a type by (line, col, target); the rank of a supertype is the list of edge keys on its way,
     so ranks of one length compare as the walk's queue would.
     """
-    seq = F.struct("line", "col", "target")
-    steps = edges.filter(F.col("kind").isin(*SUPER)).groupBy("source", "target").agg(F.min(seq).alias("seq"))
-    steps = Written(steps.select(F.col("source").alias("a"), F.col("target").alias("b"), "seq")).df
-    none = F.array().cast("array<struct<line:int,col:int,target:string>>")
-    front = Written(roots.select("type", F.col("type").alias("super"), none.alias("rank")).distinct())
+    steps = Written(_steps(edges)).df
+    front = Written(roots.select("type", F.col("type").alias("super"), _no_rank().alias("rank")).distinct())
     found: DataFrame | None = None
     depth = 0
     while True:  # until no type meets another supertype, however deep the hierarchy is
@@ -80,16 +88,43 @@ def type_methods(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def overrides(edges: DataFrame, nodes: DataFrame, method_arity: DataFrame) -> DataFrame:
-    """Each method to the same-named method of equal arity in the first supertype that has one, lowest id."""
+    """Each method to the same-named method of equal arity in the first supertype that has one, lowest id.
+
+    Methods climb a level at a time and leave when they are matched, so pairs of all types and supertypes are never made;
+    a method whose name and arity only one type has does not climb at all.
+    """
     arity = method_arity.groupBy(F.col("method_id").alias("method")).agg(F.max("arity").alias("arity"))
     own = type_methods(edges, nodes).join(arity, "method", "left").withColumn("arity", F.coalesce("arity", F.lit(0)))
     own = Written(own).df
-    above = supertypes(edges, own.select("type").distinct())
-    theirs = own.select(F.col("type").alias("super"), "name", "arity", F.col("method").alias("over"))
-    met = own.join(above, "type").join(theirs, ["super", "name", "arity"])
-    order = F.struct(F.size("rank"), F.col("rank"), F.col("over"))
-    return met.groupBy(F.col("method").alias("source"), F.col("start_line").alias("line")).agg(F.min_by("over", order).alias("target")).select(
-        "source", "target", F.lit("overrides").alias("kind"), "line", F.lit(0).alias("col"),
+    steps = Written(_steps(edges)).df
+    shared = own.groupBy("name", "arity").agg(F.min("type").alias("x"), F.max("type").alias("y")).filter("x <> y")
+    theirs = own.groupBy(F.col("type").alias("super"), "name", "arity").agg(F.min("method").alias("over"))
+    front = own.join(shared.select("name", "arity"), ["name", "arity"], "left_semi")
+    front = front.select("method", "start_line", "type", "name", "arity", F.col("type").alias("super"), _no_rank().alias("rank"))
+    key = ["method", "type", "super"]
+    seen: DataFrame | None = None
+    found: DataFrame | None = None
+    depth = 0
+    while True:
+        up = front.join(steps, F.col("super") == F.col("a")).filter("b <> type")
+        up = up.groupBy("method", "start_line", "type", "name", "arity", F.col("b").alias("super")).agg(
+            F.min(F.concat("rank", F.array("seq"))).alias("rank")
+        )
+        if seen is not None:
+            up = up.join(seen, key, "left_anti")
+        level = Written(up.join(theirs, ["super", "name", "arity"], "left")).df
+        depth += 1
+        met = level.filter("over is not null").groupBy("method", "start_line").agg(F.min_by("over", F.struct("rank", "over")).alias("target"))
+        found = met if found is None else found.union(met)
+        seen = level.select(*key) if seen is None else seen.union(level.select(*key))
+        if level.isEmpty():
+            break
+        front = level.drop("over").join(level.filter("over is not null").select("method"), "method", "left_anti")
+        if depth % 8 == 0:  # short plans, and pairs of methods that still climb only
+            found, front = Written(found).df, Written(front).df
+            seen = Written(seen.join(front.select("method").distinct(), "method", "left_semi")).df
+    return found.select(
+        F.col("method").alias("source"), "target", F.lit("overrides").alias("kind"), F.col("start_line").alias("line"), F.lit(0).alias("col"),
         F.lit("heuristic").alias("provenance"), F.lit("structural-override").alias("by"),
     )
 
