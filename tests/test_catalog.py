@@ -2,7 +2,7 @@
 
 import pytest
 
-from graphloom.plans import catalog, fixtures  # noqa: F401  fixtures add their queries to the catalog
+from graphloom.plans import catalog, file_queries, fixtures  # noqa: F401  the last two add their queries to the catalog
 from tests.conftest import SF, same_as_sql
 
 
