@@ -1,6 +1,6 @@
 """Queries over the steps that score, drop, rescue, order and show files of an exploration, each with DuckDB SQL.
 
-Node scores and file scores are made from line numbers and counts, so that both engines sum the same eighths exactly.
+Node scores and file scores are made from line numbers and counts, so that both engines sum the same fractions of two exactly.
 Constants are written out in the SQL.
 """
 
@@ -14,18 +14,20 @@ from ..sources.shared import written
 from .catalog import graph, query
 from .fixtures import _values
 
-_FILES = """fs AS (SELECT file_path, sum((start_line % 13)::DOUBLE / 8) AS mass, count(*) AS n_nodes, count(*) % 4 AS hits,
-  (count(*) % 60)::DOUBLE AS score, file_path LIKE '%\\_test.go' ESCAPE '\\' AS low_value FROM nodes WHERE file_path <> '' GROUP BY file_path)"""
+_FILES = """fs AS (SELECT file_path, sum((start_line % 13)::DOUBLE / CASE WHEN length(file_path) % 5 = 0 THEN 8 ELSE 512 END) AS mass,
+  count(*) AS n_nodes, count(*) % 4 AS hits, (count(*) % 12 + CASE WHEN count(*) % 7 = 0 THEN 50 ELSE 0 END)::DOUBLE AS score, file_path LIKE '%\\_test.go' ESCAPE '\\' AS low_value FROM nodes WHERE file_path <> '' GROUP BY file_path)"""
 
 
 def _scores(nodes: DataFrame) -> DataFrame:
-    return nodes.select("id", ((F.col("start_line") % 13) / 8).alias("score"))
+    """Much for nodes of every fifth length of path, little for the others."""
+    share = F.when(F.length("file_path") % 5 == 0, 8).otherwise(512)
+    return nodes.select("id", ((F.col("start_line") % 13) / share).alias("score"))
 
 
 def _parts(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """score, mass, hits and n_nodes of every file."""
     n = written(nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_nodes")))
-    scores = n.select("file_path", (F.col("n_nodes") % 60).cast("double").alias("score"))
+    scores = n.select("file_path", (F.col("n_nodes") % 12 + F.when(F.col("n_nodes") % 7 == 0, 50).otherwise(0)).cast("double").alias("score"))
     return scores, scoring.file_mass(nodes, _scores(nodes)), n.select("file_path", (F.col("n_nodes") % 4).alias("hits")), n
 
 
