@@ -14,7 +14,10 @@ from .sources import discover
 from .sources.shared import written
 from .sources.snapshot import Snapshots, export, load, meta_row
 
-PASS1 = {"refs": "file", "imports": "file"}
+#: Tables of a version that a later sync starts from.
+KEPT = (
+    "nodes", "edges", "intra", "pass1_nodes", "routes", "sources", "refs", "imports", "iface_methods", "method_arity", "outcome", "context",
+)
 
 
 class CodeGraph:
@@ -64,7 +67,7 @@ class CodeGraph:
         tables = {k: written(v) for k, v in tables.items()}
         made = resolve.resolve(
             tables["nodes"], tables["edges"], tables["refs"], tables["imports"], tables["iface_methods"], tables["method_arity"],
-            written(files_table), module_path,
+            written(files_table), module_path, *((old["outcome"], old["stale"]) if old and "stale" in old else ()),
         )
         route_rows = part("routes")
         if old:
@@ -78,6 +81,7 @@ class CodeGraph:
             {
                 "nodes": nodes, "edges": edges, "files": made.files, "meta": meta_row(self.spark, nodes, edges),
                 "intra": tables["edges"], "pass1_nodes": tables["nodes"], "routes": route_rows, "sources": sources,
+                "outcome": made.outcome, "context": self.spark.createDataFrame([(module_path,)], "module_path string"),
                 **{k: tables[k] for k in ("refs", "imports", "iface_methods", "method_arity")},
             }
         )
@@ -89,7 +93,7 @@ class CodeGraph:
         return self.sync_sources(written(sources), discover.go_module(found), discover.manifest_text(found), discover.script_options(found))
 
     def sync_sources(self, sources: DataFrame, module_path: str = "", manifest: str = "", script: dict | None = None) -> DataFrame:
-        """Extracts added and modified files only, then resolves old and new rows together: the same as a full run."""
+        """Extracts added and modified files and looks up what depends on them: the same as a full run."""
         meta = self.table("meta") if self.version else None
         if sync.needs_full_run(meta):
             self.index_sources(sources, module_path, manifest, script)
@@ -103,7 +107,7 @@ class CodeGraph:
             fresh = self.files_table.join(stat, "path", "left").withColumns(
                 {"mtime_unix_ns": F.coalesce("_m", "mtime_unix_ns"), "size_bytes": F.coalesce("_s", "size_bytes")}
             )
-            kept = {k: self._read_any(k) for k in ("nodes", "edges", "intra", "pass1_nodes", "routes", "sources", "refs", "imports", "iface_methods", "method_arity")}
+            kept = {k: self._read_any(k) for k in KEPT if self.store.has(k, self.version)}
             self.version = self.store.write({**kept, "files": fresh.drop("_m", "_s"), "meta": meta_row(self.spark, kept["nodes"], kept["edges"])})
             return changed
         replaced = changed.filter("state IN ('modified', 'deleted', 'touched')").select("path")
@@ -123,6 +127,14 @@ class CodeGraph:
             "routes": keep(self._read_any("routes"), "file"),
             "sources": keep(self.table("sources"), "path"),
         }
+        if self.store.has("outcome", self.version) and self._read_any("context").first()["module_path"] == module_path:
+            keys = lambda df, modules: df.join(modules, "file_path").select("module_key", "name")
+            held = self._read_any("pass1_nodes").join(replaced.withColumnRenamed("path", "file_path"), "file_path", "left_semi")
+            held = keys(held, self.files_table.select(F.col("path").alias("file_path"), "module_key"))
+            holds = keys(extract.table(extracted, "nodes"), batch.select(F.col("path").alias("file_path"), "module_key"))
+            asked = resolve.lookups(old["refs"], old["imports"])
+            old["stale"] = written(sync.stale_files(asked, held.union(holds), changed))
+            old["outcome"] = self._read_any("outcome")
         self._build(batch.select(*sources.columns), extracted, module_path, old)
         return changed
 

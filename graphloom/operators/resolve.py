@@ -20,6 +20,14 @@ def symbol_index(nodes: DataFrame, modules: DataFrame) -> DataFrame:
     return named.groupBy("module_key", "name").agg(F.min("id").alias("target"), (F.countDistinct("id") - 1).alias("collisions"))
 
 
+def lookups(refs: DataFrame, imports: DataFrame) -> DataFrame:
+    """file, module_key, name: where references are looked up; those of aliases that are not imported are looked up nowhere."""
+    imported = imports.select("file", F.col("alias").alias("pkg_alias"), "target_module")
+    module = F.when(F.col("pkg_alias") == "", F.col("module_key")).otherwise(F.col("target_module"))
+    asked = refs.select("file", "pkg_alias", "module_key", "name").join(imported, ["file", "pkg_alias"], "left")
+    return asked.select("file", module.alias("module_key"), "name").filter("module_key is not null").distinct()
+
+
 def resolve_names(refs: DataFrame, imports: DataFrame, index: DataFrame) -> DataFrame:
     """refs with ``target`` (null: unresolved). Without an alias the own module is searched, else the imported one."""
     imported = imports.select("file", F.col("alias").alias("pkg_alias"), "target_module")
@@ -101,6 +109,7 @@ class Resolved:
     edges: DataFrame
     files: DataFrame
     unresolved: DataFrame
+    outcome: DataFrame
 
 
 def as_edges(rows: DataFrame) -> DataFrame:
@@ -111,17 +120,25 @@ def as_edges(rows: DataFrame) -> DataFrame:
 
 def resolve(
     nodes: DataFrame, intra: DataFrame, refs: DataFrame, imports: DataFrame, iface_methods: DataFrame, method_arity: DataFrame,
-    files: DataFrame, module_path: str,
+    files: DataFrame, module_path: str, known: DataFrame | None = None, stale: DataFrame | None = None,
 ) -> Resolved:
     """Nodes, collapsed edges, file rows with counts, and unresolved references of extracted tables.
 
     files: the files table plus module_key. Order of synthesis: declared and resolved edges, structural implements,
-    overrides, then the retry of calls through supertypes.
+    overrides, then the retry of calls through supertypes. ``known``: outcomes of an earlier version; with it only references
+    of ``stale`` files (file) are looked up, in an index of the names they ask for, and the others keep their outcome.
     """
     good = files.filter(F.size("errors") == 0).select(F.col("path").alias("file_path"), "module_key")
     every = nodes.unionByName(package_nodes(refs, module_path))
     kinds = nodes.select("id", "kind")
-    outcome = written(reference_edges(resolve_names(refs, imports, symbol_index(nodes, good)), kinds, module_path))
+    asking, through, named = refs, imports, nodes
+    if known is not None:
+        asking, through = written(refs.join(stale, "file", "left_semi")), imports.join(stale, "file", "left_semi")
+        named = nodes.join(asking.select("name").distinct(), "name", "left_semi")
+    outcome = reference_edges(resolve_names(asking, through, symbol_index(named, good)), kinds, module_path)
+    if known is not None:
+        outcome = known.join(stale, "file", "left_anti").select(*outcome.columns).unionByName(outcome)
+    outcome = written(outcome)
     direct = as_edges(outcome.filter("state = 'edge'"))
     base = written(intra.unionByName(direct))
     implements = synthesis.structural_implements(base, nodes, iface_methods, method_arity)
@@ -133,7 +150,7 @@ def resolve(
         retried.filter("target is null").select("file", "from_id", "name", "kind")
     )
     counted = count_per_file(files, nodes, intra, outcome.filter("state = 'edge'").select("file").union(retried.filter("target is not null").select("file")))
-    return Resolved(every.dropDuplicates(["id"]), edges, counted, left)
+    return Resolved(every.dropDuplicates(["id"]), edges, counted, left, outcome)
 
 
 def count_per_file(files: DataFrame, nodes: DataFrame, intra: DataFrame, resolved: DataFrame) -> DataFrame:

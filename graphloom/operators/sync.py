@@ -1,7 +1,8 @@
 """Incremental maintenance: what changed on disk, what goes, who depends on it.
 
-Extraction, the costly step, runs for changed files only; references are then resolved over old and new rows together,
-so that syncing gives what a full run gives. Counters are counted again, not adjusted.
+Extraction runs for changed files only. References are looked up anew for changed files and for files that look up a name
+which changed files declare or declared; all others keep their outcome. Synthesis runs over everything, since one method
+can complete a type elsewhere. So syncing gives what a full run gives. Counters are counted again, not adjusted.
 """
 
 from __future__ import annotations
@@ -64,3 +65,12 @@ def replace_rows(old: DataFrame, new: DataFrame, column: str, replaced: DataFram
     """old without the rows of replaced files (path), plus new."""
     kept = old.join(replaced.select(F.col("path").alias(column)), column, "left_anti").select(*old.columns)
     return kept.unionByName(new.select(*old.columns))
+
+
+def stale_files(asked: DataFrame, declared: DataFrame, changed: DataFrame) -> DataFrame:
+    """Files (file) whose references must be looked up anew: changed ones and those that ask for a declared name.
+
+    asked: (file, module_key, name) of references; declared: (module_key, name) that changed files hold now or held before.
+    """
+    names = declared.select("module_key", "name").distinct()
+    return asked.join(names, ["module_key", "name"], "left_semi").select("file").union(changed.select(F.col("path").alias("file"))).distinct()

@@ -60,6 +60,10 @@ class Snapshots:
         df = self.spark.read.parquet(f"{self.root}/v={version}/{name}")
         return df.select(*TABLES[name].names, *[c for c in df.columns if c not in TABLES[name].names])
 
+    def has(self, name: str, version: int) -> bool:
+        path, fs = self._path(f"v={version}/{name}")
+        return fs.exists(path)
+
     def size_bytes(self) -> int:
         path, fs = self._path("")
         return fs.getContentSummary(path).getLength() if fs.exists(path) else 0

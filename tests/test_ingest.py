@@ -6,6 +6,7 @@ import pytest
 from graphloom import schema
 from graphloom.api import CodeGraph
 from graphloom.ingest import extract, routes
+from graphloom.operators import resolve, sync
 from graphloom.sources import discover
 from graphloom.sources.snapshot import Snapshots, load
 
@@ -93,6 +94,40 @@ def test_sync_equals_a_full_run(spark, tree, tmp_path):
         assert sorted(map(str, g.table(table).select(columns).collect())) == sorted(map(str, full.table(table).select(columns).collect()))
 
 
+def test_sync_looks_up_only_what_depends_on_a_change(spark, tmp_path):
+    """A declaration that moves, goes and comes back reaches files that did not change; others keep their outcome."""
+    root = str(tmp_path / "src")
+    go = lambda package, body: f"package {package}\n\n{body}\n"
+    write(root, {
+        "go.mod": "module example.org/s\n", "a/x.go": go("a", "func Help() {}"), "a/y.go": go("a", "func Use() { Help() }"),
+        "b/z.go": go("b", 'import "example.org/s/a"\n\nfunc Far() { a.Help() }'), "c/w.go": go("c", "func Alone() { Other() }\nfunc Other() {}"),
+    })
+    g = CodeGraph(spark, str(tmp_path / "a"))
+    g.index(root)
+
+    def check(n: int) -> None:
+        full = CodeGraph(spark, str(tmp_path / f"full{n}"))
+        full.index(root)
+        for table in ("nodes", "edges", "files"):
+            columns = [c for c in full.table(table).columns if c not in ("metadata", "mtime_unix_ns")]
+            assert sorted(map(str, g.table(table).select(columns).collect())) == sorted(map(str, full.table(table).select(columns).collect()))
+
+    calls = lambda: {(r["source"], r["target"]) for r in g.edges.filter("kind = 'calls'").collect()}
+    assert len(calls()) == 3
+    write(root, {"a/x.go": go("a", "func Helped() {}")})
+    g.sync(root)
+    assert len(calls()) == 1
+    check(1)
+    write(root, {"a/x2.go": go("a", "func Help() {}")})
+    g.sync(root)
+    assert len(calls()) == 3
+    check(2)
+    declared = spark.createDataFrame([("example.org/s/a", "Help")], "module_key string, name string")
+    changed = spark.createDataFrame([("a/x2.go",)], "path string")
+    asked = resolve.lookups(g.table("refs"), g.table("imports"))
+    assert {r[0] for r in sync.stale_files(asked, declared, changed).collect()} == {"a/x2.go", "a/y.go", "b/z.go"}
+
+
 def test_export_and_import(spark, graph, tmp_path):
     graph.export(str(tmp_path / "x"))
     back = load(spark, str(tmp_path / "x"))
