@@ -653,6 +653,45 @@ def retried_calls(spark, sf_dir) -> DataFrame:
 
 # ---- sync -----------------------------------------------------------------------------------------------------------
 
+
+def sync_stale(spark, sf_dir) -> DataFrame:
+    """Files whose references are looked up anew when one file changes."""
+    nodes, _ = graph(spark, sf_dir)
+    refs, imports = _pass1(spark, sf_dir)
+    changed = spark.createDataFrame([("europe/nation_3/high.go",)], "path string")
+    declared = nodes.filter("file_path = 'europe/nation_3/high.go'").join(_modules(nodes), "file_path")
+    return sync.stale_files(resolve.lookups(refs, imports), declared, changed)
+
+
+QUERIES["sync_stale"] = sync_stale
+ORACLES["sync_stale"] = _refs_oracle(f"""d AS (SELECT DISTINCT name, {_MODULE.format('file_path')} AS module_key FROM nodes WHERE file_path = 'europe/nation_3/high.go'
+), l AS (SELECT r.file, r.name, CASE WHEN r.pkg_alias = '' THEN r.module_key ELSE i.target_module END AS module_key
+  FROM refs r LEFT JOIN imports i ON i.file = r.file AND i.alias = r.pkg_alias)
+SELECT file FROM l JOIN d USING (module_key, name) UNION SELECT 'europe/nation_3/high.go'""")
+
+
+def sync_resolved(spark, sf_dir) -> DataFrame:
+    """Outcomes after a change: those of stale files are looked up anew, in an index without the names of one file, the others are kept."""
+    nodes, _ = graph(spark, sf_dir)
+    refs, imports = _pass1(spark, sf_dir)
+    gone = "europe/nation_3/high.go"
+    stale = written(sync_stale(spark, sf_dir))
+    left = nodes.filter(F.col("file_path") != gone)
+    old = resolve.resolve_names(refs, imports, resolve.symbol_index(nodes, _modules(nodes)))
+    some = refs.join(stale, "file", "left_semi")
+    named = left.join(some.select("name").distinct(), "name", "left_semi")
+    new = resolve.resolve_names(some, imports.join(stale, "file", "left_semi"), resolve.symbol_index(named, _modules(nodes)))
+    kept = old.join(stale, "file", "left_anti").select(*new.columns)
+    return kept.unionByName(new).select("from_id", "name", "pkg_alias", "kind", "line", "target")
+
+
+QUERIES["sync_resolved"] = sync_resolved
+ORACLES["sync_resolved"] = _refs_oracle(
+    _RESOLVED.replace("WHERE kind <> 'file'", "WHERE kind <> 'file' AND file_path <> 'europe/nation_3/high.go'")
+    + " SELECT from_id, name, pkg_alias, kind, line, target FROM res"
+)
+
+
 _STORED = "stored AS (SELECT path, sha256(path) AS h, length(path) AS m, 1 AS s FROM (SELECT DISTINCT file_path AS path FROM nodes) WHERE length(path) % 7 <> 0)"
 _DISK = "disk AS (SELECT path, sha256(path || CASE WHEN length(path) % 5 = 0 THEN 'x' ELSE '' END) AS h, length(path) + (length(path) % 5 <= 1)::INT AS m, 1 AS s FROM (SELECT DISTINCT file_path AS path FROM nodes) WHERE length(path) % 11 <> 0)"
 _CHANGES = f"""{_STORED}, {_DISK}, changes AS (SELECT coalesce(d.path, o.path) AS path, CASE WHEN o.path IS NULL THEN 'added' WHEN d.path IS NULL THEN 'deleted'
