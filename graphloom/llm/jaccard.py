@@ -9,10 +9,11 @@
 3. A document's prefix holds its rarest shingles in the order (frequency, hash); those of one holder can meet nobody
    and are only counted. Prefix postings meet by shingle. Length, positional and suffix filters (the Hamming bound over
    the 16 cells) run where they meet. Shingles of up to SMALL holders give their pairs at once: such a bucket cannot be
-   larger. Those of commoner ones first try only a star around one class; buckets that components then already connect
-   are dropped, and the remaining pairs between components are tried in blocks: the likeliest pairs of each row, then
-   all that are left. No pair that could link components is left out, and none is verified twice in a step. With
-   ``links`` the blocks give all pairs at once.
+   larger. Those of commoner ones first try only a star around the class with the fewest unmatched shingles for its
+   size; buckets that components then already connect are dropped, and the remaining pairs between components are tried
+   in blocks: the likeliest pairs of each row, then all that are left. Rows are in order of the unmatched shingles before
+   the shared one, so that only blocks meet whose sums leave room for a link. No pair that could link components is left
+   out, and none is verified twice in a step. With ``links`` the blocks give all pairs at once.
 4. Pairs pass a finer Hamming bound first (at least 128 cells, about one for eight shingles); texts are fetched through a
    filter of at most DOC_BUCKETS hashed ids, so that few of the others move. Verification compares whole sets: the
    texts of one side meet the other side's text once per block of partners, by hashes and then by words.
@@ -35,7 +36,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Written, exact_shingles, mix, shingles_of, slices, text_bytes
@@ -570,16 +571,46 @@ def _labelled(large: DataFrame, roots: DataFrame | None) -> DataFrame:
     return large.join(roots, F.col("a") == F.col("node"), "left").select(*large.columns, F.coalesce("root", "a").alias("comp"))
 
 
-def _open_rows(large: DataFrame, roots: DataFrame | None, classes: DataFrame) -> DataFrame:
-    """Postings of buckets that hold several components, dealt in blocks (h, x, y) of at most two times BLOCK rows."""
-    labelled = _labelled(large, roots)
-    mixed = labelled.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("m"))
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+def _excess(num: int, den: int) -> Column:
+    """A posting's excess: two whose excesses add up to more than 0 cannot link.
+
+    At the first shingle that a pair shares, all before it are unmatched on either side, and a linked pair has at most
+    (na + nb) * (den - num) / (num + den) unmatched ones. The positional filter says as much and more.
+    """
+    return (num + den) * F.col("pos").cast("long") - (den - num) * F.col("n")
+
+
+def _open_rows(large: DataFrame, roots: DataFrame | None, classes: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings that may meet one of another component, dealt in blocks (h, x, y) of about two times BLOCK rows at most.
+
+    Rows of a bucket's largest component stand last, both parts rise by ``e``, the excess. A row stays, and two blocks
+    meet, only where rows of two components may link by ``e``; every such pair meets in one block of the bucket.
+    """
+    labelled = _labelled(large, roots).withColumn("e", _excess(num, den))
+    comps = labelled.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("e").alias("e"))
+    most = comps.groupBy("h").agg(F.max(F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("k")).filter("k > 1")
+    other = F.when(F.col("comp") != F.col("most.comp"), F.col("e"))
+    mixed = comps.join(most, "h").groupBy("h").agg(F.max("most.comp").alias("most"), F.min("e").alias("least"), F.min(other).alias("apart"))
+    inside = F.col("comp") == F.col("most")
+    rows = labelled.join(mixed.filter("least + apart <= 0"), "h").withColumn("inside", inside.cast("int"))
+    rows = rows.filter(F.col("e") + F.when(inside, F.col("apart")).otherwise(F.col("least")) <= 0).drop("most", "least", "apart")
+    level = F.signum("e") * F.floor(4 * F.log2(1 + F.abs("e") / (num + den)))  # some hundreds at most, whatever the sizes
+    rows = Written(rows.withColumn("level", level.cast("int"))).df
+    bucket = Window.partitionBy("h")
+    before = F.sum("c").over(bucket.orderBy("inside", "level").rowsBetween(Window.unboundedPreceding, -1))
+    levels = rows.groupBy("h", "inside", "level").agg(F.count(F.lit(1)).alias("c"), F.min("e").alias("least"))
+    levels = levels.withColumns({"m": F.sum("c").over(bucket), "before": F.coalesce(before, F.lit(0))})
+    place = lambda rank: F.expr(f"int(({rank}) * ceil(m / {BLOCK}) div m)")
+    blocks = levels.withColumn("own", F.explode(F.sequence(place("before"), place("before + c - 1"))))
+    blocks = blocks.groupBy("h", "own").agg(F.min("least").alias("least"), F.min(F.expr("if(inside = 0, least, null)")).alias("apart"))
+    every = blocks.groupBy("h").agg(F.collect_list(F.struct("own", "least", "apart")).alias("every"))
+    meets = blocks.join(every, "h").selectExpr("h", "own", "filter(every, o -> apart + o.least <= 0 or least + o.apart <= 0).own as others")
     rows = (
-        labelled.join(mixed.filter("lo <> hi").select("h", "m"), "h")
+        rows.join(levels.select("h", "inside", "level", "c", "m", "before"), ["h", "inside", "level"])
+        .withColumn("own", place("before + pmod(xxhash64(a), c)"))
+        .join(meets, ["h", "own"])
         .join(classes.select(F.col("cid").alias("a"), "fine"), "a")
-        .withColumn("own", F.pmod(F.xxhash64("a"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("other", F.explode("others"))
         .withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
         .select("h", "pos", F.col("a").alias("cid"), "n", "c1", "c2", "comp", "x", "y", "own", "fine")
     )
@@ -612,17 +643,17 @@ def near_duplicates(
     found = Written(dealt.mapInArrow(_small_buckets(num, den), "a long, b long").distinct()).df
     large = postings.df.filter("common").select("h", "pos", F.col("cid").alias("a"), "n", "c1", "c2")
     if all_links:
-        blocks = _open_rows(large, None, ids).mapInArrow(_block_pairs(num, den, False), "a long, b long")
+        blocks = _open_rows(large, None, ids, num, den).mapInArrow(_block_pairs(num, den, False), "a long, b long")
         links = _links(_fine_pairs(found, ids, num, den).union(blocks), ids, docs, width, num, den, near=True)
         return _grouped_rows(profiles.df, ids, links, True)
-    row = F.struct("a", "n", "pos", "c1", "c2")
-    centre = large.groupBy("h").agg(F.min(row).alias("z"), F.max("a").alias("last")).filter("z.a <> last")
+    row = F.struct(_excess(num, den).alias("e"), "a", "n", "pos", "c1", "c2")
+    centre = large.groupBy("h").agg(F.min(row).alias("z"), F.count(F.lit(1)).alias("m")).filter("m > 1")
     names = {"a": "z", "n": "zn", "pos": "zpos", "c1": "z1", "c2": "z2"}
     centre = centre.select("h", *[F.col(f"z.{x}").alias(y) for x, y in names.items()])
     star = large.join(centre, "h").filter("a <> z").mapInArrow(_star_pairs(num, den), "a long, b long")
     links = _links(star.union(found), ids, docs, width, num, den, near=False)
     for turn in range(LIKELY + 1):  # the likeliest pairs of what is apart, then all pairs that are left
-        open_ = _open_rows(large, components(links), ids)
+        open_ = _open_rows(large, components(links), ids, num, den)
         between = open_.mapInArrow(_block_pairs(num, den, turn < LIKELY), "a long, b long")
         links = links.union(_links(between, ids, docs, width, num, den, near=True))
     return _grouped_rows(profiles.df, ids, links, False)

@@ -173,6 +173,26 @@ def test_number_of_links(spark, monkeypatch, small, block):
     assert sorted(tuple(r)[:3] for r in got) == sorted(brute_components(texts, 3, 80, 100))
 
 
+def test_rows_dealt_for_near_copies_that_do_not_link(spark, monkeypatch):
+    """Rows of a hot bucket go only to blocks that they may link with: some rows a posting, not one for every block."""
+    monkeypatch.setattr(jaccard, "SMALL", 4)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    whole, dealt = jaccard._open_rows, []
+
+    def counted(large, *more):
+        out = whole(large, *more)
+        dealt.append((large.count(), out.count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "_open_rows", counted)
+    texts = list(enumerate(variants(np.random.default_rng(5), 480, 6)))
+    got = jaccard.near_duplicates(docs(spark, texts), width=5, num=80, den=100).collect()
+    want = brute_components(texts, 5, 80, 100)
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert 100 < len({r[2] for r in want}) < 400  # many stay apart
+    assert len(dealt) == 2 and sum(n for _, n in dealt) < 4 * dealt[0][0]
+
+
 def test_near_duplicates_of_odd_rows(spark):
     got = [tuple(r) for r in jaccard.near_duplicates(docs(spark, ODD)).collect()]
     assert len(got) == len(ODD)
