@@ -1,16 +1,19 @@
 """A code graph made from the relational test tables, in SQL that Spark and DuckDB both read.
 
 Nations and order priorities are files, customers are structs, nation and market segment pairs (and regions) are
-interfaces, orders are methods, suppliers functions, parts constants.
+interfaces, orders are methods, suppliers functions, parts constants. Spark makes the same rows with column expressions:
+orders are joined once, and the number of tasks follows the number of rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import schema
-from .shared import written
+from .shared import tasks_of, written
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
@@ -96,17 +99,105 @@ def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     return _KEPT[key]
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row a nation."""
+    place = F.concat(F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))), F.lit("/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
+    met = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
+    return F.broadcast(met.select("n_nationkey", place.alias("dir"), "n_name", "r_name"))
+
+
+def _cust(spark: SparkSession, sf_dir: str) -> DataFrame:
+    met = table(spark, sf_dir, "customer").join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    return met.select("c_custkey", "c_name", "c_mktsegment", "dir", "n_name", "r_name")
+
+
+def ords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``ord`` of the SQL: orders with their customer, place and next order. Nodes, edges and references read it."""
+
+    def build():
+        orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", F.expr(_PRIORITY).alias("prio"))
+        n = tasks_of(orders)
+        met = orders.repartition(n, "o_custkey").join(
+            _cust(spark, sf_dir).repartition(n, "c_custkey").hint("shuffle_hash"), F.col("o_custkey") == F.col("c_custkey")
+        )
+        following = F.lead("o_orderkey").over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey"))
+        path = F.concat("dir", F.lit("/"), "prio", F.lit(".go"))
+        return met.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "dir", "prio", path.alias("path"), following.alias("next_order"))
+
+    return _kept(spark, sf_dir, "ords", build)
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nodes`` of the SQL."""
+
     def build():
-        found = _select(spark, sf_dir, "nodes").withColumn("language", F.lit("go")).withColumn("visibility", F.lit("public"))
-        return schema.conform(found, schema.NODES)
+        cust, geo, ord = _cust(spark, sf_dir), _geo(spark, sf_dir), ords(spark, sf_dir)
+        region, part = table(spark, sf_dir, "region"), table(spark, sf_dir, "part")
+        supplier = table(spark, sf_dir, "supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
+        lines = lambda key, most, more: (f"CAST({key} % {most} AS INT)", f"CAST({key} % {most} + {key} % {more} AS INT)")
+        parts = "'parts/' || lower(replace(p_brand, '#', '_')) || '.go'"
+        c, s, o = lines("c_custkey", 500, 23), lines("s_suppkey", 90, 17), lines("o_orderkey", 1000, 37)
+        names = ("id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line")
+        rows = lambda df, *sql: df.selectExpr(*(f"{x} AS {n}" for x, n in zip(sql, names, strict=True)))
+        found = [
+            rows(cust.select("n_name", "c_mktsegment", "dir").distinct(), "'interface:' || n_name || ':' || c_mktsegment", "'interface'", "c_mktsegment",
+                 "n_name || '.' || c_mktsegment", "dir || '/urgent.go'", "1", "9"),
+            rows(region, "'interface:' || r_name", "'interface'", "r_name", "r_name", "lower(replace(r_name, ' ', '_')) || '/region.go'", "1", "5"),
+            rows(cust, "'struct:' || CAST(c_custkey AS STRING)", "'struct'", "c_name", "n_name || '.' || c_name", "dir || '/urgent.go'", f"{c[0]} + 10", f"{c[1]} + 10"),
+            rows(supplier, "'function:' || CAST(s_suppkey AS STRING)", "'function'", "s_name", "'supply.' || s_name", "dir || '/high.go'", f"{s[0]} + 1", f"{s[1]} + 1"),
+            rows(part, "'constant:' || CAST(p_partkey AS STRING)", "'constant'", "p_name", "p_brand || '.' || p_name", parts,
+                 "CAST(p_partkey % 900 AS INT) + 1", "CAST(p_partkey % 900 AS INT) + 1"),
+            rows(ord, "'method:' || CAST(o_orderkey AS STRING)", "'method'", "prio", "c_name || '.' || prio", "path", f"{o[0]} + 1", f"{o[1]} + 1"),
+        ]
+        every = reduce(DataFrame.union, found)
+        files = reduce(DataFrame.union, (x.select("file_path") for x in found)).distinct()
+        last = "substr(file_path, length(regexp_replace(file_path, '[^/]*$', '')) + 1)"
+        every = every.union(rows(files, "'file:' || file_path", "'file'", last, "file_path", "file_path", "1", "1"))
+        return schema.conform(every.withColumn("language", F.lit("go")).withColumn("visibility", F.lit("public")), schema.NODES)
 
     return _kept(spark, sf_dir, "nodes", build)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``edges`` of the SQL: made and collapsed on keys as numbers, dealt once by the order. No two branches share a key."""
+
     def build():
-        return schema.conform(_select(spark, sf_dir, "edges").withColumn("provenance", F.lit("ast")), schema.EDGES)
+        cust, geo, ord = _cust(spark, sf_dir), _geo(spark, sf_dir), ords(spark, sf_dir)
+        item, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
+        placed = supplier.join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "dir").distinct()
+        names = ("source", "target", "kind", "line")
+        rows = lambda df, *sql: df.selectExpr(*(f"{x} AS {n}" for x, n in zip(sql, names, strict=True)))
+        text = lambda kind, key: f"'{kind}:' || CAST({key} AS STRING)"
+
+        n = tasks_of(item)
+        lines = item.select("l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_returnflag").repartition(n, "l_orderkey")
+        lines = lines.join(ord.select("o_orderkey").repartition(n, "o_orderkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"), "left_semi")
+        both = "CASE WHEN l_returnflag = 'R' THEN array(struct(true AS call, l_suppkey AS t), struct(false AS call, l_partkey AS t)) ELSE array(struct(true AS call, l_suppkey AS t)) END"
+        lines = lines.selectExpr("l_orderkey", "l_linenumber", f"inline({both})").groupBy("l_orderkey", "call", "t").agg(F.min("l_linenumber").alias("line"))
+        target = "CASE WHEN call THEN 'function:' ELSE 'constant:' END || CAST(t AS STRING)"
+
+        orders = ord.select("o_orderkey", "o_custkey", "next_order").repartition(tasks_of(ord), "o_orderkey")
+        pairs = "CASE WHEN next_order IS NULL THEN array(struct(false AS call, o_custkey AS t)) ELSE array(struct(false AS call, o_custkey AS t), struct(true AS call, next_order AS t)) END"
+        orders = orders.selectExpr("o_orderkey", f"inline({pairs})").distinct()
+        method, other = text("method", "o_orderkey"), text("struct", "t")
+
+        least = item.groupBy("l_suppkey").agg(F.min("l_partkey").alias("p")).join(placed.select("s_suppkey").distinct(), F.col("l_suppkey") == F.col("s_suppkey"))
+        owned = cust.select("c_custkey", "dir", "n_name", "c_mktsegment").distinct()
+        found = [
+            rows(lines, text("method", "l_orderkey"), target, "CASE WHEN call THEN 'calls' ELSE 'references' END", "line"),
+            rows(orders, f"CASE WHEN call THEN {method} ELSE {other} END", f"CASE WHEN call THEN {text('method', 't')} ELSE {method} END",
+                 "CASE WHEN call THEN 'calls' ELSE 'contains' END", "CASE WHEN call THEN 99 ELSE 1 END"),
+            rows(placed.select("s_suppkey", "n_name").distinct(), text("function", "s_suppkey"), "'interface:' || n_name || ':BUILDING'", "'type_of'", "1"),
+            rows(least, text("function", "l_suppkey"), text("constant", "p"), "'returns'", "2"),
+            rows(owned.select("dir", "c_custkey").distinct(), "'file:' || dir || '/urgent.go'", text("struct", "c_custkey"), "'contains'", "1"),
+            rows(owned.select("c_custkey", "n_name", "c_mktsegment").distinct(), text("struct", "c_custkey"), "'interface:' || n_name || ':' || c_mktsegment", "'implements'", "1"),
+            rows(cust.select("n_name", "c_mktsegment", "r_name").distinct(), "'interface:' || n_name || ':' || c_mktsegment", "'interface:' || r_name", "'extends'", "1"),
+        ]
+        return schema.conform(reduce(DataFrame.union, found).withColumn("provenance", F.lit("ast")), schema.EDGES)
 
     return _kept(spark, sf_dir, "edges", build)
 

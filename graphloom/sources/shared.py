@@ -8,6 +8,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Rows that a task takes where tables are dealt by key: its memory stays the same on larger tables.
+TASK_ROWS, LEAST_ROWS = 250_000, 25_000
+
 _WRITTEN: list[tuple[SparkSession, str]] = []
 
 
@@ -53,3 +56,9 @@ class Written:
 
 def written(df: DataFrame) -> DataFrame:
     return Written(df).df
+
+
+def tasks_of(df: DataFrame, rows: int = TASK_ROWS) -> int:
+    """Tasks for a stored table, by its number of rows (read from the footers); small tables keep the session's number at most."""
+    n, most = df.select().count(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, -(-n // rows), min(most, -(-n // LEAST_ROWS)))
