@@ -28,3 +28,17 @@ def test_the_projection_is_that_of_the_sql_and_deals_by_its_rows(spark):
     assert shared.tasks_of(spark.range(1000), rows=10) == 100 and shared.tasks_of(spark.range(0)) == 1
 
 
+def test_bursts_of_a_table_are_session_windows_without_a_task_a_key(spark):
+    rnd = random.Random(1)
+    rows = [("k", t) for t in (0, 2_000_000, 3_999_999, 5_999_998)] + [("j", 0), ("j", 2_000_001)]
+    rows += [(rnd.choice(["a", None, "b"]), rnd.randrange(-9_000_000_000, 9_000_000_000)) for _ in range(3000)]
+    rows += [("c", k * 1_000_000 + rnd.randrange(5)) for k in range(5000)]  # one burst over several blocks
+    made = [(k, str(t % 7) if t % 5 else None, t) for k, t in rows]
+    df = spark.createDataFrame(made, "key string, path string, us long").select("key", "path", F.timestamp_micros("us").alias("ts"))
+    window = F.session_window("ts", "2 seconds").alias("b")
+    want = df.groupBy("key", window).agg(F.sort_array(F.collect_set("path")).alias("paths"), F.count(F.lit(1)).alias("n_events"))
+    got = watch.debounce(df, "2 seconds", ["key"])
+    assert same(got, want.select("key", F.col("b.start").alias("started"), F.col("b.end").alias("ended"), "paths", "n_events"))
+    assert not {x for x in named(ran(got)[1]) if "Session" in x}
+
+
