@@ -616,7 +616,7 @@ def structural_implements(spark, sf_dir) -> DataFrame:
     spec = nodes.filter("kind = 'interface'").select(F.col("id").alias("iface_id")).crossJoin(F.broadcast(names))  # five names
     spec = spec.filter((F.length("iface_id") + F.length("name")) % 3 == 0).withColumn("arity", F.lit(0))
     arity = nodes.filter("kind = 'method'").select(F.col("id").alias("method_id"), F.lit(0).alias("arity"))
-    return synthesis.structural_implements(written(edges), written(nodes), spec, arity).select("source", "target")
+    return synthesis.structural_implements(edges, nodes, spec, arity).select("source", "target")
 
 
 _KIN = """kin AS (SELECT 'struct:' || c_custkey AS a, 'struct:' || (c_custkey // 2) AS b FROM customer WHERE c_custkey // 2 <> c_custkey AND c_custkey // 2 > 0)"""
@@ -629,7 +629,7 @@ def _kin(spark, sf_dir):
     kin = c.filter("h <> k AND h > 0").select(F.concat(F.lit("struct:"), "k").alias("source"), F.concat(F.lit("struct:"), "h").alias("target"))
     kin = kin.withColumns({"kind": F.lit("extends"), "line": F.lit(1), "col": F.lit(0)})
     contains = edges.filter("kind = 'contains' AND source LIKE 'struct:%'").select("source", "target", "kind", "line", "col")
-    return written(nodes), written(kin.unionByName(contains))
+    return nodes, written(kin.unionByName(contains))
 
 
 @query(f"""WITH RECURSIVE {_KIN}, up AS (SELECT a AS type, b AS super, 1 AS depth FROM kin UNION ALL SELECT type, b, depth + 1 FROM up JOIN kin ON super = a

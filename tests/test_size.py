@@ -42,3 +42,17 @@ def test_bursts_of_a_table_are_session_windows_without_a_task_a_key(spark):
     assert not {x for x in named(ran(got)[1]) if "Session" in x}
 
 
+def test_structs_and_interfaces_meet_without_dealing_their_pairs(spark):
+    structs, ifaces = [f"S{k}" for k in range(60)], [f"I{k}" for k in range(40)]
+    n = graphs.nodes(
+        spark, *[(s, "struct", s, "f") for s in structs], *[(i, "interface", i, "f") for i in ifaces],
+        *[(f"{s}.{m}", "method", m, "f") for s in structs for m in "ab"],
+    )
+    e = graphs.edges(spark, *[(s, "contains", f"{s}.{m}") for s in structs for m in "ab"])
+    spec = spark.createDataFrame([(i, m, 0) for i in ifaces for m in "ab"], "iface_id string, name string, arity int")
+    arity = spark.createDataFrame([(f"{s}.{m}", 0) for s in structs for m in "ab"], "method_id string, arity int")
+    rows, operators = ran(synthesis.structural_implements(e, n, spec, arity))
+    assert {(r["source"], r["target"]) for r in rows} == {(s, i) for s in structs for i in ifaces} and len(rows) == 2400
+    assert dealt(operators) < 300
+
+
