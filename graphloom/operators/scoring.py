@@ -38,10 +38,12 @@ def file_tiers(nodes: DataFrame, edges: DataFrame, named: DataFrame, entries: Da
 
 
 def file_mass(nodes: DataFrame, scores: DataFrame) -> DataFrame:
-    """file_path, mass: scores summed in id order, so that the sum repeats to the last bit."""
-    met = nodes.filter("file_path <> ''").join(scores, "id").groupBy("file_path")
-    ordered = F.sort_array(F.collect_list(F.struct("id", "score")))  # nodes of one file in a bounded subgraph
-    return met.agg(F.aggregate(ordered, F.lit(0.0), lambda s, x: s + x["score"]).alias("mass"))
+    """file_path, mass: scores summed as decimals, so that the sum repeats to the last bit in any order.
+
+    A partial aggregate. Scores of a walk have nine decimals, so each is added as it is.
+    """
+    met = nodes.filter("file_path <> ''").select("id", "file_path").join(scores, "id")
+    return met.groupBy("file_path").agg(F.sum(F.col("score").cast("decimal(38,18)")).cast("double").alias("mass"))
 
 
 def file_hits(nodes: DataFrame, terms: list[str]) -> DataFrame:

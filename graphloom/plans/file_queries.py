@@ -28,7 +28,7 @@ def _parts(nodes: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame
     """score, mass, hits and n_nodes of every file."""
     n = written(nodes.groupBy("file_path").agg(F.count(F.lit(1)).alias("n_nodes")))
     scores = n.select("file_path", (F.col("n_nodes") % 12 + F.when(F.col("n_nodes") % 7 == 0, 50).otherwise(0)).cast("double").alias("score"))
-    return scores, scoring.file_mass(nodes, _scores(nodes)), n.select("file_path", (F.col("n_nodes") % 4).alias("hits")), n
+    return scores, written(scoring.file_mass(nodes, _scores(nodes))), n.select("file_path", (F.col("n_nodes") % 4).alias("hits")), n
 
 
 @query(f"WITH {_FILES} SELECT file_path, mass FROM fs")

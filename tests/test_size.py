@@ -56,3 +56,15 @@ def test_structs_and_interfaces_meet_without_dealing_their_pairs(spark):
     assert dealt(operators) < 300
 
 
+def test_mass_is_a_partial_aggregate_and_repeats_in_any_order(spark):
+    rows = [(f"n{k}", k % 97 * 1e-9 + k) for k in range(300)]
+    n = graphs.nodes(spark, *[(x, "function", x, "a.go") for x, _ in rows])
+    found = []
+    for order in (rows, rows[::-1]):
+        mass = scoring.file_mass(n, spark.createDataFrame(order, "id string, score double").repartition(3))
+        got, operators = ran(mass)
+        assert "ObjectHashAggregateExec" not in named(operators)
+        found.append(got[0]["mass"])
+    assert found[0] == found[1] == (sum(k % 97 + k * 10**9 for k in range(300))) / 1e9
+
+
