@@ -198,8 +198,9 @@ def blast_radius(spark, sf_dir) -> DataFrame:
 
 
 def _files(spark, sf_dir) -> DataFrame:
-    nodes = P.nodes(spark, sf_dir)
-    return nodes.filter("file_path <> ''").groupBy(F.col("file_path").alias("path")).agg(F.first("language").alias("language"), F.count(F.lit(1)).alias("node_count"))
+    """Counted by path and language first: a first text of a group makes tasks sort their rows."""
+    n = P.nodes(spark, sf_dir).filter("file_path <> ''").groupBy(F.col("file_path").alias("path"), "language").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("path").agg(F.array_min(F.collect_set("language")).alias("language"), F.sum("n").alias("node_count"))
 
 
 @query("""SELECT path, node_count FROM (SELECT file_path AS path, count(*) AS node_count FROM nodes GROUP BY 1)

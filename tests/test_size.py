@@ -68,3 +68,5 @@ def test_mass_is_a_partial_aggregate_and_repeats_in_any_order(spark):
     assert found[0] == found[1] == (sum(k % 97 + k * 10**9 for k in range(300))) / 1e9
 
 
+def test_files_are_counted_without_sorting_nodes(spark):
+    assert not named(ran(catalog._files(spark, SF))[1]) & {"SortAggregateExec", "SortExec"}
