@@ -60,7 +60,13 @@ def reference_edges(resolved: DataFrame, kinds: DataFrame, module_path: str) ->
     """
     target_kind = kinds.select(F.col("id").alias("target"), F.col("kind").alias("target_kind"))
     source_kind = kinds.select(F.col("id").alias("from_id"), F.col("kind").alias("source_kind"))
-    r = resolved.join(target_kind, "target", "left").join(source_kind, "from_id", "left")
+    # kinds are looked up for the references that ask for them; the others are not dealt again
+    none = F.lit(None).cast("string")
+    of = lambda *asked: resolved.filter(F.col("kind").isin(*asked))
+    r = of("embeds").join(target_kind, "target", "left").join(source_kind, "from_id", "left")
+    r = r.unionByName(of("instantiates").join(target_kind, "target", "left").withColumn("source_kind", none))
+    rest = resolved.filter(~F.coalesce(F.col("kind").isin("embeds", "instantiates"), F.lit(False)))
+    r = r.unionByName(rest.withColumns({"target_kind": none, "source_kind": none}))
     kind, to, src = F.col("kind"), F.col("target_kind"), F.col("source_kind")
     inside = paths.under(F.col("name"), module_path)
     package = node_id(F.lit("package"), F.col("name"), F.col("name"))

@@ -541,14 +541,35 @@ _REFS = f""", refs AS (
 
 
 def _pass1(spark, sf_dir):
-    ctes = (P.CTES + _REFS).format(**{t: "{" + t + "}" for t in P.TABLES})
-    frames = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in P.TABLES}
-    get = lambda what: spark.sql(f"WITH {ctes} SELECT * FROM {what}", **frames)
-    return written(get("refs").withColumn("col", F.lit(0))), written(get("imports"))
+    """refs and imports of the SQL: line items meet their order where they are dealt by it, all else is a scan of the orders."""
+    ord, geo, item = P.ords(spark, sf_dir), P.geo(spark, sf_dir), P.table(spark, sf_dir, "lineitem")
+    ord = ord.withColumn("module_key", F.regexp_replace("path", "/[^/]*$", ""))
+    names = ("file", "module_key", "from_id", "name", "pkg_alias", "kind", "line")
+    rows = lambda df, *sql: df.selectExpr(*(f"{x} AS {n}" for x, n in zip(sql, names, strict=True)))
+    n = P.tasks_of(item)
+    lines = item.select("l_orderkey", "l_suppkey", "l_linenumber").repartition(n, "l_orderkey").join(
+        ord.select("o_orderkey", "path", "module_key").repartition(n, "o_orderkey").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey")
+    )
+    placed = P.table(spark, sf_dir, "supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "s_name", "s_nationkey", "dir")
+    lines = lines.join(placed, F.col("l_suppkey") == F.col("s_suppkey"))
+    by = "'method:' || CAST(o_orderkey AS STRING)"
+    refs = rows(lines, "path", "module_key", "'method:' || CAST(l_orderkey AS STRING)", "s_name", "CASE WHEN dir = module_key THEN '' ELSE 'p' || CAST(s_nationkey AS STRING) END",
+                "CASE WHEN l_linenumber % 2 = 0 THEN 'references' ELSE 'calls' END", "l_linenumber")
+    for name, kind, line in (
+        ("c_name", "CASE WHEN o_orderkey % 3 = 0 THEN 'contains' ELSE 'instantiates' END", 7),
+        ("c_mktsegment", "CASE WHEN o_orderkey % 2 = 0 THEN 'embeds' ELSE 'instantiates' END", 8),
+        ("CASE WHEN o_orderkey % 4 = 0 THEN 'fmt' ELSE 'world/' || module_key END", "'imports'", 9),
+    ):
+        refs = refs.union(rows(ord, "path", "module_key", by, name, "''", kind, str(line)))
+    files = ord.select(F.col("path").alias("file")).distinct().crossJoin(geo.select("n_nationkey", "dir"))
+    imports = files.filter((F.col("n_nationkey") + F.length("file")) % 3 != 0)
+    imports = imports.select("file", F.concat(F.lit("p"), F.col("n_nationkey").cast("string")).alias("alias"), F.col("dir").alias("target_module")).distinct()
+    return P.kept(spark, sf_dir, "refs", lambda: refs.withColumn("col", F.lit(0))), P.kept(spark, sf_dir, "imports", lambda: imports)
 
 
 def _modules(nodes):
-    return nodes.select("file_path").distinct().select("file_path", F.regexp_replace("file_path", "/[^/]*$", "").alias("module_key"))
+    """Written, a row a file: small enough for Spark to send it to where the nodes are."""
+    return written(nodes.select("file_path").distinct().select("file_path", F.regexp_replace("file_path", "/[^/]*$", "").alias("module_key")))
 
 
 _INDEX = f"""idx AS (SELECT {_MODULE.format('file_path')} AS module_key, name, min(id) AS target, count(DISTINCT id) - 1 AS collisions FROM nodes WHERE kind <> 'file' GROUP BY 1, 2)"""

@@ -91,7 +91,7 @@ def _select(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
 _KEPT: dict[tuple[str, str, str], DataFrame] = {}
 
 
-def _kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+def kept(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
     """A projected table is written once a session, as a store is indexed once; queries read the written graph."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _KEPT:
@@ -103,7 +103,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
+def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a nation."""
     place = F.concat(F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))), F.lit("/"), F.lower(F.replace("n_name", F.lit(" "), F.lit("_"))))
     met = table(spark, sf_dir, "nation").join(F.broadcast(table(spark, sf_dir, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
@@ -111,7 +111,7 @@ def _geo(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cust(spark: SparkSession, sf_dir: str) -> DataFrame:
-    met = table(spark, sf_dir, "customer").join(_geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
+    met = table(spark, sf_dir, "customer").join(geo(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
     return met.select("c_custkey", "c_name", "c_mktsegment", "dir", "n_name", "r_name")
 
 
@@ -128,16 +128,16 @@ def ords(spark: SparkSession, sf_dir: str) -> DataFrame:
         path = F.concat("dir", F.lit("/"), "prio", F.lit(".go"))
         return met.select("o_orderkey", "o_custkey", "c_name", "c_mktsegment", "dir", "prio", path.alias("path"), following.alias("next_order"))
 
-    return _kept(spark, sf_dir, "ords", build)
+    return kept(spark, sf_dir, "ords", build)
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``nodes`` of the SQL."""
 
     def build():
-        cust, geo, ord = _cust(spark, sf_dir), _geo(spark, sf_dir), ords(spark, sf_dir)
+        cust, nation, ord = _cust(spark, sf_dir), geo(spark, sf_dir), ords(spark, sf_dir)
         region, part = table(spark, sf_dir, "region"), table(spark, sf_dir, "part")
-        supplier = table(spark, sf_dir, "supplier").join(geo, F.col("s_nationkey") == F.col("n_nationkey"))
+        supplier = table(spark, sf_dir, "supplier").join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
         lines = lambda key, most, more: (f"CAST({key} % {most} AS INT)", f"CAST({key} % {most} + {key} % {more} AS INT)")
         parts = "'parts/' || lower(replace(p_brand, '#', '_')) || '.go'"
         c, s, o = lines("c_custkey", 500, 23), lines("s_suppkey", 90, 17), lines("o_orderkey", 1000, 37)
@@ -159,16 +159,16 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         every = every.union(rows(files, "'file:' || file_path", "'file'", last, "file_path", "file_path", "1", "1"))
         return schema.conform(every.withColumn("language", F.lit("go")).withColumn("visibility", F.lit("public")), schema.NODES)
 
-    return _kept(spark, sf_dir, "nodes", build)
+    return kept(spark, sf_dir, "nodes", build)
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``edges`` of the SQL: made and collapsed on keys as numbers, dealt once by the order. No two branches share a key."""
 
     def build():
-        cust, geo, ord = _cust(spark, sf_dir), _geo(spark, sf_dir), ords(spark, sf_dir)
+        cust, nation, ord = _cust(spark, sf_dir), geo(spark, sf_dir), ords(spark, sf_dir)
         item, supplier = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "supplier")
-        placed = supplier.join(geo, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "dir").distinct()
+        placed = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")).select("s_suppkey", "n_name", "dir").distinct()
         names = ("source", "target", "kind", "line")
         rows = lambda df, *sql: df.selectExpr(*(f"{x} AS {n}" for x, n in zip(sql, names, strict=True)))
         text = lambda kind, key: f"'{kind}:' || CAST({key} AS STRING)"
@@ -199,7 +199,7 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         ]
         return schema.conform(reduce(DataFrame.union, found).withColumn("provenance", F.lit("ast")), schema.EDGES)
 
-    return _kept(spark, sf_dir, "edges", build)
+    return kept(spark, sf_dir, "edges", build)
 
 
 def raw_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import scoring, synthesis
+from graphloom.operators import resolve, scoring, synthesis
 from graphloom.plans import catalog
 from graphloom.sources import projection, shared
 from graphloom.streaming import watch
@@ -93,3 +93,16 @@ def test_calls_climb_only_until_they_are_matched(spark, monkeypatch):
     e = graphs.edges(spark, ("A", "extends", "B"), ("B", "extends", "C"), ("C", "extends", "D"), ("D", "extends", "B"), ("A", "contains", "A.m"))
     pending = spark.createDataFrame([("A.m", "x", None)], "from_id string, name string, target string")
     assert [r["target"] for r in synthesis.retry_calls(pending, e, n).collect()] == [None]
+
+
+def test_only_references_that_ask_for_kinds_are_dealt_to_them(spark):
+    names = "from_id string, name string, pkg_alias string, kind string, target string, line int, col int, file string"
+    rows = [(f"m{k}", "f", "", "calls", "t", 1, 0, "a.go") for k in range(300)] + [("m0", "f", "", "embeds", "t", 1, 0, "a.go"), ("m1", "f", "", "instantiates", "t", 1, 0, "a.go")]
+    kinds = spark.createDataFrame([("t", "struct"), ("m0", "struct")], "id string, kind string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, operators = ran(resolve.reference_edges(spark.createDataFrame(rows, names), kinds, "m"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sorted({(r["kind"], r["state"]) for r in got}) == [("calls", "edge"), ("extends", "edge"), ("instantiates", "edge")] and len(got) == 302
+    assert dealt(operators) < 20
