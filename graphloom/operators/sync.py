@@ -48,9 +48,9 @@ def edge_owners(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def prune_edges(edges: DataFrame, nodes: DataFrame, gone: DataFrame) -> DataFrame:
-    """Edges not owned by gone files."""
-    owned = edge_owners(edges, nodes)
-    return owned.join(gone.select(F.col("path").alias("owner")), "owner", "left_anti").select(*edges.columns)
+    """Edges not owned by gone files: those that no node of such a file starts. Only ids of these nodes meet the edges."""
+    lost = nodes.select("id", "file_path").join(gone.select(F.col("path").alias("file_path")), "file_path", "left_semi")
+    return edges.join(lost.select(F.col("id").alias("source")), "source", "left_anti").select(*edges.columns)
 
 
 def dependents(edges: DataFrame, nodes: DataFrame, gone: DataFrame) -> DataFrame:

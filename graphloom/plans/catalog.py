@@ -738,7 +738,8 @@ _GONE = f"{_CHANGES}, gone AS (SELECT path FROM changes WHERE state IN ('modifie
 
 
 def _gone(spark, sf_dir):
-    return sync_changes(spark, sf_dir).filter("state IN ('modified', 'deleted')").select("path")
+    """Written, a row a file: small enough for Spark to send it to where the nodes are."""
+    return written(sync_changes(spark, sf_dir).filter("state IN ('modified', 'deleted')").select("path"))
 
 
 @query(f"WITH {_GONE} SELECT id FROM nodes WHERE file_path NOT IN (SELECT path FROM gone)")

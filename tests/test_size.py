@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import resolve, scoring, synthesis
+from graphloom.operators import resolve, scoring, sync, synthesis
 from graphloom.plans import catalog
 from graphloom.sources import projection, shared
 from graphloom.streaming import watch
@@ -106,3 +106,15 @@ def test_only_references_that_ask_for_kinds_are_dealt_to_them(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sorted({(r["kind"], r["state"]) for r in got}) == [("calls", "edge"), ("extends", "edge"), ("instantiates", "edge")] and len(got) == 302
     assert dealt(operators) < 20
+
+
+def test_edges_are_dealt_once_when_files_go(spark):
+    n = graphs.nodes(spark, *[(f"n{k}", "function", "f", "a.go" if k else "gone.go") for k in range(200)])
+    e = graphs.edges(spark, *[(f"n{k}", "calls", "n0", k) for k in range(200)], ("nobody", "calls", "n0"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got, operators = ran(sync.prune_edges(e, n, spark.createDataFrame([("gone.go",)], "path string")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert {r["source"] for r in got} == {f"n{k}" for k in range(1, 200)} | {"nobody"} and len(got) == 200
+    assert dealt(operators) < 500
