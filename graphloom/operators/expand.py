@@ -33,8 +33,8 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def ids_frame(spark, ids: list[str], name: str = "id") -> DataFrame:
-    """A small list of ids with their positions."""
-    return spark.createDataFrame([(x, k) for k, x in enumerate(ids)], f"{name} string, pos int")
+    """A small list of ids with their positions; it comes from the driver and is sent to where it is joined."""
+    return F.broadcast(spark.createDataFrame([(x, k) for k, x in enumerate(ids)], f"{name} string, pos int"))
 
 
 def closure(start: DataFrame, steps: DataFrame) -> DataFrame:

@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import paths, text
 from ..schema import DEFINITION_KINDS, edge_order
 from ..sources.shared import Written, written
-from . import scoring
+from . import gather, scoring
 from .expand import bounded_bfs, glue_nodes, ids_frame, rank_edges, type_hierarchy
-from .gather import gather
 from .lookup import MAX_FILES
 from .rank import walk
 from .seeding import named_seeds
@@ -37,7 +36,7 @@ def explore(nodes: DataFrame, edges: DataFrame, query: str, max_files: int = 0,
         raise ValueError("max_files must not be negative")
     spark = nodes.sparkSession
     terms = text.search_terms(query)
-    candidates = written(gather(nodes, query))
+    candidates = written(gather.candidates(nodes, query))
     seeds = written(named_seeds(nodes, edges, query, project))
     seed_rows = seeds.collect()  # at most three definitions of each of sixteen names
     if not seed_rows and candidates.isEmpty():
@@ -58,7 +57,7 @@ def explore(nodes: DataFrame, edges: DataFrame, query: str, max_files: int = 0,
     inside = written(inside.select("source", "target", "kind"))
     links = [(r["source"], r["target"]) for r in inside.orderBy(*edge_order("source", "kind", "target")).collect()]
     scores = walk(final, links, {*seed_ids, *roots})
-    ranks = spark.createDataFrame(list(scores.items()), "id string, score double")
+    ranks = F.broadcast(spark.createDataFrame(list(scores.items()), "id string, score double"))  # under 400 nodes
     named = ids_frame(spark, sorted({r["id"] for r in seed_rows if r["is_primary"]}))
     entries = ids_frame(spark, roots)
     tiers = scoring.exclude_tests(scoring.file_tiers(sub, inside, named, entries), query)

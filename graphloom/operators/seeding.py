@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..sources.shared import written
 from .traverse import calls, method_owners
 
 # Fixed values of the seeding rules.
@@ -48,9 +49,11 @@ def named_seeds(nodes: DataFrame, edges: DataFrame, query: str, project: str = "
     few = few.select("token", "id", ((F.col("id") == F.col("first")) | (F.col("callers") >= CALLER_RATIO * most)).alias("is_primary"))
     many = sized.filter(F.col("n") > SMALL_DEFS)
     wanted = type_tokens(query, project)
-    owned = many.join(method_owners(edges), F.col("id") == F.col("method")).join(
-        nodes.filter(F.col("name").isin(wanted)).select(F.col("id").alias("owner")), "owner"
-    )
+    types = written(nodes.filter(F.col("name").isin(wanted)).select(F.col("id").alias("owner")))
+    contains = edges.filter("kind = 'contains'")
+    held = written(contains.join(types.withColumnRenamed("owner", "source"), "source", "left_semi").select("target").distinct())
+    owners = method_owners(contains.join(held, "target", "left_semi"))  # of what the named types hold, not of everything
+    owned = many.join(owners, F.col("id") == F.col("method")).join(types, "owner")
     rank = F.row_number().over(Window.partitionBy("token").orderBy("id"))
     owned = owned.withColumn("r", rank).filter(F.col("r") <= OWNED_CAP).select("token", "id")
     span = F.struct(-line_span(F.col("start_line"), F.col("end_line")), F.col("id"))

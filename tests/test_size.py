@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from graphloom.operators import resolve, scoring, sync, synthesis
+from graphloom.operators import gather, resolve, scoring, sync, synthesis
 from graphloom.plans import catalog
 from graphloom.sources import projection, shared
 from graphloom.streaming import watch
@@ -118,3 +118,9 @@ def test_edges_are_dealt_once_when_files_go(spark):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert {r["source"] for r in got} == {f"n{k}" for k in range(1, 200)} | {"nobody"} and len(got) == 200
     assert dealt(operators) < 500
+
+
+def test_exact_names_of_a_file_are_counted_without_a_window(spark):
+    n = graphs.nodes(spark, ("1", "function", "a", "x.go"), ("2", "function", "a", "x.go"), ("3", "function", "b", "x.go"), ("4", "function", "a", "y.go"))
+    got, operators = ran(gather.by_exact_name(n, ["a", "b"]))
+    assert {r["id"]: r["score"] for r in got} == {"1": 30.0, "2": 30.0, "3": 30.0, "4": 10.0} and "WindowExec" not in named(operators)
